@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontam, mixing, simhash
+from quillspark.llm import chat, decontam, langid, licenses, mixing, repeats, simhash, token_output, topk, warc
 from quillspark.llm.shared import table
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rendered(table(spark, sf_dir, "conversations"))
     return out.select("conv_id", "part_no", "n_parts", "n_turns", "copies", "n_rendered", F.sha2("text", 256).alias("text_sha256"))
@@ -20,19 +24,64 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolved(warc.page_records(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return out.select("record_id", "canonical", F.unix_seconds("captured").alias("captured_s"), "base_id", "verdict", F.array_join(lines, "\n").alias("headers"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_chat_snapshots": op2_chat_snapshots,
-    "op3_decontaminate": op3_decontaminate,
-    "op6_simhash": op6_simhash,
-    "op9_mix": op9_mix,
+    f.__name__: f
+    for f in (
+        op1_tokens,
+        op2_chat_snapshots,
+        op3_decontaminate,
+        op4_topk,
+        op5_licenses,
+        op6_simhash,
+        op7_revisits,
+        op8_language,
+        op9_mix,
+        op10_repeats,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": """
+        WITH v AS (
+          SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+          FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        ), s AS (
+          SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+                 CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+        WHERE place <= 5
+    """,
+}

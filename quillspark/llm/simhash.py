@@ -1,35 +1,41 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming check, components.
 
-A fingerprint's 64 bits are cut into ``blocks`` blocks. Two fingerprints that differ in at most d
-bits differ in at most d blocks, so they agree on some set of ``blocks - d`` blocks; every such
-set is a join key. Work runs on different fingerprints only, so exact copies cost one row. Within
-a key's rows the Hamming distance is tested exactly, and what is emitted is a star per connected
+A fingerprint's 64 bits are cut into ``d + spare`` blocks. Two fingerprints that differ in at most
+d bits differ in at most d blocks, so they agree on some set of ``spare`` blocks; every such set
+is a join key. Work runs on different fingerprints only, so exact copies cost one row. Within a
+key's rows the Hamming distance is tested exactly, and what is emitted is a star per connected
 group rather than its pairs: a bucket of m near copies gives at most m - 1 links, which join the
 same documents.
+
+A second word of 64 bits may sharpen the test (``total`` bounds the distance over all 128 bits):
+at distances like 9 of 64, unrelated fingerprints meet by chance in a large corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.shared import written
+from quillspark.llm.shared import row_hash, written
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
-#: Different fingerprints up to which so many blocks beyond the distance are used (more, smaller buckets after that).
-BLOCKS = ((1 << 26, 2), (1 << 32, 3), (1 << 62, 4))
+#: Costs, in comparisons, of a key row and of a comparison; they set the number of spare blocks.
+ROW_COST, MOST_SPARE = 2000, 4
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingle hashes turned into bits at a time.
 CHUNK = 1 << 16
+#: Members of the largest bucket whose pairs are tested as one matrix.
+MATRIX = 1024
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -56,16 +62,36 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row of ``docs``; one pass, no shuffle."""
+def second_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits for each shingle hash (splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, wide: bool = False) -> DataFrame:
+    """doc_id, fp and fp2 (64 bits each, as signed longs; fp2 is 0 unless ``wide``) of every row of ``docs``; no shuffle."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(shingle_hashes(t.as_py(), shingle, seed)) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.zeros((2, batch.num_rows), np.uint64)
+            for k, text in enumerate(batch.column(1)):
+                hashes = shingle_hashes(text.as_py(), shingle, seed)
+                found[0, k] = fingerprint(hashes)
+                if wide:
+                    found[1, k] = fingerprint(second_hashes(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in found]], ["doc_id", "fp", "fp2"])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp bigint, fp2 bigint")
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+
+def spare_blocks(distance: int, count: int) -> int:
+    """The number of agreeing blocks that costs least for so many fingerprints; any finds every link."""
+    cost = lambda spare: comb(distance + spare, spare) * (ROW_COST + count / 2 ** (64 * spare / (distance + spare)))
+    return min(range(1, MOST_SPARE + 1), key=cost)
 
 
 def block_masks(distance: int, spare: int) -> list[int]:
@@ -76,28 +102,38 @@ def block_masks(distance: int, spare: int) -> list[int]:
     return [sum(pick) for pick in combinations(blocks, spare)]
 
 
-def star_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(members, centres) that connect what links of at most ``distance`` bits connect in one bucket.
+def _near(a: np.ndarray, b: np.ndarray, distance: int, total: int) -> np.ndarray:
+    """Whether fingerprints (..., 2) are within both distances."""
+    first = np.bitwise_count(a[..., 0] ^ b[..., 0])
+    near = first <= distance
+    return near & (first + np.bitwise_count(a[..., 1] ^ b[..., 1]) <= total) if near.any() else near
+
+
+def star_links(fps: np.ndarray, distance: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, centres), rows of ``fps`` (m, 2), that connect what links in one bucket connect.
 
     Breadth first: reached fingerprints are compared with those not yet reached, so a dense
     bucket costs about one comparison a member and memory stays in proportion to the bucket.
     """
-    rest, members, centres = np.unique(fps), [], []
+    rest, members, centres = np.unique(fps, axis=0) if len(fps) > 1 else fps, [], []
+    if 1 < len(rest) <= MATRIX:
+        linked = _near(rest[:, None], rest[None, :], distance, total).sum(axis=1) > 1
+        rest = rest[linked]
     while len(rest) > 1:
         centre, rest = rest[0], rest[1:]
-        front = np.array([centre], np.uint64)
+        front = centre[None]
         while len(front) and len(rest):
             reached = np.zeros(len(rest), bool)
             for f in front:
-                reached |= np.bitwise_count(rest ^ f) <= distance
+                reached |= _near(rest, f, distance, total)
             front, rest = rest[reached], rest[~reached]
             members.append(front)
-            centres.append(np.full(len(front), centre, np.uint64))
-    none = np.empty(0, np.uint64)
+            centres.append(np.repeat(centre[None], len(front), axis=0))
+    none = np.empty((0, 2), np.uint64)
     return (np.concatenate(members), np.concatenate(centres)) if members else (none, none)
 
 
-def _bucket_links(distance: int):
+def _bucket_links(distance: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by (mask, part); a bucket that goes on in the next batch waits for it."""
         held: list[np.ndarray] = []
@@ -106,71 +142,87 @@ def _bucket_links(distance: int):
         def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             pairs = [p for p in pairs if len(p[0])]
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs]).view(np.int64)) for k in (0, 1)], ["u", "v"])
+                u, v = (np.concatenate([p[k] for p in pairs]).view(np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[:, 0], u[:, 1], v[:, 0], v[:, 1])], ["u", "u2", "v", "v2"])
 
         for batch in batches:
-            mask, part, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            fps = fps.view(np.uint64)
-            if not len(fps):
+            if not batch.num_rows:
                 continue
+            mask, part, fp, fp2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            fps = np.stack([fp.view(np.uint64), fp2.view(np.uint64)], axis=1)
             cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
             bounds = np.concatenate([[0], cuts, [len(fps)]])
             sizes = np.diff(bounds)
             pairs = []
             if held and held_key != (mask[0], part[0]):
-                pairs.append(star_links(np.concatenate(held), distance))
+                pairs.append(star_links(np.concatenate(held), distance, total))
                 held = []
-            first_ends, last_at = bounds[1], bounds[-2]
-            if held and last_at > 0:
-                pairs.append(star_links(np.concatenate([*held, fps[:first_ends]]), distance))
-                held = []
-                sizes[0] = 1
+            if held and len(sizes) > 1:
+                pairs.append(star_links(np.concatenate([*held, fps[: bounds[1]]]), distance, total))
+                held, sizes[0] = [], 1
             two = np.flatnonzero(sizes[:-1] == 2)
             if len(two):
                 a, b = fps[bounds[two]], fps[bounds[two] + 1]
-                near = np.bitwise_count(a ^ b) <= distance
+                near = _near(a, b, distance, total)
                 pairs.append((a[near], b[near]))
-            pairs += [star_links(fps[bounds[k] : bounds[k + 1]], distance) for k in np.flatnonzero(sizes[:-1] > 2)]
-            held.append(fps[last_at:].copy())
+            pairs += [star_links(fps[bounds[k] : bounds[k + 1]], distance, total) for k in np.flatnonzero(sizes[:-1] > 2)]
+            held.append(fps[bounds[-2] :].copy())
             held_key = (mask[-1], part[-1])
             yield from out(pairs)
         if held:
-            yield from out([star_links(np.concatenate(held), distance)])
+            yield from out([star_links(np.concatenate(held), distance, total)])
 
     return run
 
 
-def near_components(prints: DataFrame, distance: int = DISTANCE, partitions: int | None = None) -> DataFrame:
-    """(fp, root): different fingerprints of ``prints`` (fp) and the smallest one they are linked to.
+def near_components(prints: DataFrame, distance: int = DISTANCE, total: int | None = None, partitions: int | None = None) -> DataFrame:
+    """(id, root): the different fingerprints of ``prints`` (id, fp, fp2) and the smallest id they are linked to.
 
-    Only fingerprints that link to another and aren't the smallest of their component appear.
+    ``id`` is a hash of fp and fp2. Only fingerprints that link to another and aren't the smallest
+    of their component appear.
     """
-    fps = prints.select("fp").distinct()
-    count = fps.count()
-    spare = next(k for most, k in BLOCKS if count <= most)
-    masks = block_masks(distance, spare)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(signed)]))
+    fps = prints.select("fp", "fp2").distinct()
+    masks = block_masks(distance, spare_blocks(distance, fps.count()))
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
     n = partitions or int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = fps.select(keys.alias("key"), "fp").select("key.mask", "key.part", "fp")
-    links = keyed.repartition(n, "mask", "part").sortWithinPartitions("mask", "part").mapInArrow(_bucket_links(distance), "u bigint, v bigint")
-    return components(links).select(F.col("node").alias("fp"), "root")
+    keyed = fps.select(F.posexplode(signed).alias("mask", "bits"), "fp", "fp2").withColumn("part", F.col("fp").bitwiseAND(F.col("bits")))
+    dealt = keyed.select("mask", "part", "fp", "fp2").repartition(n, "mask", "part").sortWithinPartitions("mask", "part")
+    links = dealt.mapInArrow(_bucket_links(distance, distance if total is None else total), "u bigint, u2 bigint, v bigint, v2 bigint")
+    return components(links.select(F.xxhash64("u", "u2").alias("u"), F.xxhash64("v", "v2").alias("v"))).select(F.col("node").alias("id"), "root")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, total: int | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): its fingerprint and near-duplicate component.
 
     Returns doc_id, fp (signed long), fingerprint (16 hex digits) and component_id, the smallest
-    doc_id reachable over links of at most ``distance`` differing bits. A null or wordless text has
-    fingerprint 0, which links like any other; repeated rows stay, each with the same result; a
-    null doc_id is never a component's name unless nothing else is in it; an empty table gives an
-    empty result. Other columns play no role.
+    doc_id reachable over links of at most ``distance`` differing bits (and, if ``total`` is given,
+    at most ``total`` over 128 bits). A null or wordless text has fingerprint 0, which links like
+    any other; repeated rows stay, each with the same result; a null doc_id is never a component's
+    name unless nothing else is in it; an empty table gives an empty result. Other columns play no role.
     """
-    prints = written(fingerprints(docs, shingle, seed), "fingerprints")
-    roots = near_components(prints, distance)
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    named = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = written(fingerprints(docs, shingle, seed, total is not None).withColumn("id", F.xxhash64("fp", "fp2")), "fingerprints")
+    roots = near_components(prints, distance, total)
+    firsts = prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = firsts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("size"))
-    names = written(named.join(least.where("size > 1"), "root").select("fp", "component_id"), "components")
+    names = written(named.join(least.where("size > 1"), "root").select("id", "component_id"), "components")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(names, "fp", "left").select("doc_id", "fp", digits, F.coalesce("component_id", "doc_id").alias("component_id"))
+    return prints.join(names, "id", "left").select("doc_id", "fp", digits, F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+#: The stage on whole documents: five-word shingles, and distances that estimate a Jaccard
+#: similarity of 0.8 or more: J = c / (2 - c) with c = cos(pi * 19 / 128) is 0.81.
+STAGE_SHINGLE, STAGE_DISTANCE, STAGE_TOTAL = 5, 9, 19
+
+
+def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, total: int = STAGE_TOTAL, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id.
+
+    Of rows that share that doc_id the one with the smallest row hash stays, of wholly equal rows
+    one. Documents without words are all alike. All columns are kept, whatever their names.
+    """
+    keyed = docs.select(F.struct("doc_id", row_hash(docs).alias("tie")).alias("doc_id"), "text")
+    classes = near_duplicates(keyed, shingle, distance, seed, total)
+    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.tie").alias("tie")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(docs).alias("tie"))
+    return rows.join(kept, "tie").dropDuplicates(["tie"]).select("row.*")
