@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.shared import row_hash, shared_path, written
 
 MAGIC = b"QTOK0001"
-HEADER, FOOTER, ENTRY = struct.Struct("<8s32sI"), struct.Struct("<QQ8s"), np.dtype([("at", "<u8"), ("length", "<u4"), ("ids", "<u4")])
+HEADER, FOOTER, ENTRY = "<8s32sI", "<QQ8s", np.dtype([("at", "<u8"), ("length", "<u4"), ("ids", "<u4")])
 END_ID = 2
 #: The dictionary is trained on this many documents at most (smallest row hashes), cut to so many bytes each.
 DICTIONARY_DOCS, DICTIONARY_SAMPLE, DICTIONARY_BYTES = 2000, 4096, 65536
@@ -179,14 +179,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         words, packer, end = WordEncoder(path), _codec(dictionary, zstandard.ZstdCompressor), struct.pack("<I", end_id)
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.qtok"
-        index, keys, offset, n_ids, out = [], [], HEADER.size, 0, None
+        index, keys, offset, n_ids, out = [], [], struct.calcsize(HEADER), 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
                 fs, at = _open(folder)
                 out = fs.open_output_stream(f"{at}/{name}", buffer_size=BUFFER)
-                out.write(HEADER.pack(MAGIC, digest, 4))
+                out.write(struct.pack(HEADER, MAGIC, digest, 4))
             for ids in words.encode(_strings(batch, 1)):
                 frame = packer.compress(ids + end)
                 out.write(frame)
@@ -202,7 +202,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             writer.write_table(table)
         out.write(np.array(index, ENTRY).tobytes())
         out.write(zstandard.ZstdCompressor().compress(sink.getvalue().to_pybytes()))
-        out.write(FOOTER.pack(offset, len(index), MAGIC))
+        out.write(struct.pack(FOOTER, offset, len(index), MAGIC))
         size = out.tell()
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), *[pa.array([x], pa.int64()) for x in (len(index), n_ids, size)]], ["shard", "file", "n_docs", "n_ids", "n_bytes"])
@@ -218,8 +218,8 @@ class Shard:
         fs, at = _open(uri)
         self._file = fs.open_input_file(at)
         size = self._file.size()
-        magic, digest, _ = HEADER.unpack(self._file.read_at(HEADER.size, 0))
-        index_at, count, again = FOOTER.unpack(self._file.read_at(FOOTER.size, size - FOOTER.size))
+        magic, digest, _ = struct.unpack(HEADER, self._file.read_at(struct.calcsize(HEADER), 0))
+        index_at, count, again = struct.unpack(FOOTER, self._file.read_at(struct.calcsize(FOOTER), size - struct.calcsize(FOOTER)))
         if magic != MAGIC or again != MAGIC:
             raise ValueError(f"{uri} is no token shard")
         with fs.open_input_stream(f"{at.rsplit('/', 1)[0]}/{digest.hex()}.zdict") as f:
@@ -227,7 +227,7 @@ class Shard:
         if hashlib.sha256(dictionary).digest() != digest:
             raise ValueError(f"{uri} was written with another dictionary")
         self._unpack = _codec(dictionary, zstandard.ZstdDecompressor)
-        rest = self._file.read_at(size - FOOTER.size - index_at, index_at)
+        rest = self._file.read_at(size - struct.calcsize(FOOTER) - index_at, index_at)
         self.index = np.frombuffer(rest[: count * ENTRY.itemsize], ENTRY)
         with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest[count * ENTRY.itemsize :])) as reader:
             self.doc_ids = reader.read_all().column(0)
