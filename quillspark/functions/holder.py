@@ -174,7 +174,7 @@ def account_holder_of(text: str | None, least: int = 3) -> str | None:
 # Labels of a holder field, and a pair of names printed in capitals.
 HOLDER_LABEL = re.compile(r"(?:nom et adresse du )?(?:titulaire|intitul[ée]|account owner|b[ée]n[ée]ficiaire)s?(?: du compte| de compte| du client)?\s*(?:n[°o]\s*)?[:.\-]*", _I)
 COUPLE = re.compile("[A-Z]+ +[A-Z]+ +OU +[A-Z]+ +[A-Z]+")
-CROP_POSTAL = re.compile(r"(?:^|\D)[0-9]{5}")
+CROP_POSTAL = re.compile(r"[0-9]{5}\s*[A-Za-z]")
 
 
 def title_at(text: str) -> int | None:
