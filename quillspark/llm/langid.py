@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.shared import pieces
+
 FIT_DOCS = 600
 FIT_ROUNDS = 3
 #: Letters of the longest piece used, and added to every piece's expected count.
@@ -25,7 +27,7 @@ PIECE_LETTERS, SMOOTHING = 7, 0.02
 #: Probability of a letter that is no piece, for every language.
 OTHER_LETTER = 1e-7
 #: Words a worker remembers, letters of the longest word in the batched forward pass, words in a batch.
-CACHE_WORDS, BATCH_LETTERS, BATCH_WORDS = 1_000_000, 40, 20_000
+CACHE_WORDS, BATCH_LETTERS, BATCH_WORDS = 400_000, 40, 4_000
 UNKNOWN = "und"
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -200,8 +202,8 @@ class Scorer:
     def score(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log probabilities of each text by language; None where there is no letter."""
         out = []
-        for at in range(0, len(texts), 256):
-            split = [words_of(t) for t in texts[at : at + 256]]
+        for some in pieces([t or "" for t in texts]):
+            split = [words_of(texts[k]) for k in some]
             here = set().union(*split)
             new = [w for w in here if w not in self._rows]
             if new:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.licenses import _mixed, _powers
-from quillspark.llm.shared import drop_written, shared_path, written
+from quillspark.llm.shared import drop_written, shared_path, shuffles_removed, written
 
 LENGTH, GRAM = 200, 64
 MOST_MEMBERS = 1024
@@ -44,31 +44,42 @@ PAIRED = 8
 CHUNK, PAIRS = 1 << 20, 1 << 14
 
 
-def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and gram hashes (signed) of the anchors of all windows of a text."""
-    places, grams = [], []
-    width = length - gram + 1
+def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, gram hashes and context hashes (signed) of the anchors of all windows of a text.
+
+    The context is all that a window around the anchor can reach, with where the text ends.
+    """
+    places, grams, contexts = [], [], []
+    width, before = length - gram + 1, length - gram
+    up, down = _powers(1 << 21)
     for at in range(0, len(data) - length + 1, CHUNK):
-        part = data[at : at + CHUNK + length - 1]
+        base = max(0, at - before)
+        part = np.frombuffer(data[base : at + CHUNK + 2 * length], np.uint8)
+        stop = min(at + CHUNK, len(data) - length + 1) + width - 1
         with np.errstate(over="ignore"):
-            up, down = _powers(1 << 21)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((np.frombuffer(part, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
-            hashes = _mixed((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
-        least = (hashes & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(hashes), dtype=np.uint64)
-        reach = 1
-        while 2 * reach <= width:
-            least = np.minimum(least[:-reach], least[reach:])
-            reach *= 2
-        if width > reach:
-            least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
-        picked = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-        picked = picked[np.concatenate([[True], picked[1:] != picked[:-1]])]
-        places.append(picked + at)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
+            first = np.arange(at - base, stop - base)
+            hashes = _mixed((sums[first + gram] - sums[first]) * down[first])
+            least = (hashes & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(hashes), dtype=np.uint64)
+            reach = 1
+            while 2 * reach <= width:
+                least = np.minimum(least[:-reach], least[reach:])
+                reach *= 2
+            if width > reach:
+                least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
+            picked = (least & np.uint64(0xFFFFFF)).astype(np.int64)
+            picked = picked[np.concatenate([[True], picked[1:] != picked[:-1]])]
+            place = picked + at
+            a, b = np.maximum(place - before, 0), np.minimum(place + length, len(data))
+            around = (sums[b - base] - sums[a - base]) * down[a - base]
+            ends = ((place - a) * (length + 1) + (b - place)).astype(np.uint64)
+            contexts.append(_mixed(around + _mixed(ends * np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
+        places.append(place)
         grams.append(hashes[picked].view(np.int64))
     if not places:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(grams)[first]
+    return place, np.concatenate(grams)[first], np.concatenate(contexts)[first]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,26 +213,28 @@ def _members(texts: DataFrame, picked: DataFrame, length: int, gram: int) -> Dat
     before = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows):
-            cols = list(zip(*rows, strict=True))
-            n = len(rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, before, np.int32)), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.binary())],
-                ["key", "lo", "hi", "t1", "t2", "place", "ll", "rl", "around"],
-            )
-
-        rows = []
         for batch in batches:
-            for t1, t2, data, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for x in own:
-                    p = x["place"]
+            own = batch.column(3)
+            sizes = np.diff(own.offsets.to_numpy())
+            flat = own.flatten()
+            place, grams = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            t1, t2 = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            for at in range(0, len(place), 8192):
+                s = slice(at, at + 8192)
+                around, ll, rl, held, data = [], [], [], -1, b""
+                for k, p in zip(of[s].tolist(), place[s].tolist(), strict=True):
+                    if k != held:
+                        held, data = k, batch.column(2)[k].as_buffer().to_pybytes()
                     l, r = min(p, before), min(len(data) - p, length)
-                    rows.append((x["gram"], t1, t2, p, l, r, bytes(before - l) + data[p - l : p + r] + bytes(length - r)))
-                    if len(rows) == 8192:
-                        yield out(rows)
-                        rows = []
-        if rows:
-            yield out(rows)
+                    around.append(bytes(before - l) + data[p - l : p + r] + bytes(length - r))
+                    ll.append(l)
+                    rl.append(r)
+                n = len(ll)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams[s]), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, before, np.int32)), pa.array(t1[s]), pa.array(t2[s]), pa.array(place[s].astype(np.int64)), pa.array(ll, pa.int32()), pa.array(rl, pa.int32()), pa.array(around, pa.binary())],
+                    ["key", "lo", "hi", "t1", "t2", "place", "ll", "rl", "around"],
+                )
 
     own = picked.groupBy("t1", "t2").agg(F.collect_list(F.struct("place", "gram")).alias("own"))
     return texts.join(own, ["t1", "t2"]).select("t1", "t2", "data", "own").mapInArrow(run, MEMBER)
@@ -250,20 +263,30 @@ def _split_hot(members: DataFrame, length: int, gram: int, most: int) -> tuple[l
             return small, marks
 
 
+def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs that intervals [a, b) cover."""
+    if not len(a):
+        return []
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(a[1:] > reach[:-1]) + 1
+    firsts, lasts = np.concatenate([[0], new]), np.concatenate([new, [len(a)]]) - 1
+    return list(zip(a[firsts].tolist(), reach[lasts].tolist(), strict=True))
+
+
 def _digest(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
         for batch in batches:
+            marks = batch.column(4)
+            ends = marks.offsets.to_numpy()
+            flat = marks.values
+            starts_of, ends_of = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             out = []
-            for n, data, marks in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                spans = []
-                if n > 1 and len(data) >= length:
-                    spans = [(0, len(data))]
-                else:
-                    for x in sorted((m["a"], m["b"]) for m in marks or ()):
-                        if spans and x[0] <= spans[-1][1]:
-                            spans[-1] = (spans[-1][0], max(spans[-1][1], x[1]))
-                        else:
-                            spans.append(x)
+            for k, n in enumerate(batch.column(2).to_pylist()):
+                data = memoryview(batch.column(3)[k].as_buffer())
+                own = slice(ends[k], ends[k + 1])
+                spans = [(0, len(data))] if n > 1 and len(data) >= length else _merged(starts_of[own], ends_of[own])
                 kept, at = hashlib.sha256(), 0
                 for a, b in spans:
                     kept.update(data[at:a])
@@ -271,7 +294,6 @@ def _digest(length: int):
                 kept.update(data[at:])
                 out.append((len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [{"a": a, "b": b} for a, b in spans]))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["t1", "t2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     return run
@@ -295,27 +317,41 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     name, path = f"quillspark_texts_{uuid.uuid4().hex}", shared_path(spark, "texts")
     distinct = docs.select(*_keys(), data.alias("data")).groupBy("t1", "t2").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("n"))
-    distinct.write.bucketBy(n, "t1", "t2").sortBy("t1", "t2").option("path", path).option("compression", "zstd").saveAsTable(name)
+    with shuffles_removed(spark):
+        distinct.write.bucketBy(n, "t1", "t2").sortBy("t1", "t2").option("path", path).option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
+    before = length - gram
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = (batch.column(k).to_numpy() for k in (0, 1))
-            per = [anchors(x.as_buffer().to_pybytes(), length, gram) for x in batch.column(2)]
-            counts = [len(p) for p, _ in per]
+            per = [(*anchors(data := x.as_buffer().to_pybytes(), length, gram), len(data)) for x in batch.column(2)]
+            counts = [len(p[0]) for p in per]
             if sum(counts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t1, counts)), pa.array(np.repeat(t2, counts)), pa.array(np.concatenate([p for p, _ in per])), pa.array(np.concatenate([g for _, g in per]))], ["t1", "t2", "place", "gram"])
-
-    all_anchors = written(texts.where(F.octet_length("data") >= length).select("t1", "t2", "data").mapInArrow(found, "t1 bigint, t2 bigint, place bigint, gram bigint"), "anchors")
-    twice = written(all_anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "grams")
-    picked = written(all_anchors.join(twice, "gram").select("t1", "t2", "place", "gram", "members"), "picked")
+                place, grams, contexts = (np.concatenate([p[k] for p in per]) for k in range(3))
+                size = np.repeat([p[3] for p in per], counts)
+                cols = [np.repeat(t1, counts), np.repeat(t2, counts), place, grams, contexts, np.minimum(place, before).astype(np.int16), np.minimum(size - place, length).astype(np.int16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["t1", "t2", "place", "gram", "context", "ll", "rl"])
+
+    kind = "t1 bigint, t2 bigint, place bigint, gram bigint, context bigint, ll smallint, rl smallint"
+    all_anchors = written(texts.where(F.octet_length("data") >= length).select("t1", "t2", "data").mapInArrow(found, kind), "anchors")
+    twice = written(all_anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
+    picked = written(all_anchors.join(twice, "gram"), "picked")
     drop_written(all_anchors)
+    # anchors with equal contexts repeat wholly; of each different context one stands for all
+    contexts = written(picked.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "place")).alias("one")), "contexts")
+    same = contexts.where("n > 1").select("gram", "context")
+    equal = picked.where(F.col("ll") + F.col("rl") >= length).join(same, ["gram", "context"], "left_semi")
+    marks = [written(equal.select("t1", "t2", (F.col("place") - F.col("ll")).alias("a"), (F.col("place") + F.col("rl")).alias("b")), "equal")]
+    drop_written(picked)
+    sizes = written(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
+    picked = written(contexts.join(sizes, "gram").select("gram", "one.*", "members"), "members")
     groups = [_members(texts, picked.where(F.col("members") <= most), length, gram)]
-    marks = []
     hot = picked.where(F.col("members") > most)
     if not hot.isEmpty():
-        small, marks = _split_hot(_members(texts, hot, length, gram), length, gram, most)
+        small, more = _split_hot(_members(texts, hot, length, gram), length, gram, most)
         groups += small
+        marks += more
     members = groups[0]
     for g in groups[1:]:
         members = members.unionByName(g)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +40,41 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, a write's shuffle files go as soon as it is done."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, kind)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(texts: list[str], most: int = 1 << 20) -> Iterator[range]:
+    """Ranges of ``texts`` of about ``most`` characters each, one text at least."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > first and size + len(text) > most:
+            yield range(first, k)
+            first, size = k, 0
+        size += len(text)
+    if first < len(texts):
+        yield range(first, len(texts))
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing reads any more."""
     spark = df.sparkSession

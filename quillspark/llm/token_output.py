@@ -19,13 +19,15 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,7 +41,7 @@ END_ID = 2
 #: The dictionary is trained on this many documents at most (smallest row hashes), cut to so many bytes each.
 DICTIONARY_DOCS, DICTIONARY_SAMPLE, DICTIONARY_BYTES = 2000, 4096, 65536
 #: Words whose ids a worker remembers, and bytes of the longest remembered one.
-CACHE_WORDS, CACHE_LENGTH = 1_000_000, 64
+CACHE_WORDS, CACHE_LENGTH = 800_000, 64
 #: Bytes of compressed frames that a writer holds before it passes them on.
 BUFFER = 4 << 20
 
@@ -50,79 +52,74 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# White space of the tokenizer's pattern, and its pattern for texts without other letters.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+LATIN = "a-z\xdf-\xf6\xf8-\xff"
+LATIN_PIECES = re.compile(f"{ENDINGS}|[{LATIN}]+|[0-9]|[^\t-\r {LATIN}0-9]+")
+NOT_LATIN = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+PIECES = regex.compile(f"{ENDINGS}|\\p{{L}}+|\\p{{N}}|[^{SPACES}\\p{{L}}\\p{{N}}]+")
+
+
 class WordEncoder:
-    """Encodes texts word by word, as the tokenizer does whole texts, and remembers words.
+    """Encodes texts piece by piece, as the tokenizer does whole texts, and remembers pieces.
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are those of
-    its words (cut at ASCII white space) in order. Letters followed by full stops or commas are
-    cut once more, since the pre-tokenizer always does.
+    The tokenizer normalises a text, cuts it into pieces by a pattern and encodes each on its own,
+    so a text's ids are those of its pieces in order. Pieces are cut here; texts whose
+    normalisation is more than lower-casing (or that hold a special token's string) go through the
+    tokenizer as a whole.
     """
 
-    _tail = re.compile(r"([A-Za-z]+)([.,]+)")
-
     def __init__(self, path: str, words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self._encode = tokenizer.encode_batch_fast
+        self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._words, self._known = words, {}
-        self._ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
-        self._ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self._encode(texts, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words of ASCII letters, each one pre-token: many at a time, told apart by end-of-word ids."""
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            ids = self._ids([" ".join(some)])[0]
-            ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) != len(some):
-                yield from zip(some, (x.tobytes() for x in self._ids(some)), strict=True)
-                continue
-            data, ends = ids.tobytes(), (4 * ends).tolist()
-            yield from zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
-
-    def _learn(self, new: set[str]) -> None:
-        cut, letters, other = {}, set(), set()
-        for w in new:
-            m = self._tail.fullmatch(w)
-            parts = cut[w] = (m[1].lower(), m[2]) if m else (w.lower(),) if w.isascii() and w.isalpha() else (w,)
-            if parts[0] not in self._known:
-                (other if parts[0] is w and not (w.isascii() and w.isalpha()) else letters).add(parts[0])
-            if m and m[2] not in self._known:
-                other.add(m[2])
-        ids = dict(self._letters(sorted(letters)))
-        rest = list(other)
-        ids.update(zip(rest, (x.tobytes() for x in self._ids(rest)), strict=True))
-        known = self._known
-        ids.update({w: b"".join([ids[p] if p in ids else known[p] for p in parts]) for w, parts in cut.items()})
-        if len(known) + len(ids) > self._words:
-            self._known = known = {}
-        known.update(ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self._bytes = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if any(t in text for t in self._special):
+            return None
+        if text.isascii() or not NOT_LATIN.search(text):
+            return LATIN_PIECES.findall(text.lower())
+        if max(text) < "\u3000" and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+            return PIECES.findall(text.lower())
+        return None
+
+    def _learn(self, piece: str) -> bytes:
+        shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._bytes)
+        ids = np.array([t.id for t in self._model.tokenize(shown)], "<u4").tobytes()
+        if len(piece) <= CACHE_LENGTH:
+            self._known[piece] = ids
+        return ids
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [re.split("[ \t\n\r\x0b\x0c]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        here, known = set().union(*split), self._known
-        here.discard("")
-        long = {w for w in here if len(w) > CACHE_LENGTH}
-        new = {w for w in here if w not in known and w not in long}
-        if new:
-            self._learn(new)
-            known = self._known
-        if long or "" in here or len(known) < len(here) or any(w not in known for w in here):
-            return [b"".join([known[w] if w in known else self._ids([w])[0].tobytes() for w in words]) for words in split]
-        return [b"".join([known[w] for w in words if w]) for words in split]
+        for text in texts:
+            pieces = self._pieces(text)
+            if pieces is None:
+                yield np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            new = set(pieces).difference(self._known)
+            if len(self._known) + len(new) > self._words:
+                self._known, new = {}, set(pieces)
+            own = {p: self._learn(p) for p in new}
+            if any(len(p) > CACHE_LENGTH for p in new):
+                yield b"".join([self._known[p] if p in self._known else own[p] for p in pieces])
+            else:
+                yield b"".join(map(self._known.__getitem__, pieces))
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if uri.startswith("file:") else uri)
 
 
-def _strings(batch: pa.RecordBatch, k: int) -> list[str]:
-    return [t or "" for t in batch.column(k).to_pylist()]
+def _strings(batch: pa.RecordBatch, k: int) -> Iterator[str]:
+    return (t.as_py() or "" for t in batch.column(k))
 
 
 def trained_dictionary(docs: DataFrame, encoder: str, end_id: int = END_ID) -> bytes:
