@@ -13,8 +13,8 @@ POSTAL_LINE = "(?s)^(.*?)([0-9]{5})[\\s\\x0B]*([A-Za-z0-9][^\\n]*)?$"
 
 
 def commune_lists(communes: DataFrame) -> DataFrame:
-    """postal_code and its communes in table order, from rows (postal_code, commune[, ord])."""
-    place = F.col("ord") if "ord" in communes.columns else F.monotonically_increasing_id()
+    """postal_code and its communes by ``ord`` (by name without it), from rows (postal_code, commune[, ord])."""
+    place = F.col("ord") if "ord" in communes.columns else F.col("commune")
     rows = communes.select("postal_code", F.struct(place.alias("ord"), "commune").alias("x"))
     return rows.groupBy("postal_code").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["commune"]).alias("communes"))
 

@@ -12,8 +12,9 @@ BROADCAST_ROWS = 200_000
 
 
 def clean_register(register: DataFrame) -> DataFrame:
-    """code, bic and name, one row per code: of rows (code, bic, name[, ord]) the last by ``ord``; blank BICs are null."""
-    place = F.col("ord") if "ord" in register.columns else F.monotonically_increasing_id()
+    """code, bic and name, one row per code: of rows (code, bic, name[, ord]) the last by ``ord``
+    (without it the largest by name); blank BICs are null."""
+    place = F.col("ord") if "ord" in register.columns else F.struct("name", F.coalesce("bic", F.lit("")))
     rows = register.select("code", F.nullif(F.trim("bic"), F.lit("")).alias("bic"), "name", place.alias("ord"))
     return rows.groupBy("code").agg(F.max_by(F.struct("bic", "name"), "ord").alias("x")).select("code", "x.bic", "x.name")
 

@@ -39,7 +39,7 @@ def rank_quantiles(rows: DataFrame, keys: list[str], value: str, indices: dict[s
     upto = F.sum("__c").over(group.orderBy(value))
     ranked = counted.withColumn("__upto", upto).withColumn("__n", F.sum("__c").over(group))
     at = [F.max(F.when((index(F.col("__n")) >= F.col("__upto") - F.col("__c")) & (index(F.col("__n")) < F.col("__upto")), F.col(value))).alias(name) for name, index in indices.items()]
-    return ranked.groupBy(*keys).agg(F.max("__n").alias("n"), *at)
+    return ranked.groupBy(*keys).agg(F.max("__n").alias("n"), *at).where("n is not null")
 
 
 def distributions(rows: DataFrame, keys: list[str], metrics: dict[str, Column]) -> DataFrame:

@@ -57,11 +57,11 @@ def analyse(documents: DataFrame, register: DataFrame, communes: DataFrame | Non
     errors. Another hint is an error. ``error`` is null for rows without a fault.
     """
     hint = F.col("hint")
-    rows = documents.withColumn("__text", F.when(hint.isNull() | (hint == "rib"), F.col("text"))).withColumn("__code", F.when(hint.isNull() | (hint == "2ddoc"), F.col("barcode_text")))
-    rows = read_barcodes(read_identities(rows, register, communes, "__text"), certificates, "__code")
+    rows = documents.withColumn("__text", F.when(hint.isNull() | (hint == "rib"), F.col("text"))).withColumn("__barcode", F.when(hint.isNull() | (hint == "2ddoc"), F.col("barcode_text")))
+    rows = read_barcodes(read_identities(rows, register, communes, "__text"), certificates, "__barcode")
     guard = (hint == "rib") & F.col("rib").isNull() & text.is_unreadable(text.text_stats(F.col("__text")))
     error = F.when(hint.isNotNull() & ~hint.isin("rib", "2ddoc"), F.concat(F.lit("unknown hint: "), hint)).when(hint == "2ddoc", F.col("ddoc_error"))
-    return rows.withColumn("unreadable", F.coalesce(guard, F.lit(False))).withColumn("error", error).drop("__text", "__code", "ddoc_error")
+    return rows.withColumn("unreadable", F.coalesce(guard, F.lit(False))).withColumn("error", error).drop("__text", "__barcode", "ddoc_error")
 
 
 def analysis_json() -> Column:

@@ -30,7 +30,7 @@ def test_signed_document(spark, keys):
 
 def test_faults_become_errors(spark, keys):
     flipped = V3.replace("NATACHA", "NATACHE")
-    rows = read(spark, keys, flipped, V3.replace("\x1f", ""), V3.replace("26FR24", "QQFR24"), "DC05" + V3[4:], "hello", None, V3.replace("FEDM", "0EDM"), V3.replace("FR000001", "FR999999"), "DC03FR000001123FFFFF0101")
+    rows = read(spark, keys, flipped, V3.split("\x1f")[0], V3.replace("26FR24", "QQFR24"), "DC05" + V3[4:], "hello", None, V3.replace("FEDM", "0EDM"), V3.replace("FR000001", "FR999999"), "DC03FR000001123FFFFF0101")
     assert rows[0]["ddoc"]["signature_ok"] is False
     assert rows[1]["ddoc_error"] == "no signature"
     assert rows[2]["ddoc"] is None and rows[2]["ddoc_error"] == "unknown field QQ"

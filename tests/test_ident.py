@@ -52,7 +52,7 @@ def test_bic(one):
     assert one(I.extract_bic(L("BIC CRLYFRPP IBAN"), iban)) == "CRLYFRPP"
     assert one(I.extract_bic(L("BOUS FRPP XXX"), iban)) == "BOUS FRPP XXX"
     assert one(I.extract_bic(L("P S S T FR PPN TE"), iban)) == "PSSTFRPPNTE"
-    assert one(I.extract_bic(L("CRLYFRPP SOGEFRPP"), iban)) is None
+    assert one(I.extract_bic(L("CRLYFRPP, SOGEFRPP"), iban)) is None
     assert one(I.extract_bic(L("CRLYFRPP SOGEFRPP"), iban, L("SOGE"))) == "SOGEFRPP"
     assert one(I.extract_bic(L("NBICFR76300"), L("FR76 3001 0000"))) is None
 
