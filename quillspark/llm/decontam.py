@@ -71,7 +71,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     wanted = tokens.select("token").distinct().union(docs.sparkSession.range(1).select(F.xxhash64(F.lit("head"))))
     start, base = F.lit(None).cast("int"), 1
     counts = [F.greatest(F.col("n_words") - q + 1, F.lit(0)) for q in lengths]
-    for k in reversed(range(len(lengths))):
+    for k in range(len(lengths)):
         first = sum(counts[:k], F.lit(base))
         start = F.when(F.col("pos") >= first, F.col("pos") - first).otherwise(start)
     near = window - 1
