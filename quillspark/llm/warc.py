@@ -126,7 +126,7 @@ def page_records(pages: DataFrame) -> DataFrame:
     """
     tag = F.substring(F.sha2(F.coalesce("html", F.lit("")), 256), 1, 16)
     time = F.timestamp_seconds(F.col("page_id"))
-    date = F.date_format(time, "yyyy-MM-dd HH:mm:ss")
+    date = F.concat(F.lit("second "), F.col("page_id").cast("string"))
     full = pages.select(
         (F.col("page_id") * 2).alias("record_id"),
         "url",
@@ -145,7 +145,7 @@ def page_records(pages: DataFrame) -> DataFrame:
         "url",
         seen.alias("captured"),
         F.lit(304).alias("status"),
-        F.create_map(F.lit("etag"), by_tag, F.lit("last-modified"), by_date, F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=120"), F.lit("Date"), F.date_format(seen, "yyyy-MM-dd HH:mm:ss")).alias("headers"),
+        F.create_map(F.lit("etag"), by_tag, F.lit("last-modified"), by_date, F.lit("Content-Length"), F.lit("0"), F.lit("Cache-Control"), F.lit("max-age=120"), F.lit("Date"), F.concat(F.lit("second "), (F.col("page_id") + 1800).cast("string"))).alias("headers"),
         F.lit(None).cast("string").alias("html"),
     )
     return full.unionByName(again)
