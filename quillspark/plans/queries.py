@@ -393,7 +393,7 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH r AS (SELECT upper(p_name) AS e, {_READ} AS f FROM part), c AS (SELECT e, f, unnest(range(1, length(e) + 1)) AS k FROM r WHERE octet_length(CAST(e AS BLOB)) = octet_length(CAST(f AS BLOB)))
+    WITH r AS (SELECT upper(p_name) AS e, {_READ} AS f FROM part), c AS (SELECT e, f, unnest(range(1, length(e) + 1)) AS k FROM r WHERE strlen(e) = strlen(f))
     SELECT e[k] AS expected, f[k] AS found, count(*) AS n FROM c WHERE e[k] <> f[k] GROUP BY 1, 2
 """)
 def confusion_pairs(spark, sf_dir):
@@ -401,7 +401,7 @@ def confusion_pairs(spark, sf_dir):
 
 
 @query(f"""
-    WITH r AS (SELECT upper(p_name) AS e, {_READ} AS f FROM part), c AS (SELECT e, f, unnest(range(1, length(e) + 1)) AS k FROM r WHERE octet_length(CAST(e AS BLOB)) = octet_length(CAST(f AS BLOB)))
+    WITH r AS (SELECT upper(p_name) AS e, {_READ} AS f FROM part), c AS (SELECT e, f, unnest(range(1, length(e) + 1)) AS k FROM r WHERE strlen(e) = strlen(f))
     SELECT CAST(k - 1 AS INTEGER) AS pos, count(*) AS n FROM c WHERE e[k] <> f[k] GROUP BY 1
 """)
 def confusion_positions(spark, sf_dir):
