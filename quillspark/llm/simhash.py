@@ -203,9 +203,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     prints = written(fingerprints(docs, shingle, seed, total is not None).withColumn("id", F.xxhash64("fp", "fp2")), "fingerprints")
     roots = near_components(prints, distance, total)
     firsts = prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    named = firsts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("size"))
-    names = written(named.join(least.where("size > 1"), "root").select("id", "component_id"), "components")
+    # both sides of the join on a root are written tables, whose large partitions Spark can split
+    named = written(firsts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
+    least = written(named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("size")).where("size > 1"), "least")
+    names = written(named.join(least, "root").select("id", "component_id"), "components")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(names, "id", "left").select("doc_id", "fp", digits, F.coalesce("component_id", "doc_id").alias("component_id"))
 
