@@ -41,7 +41,7 @@ MOST_MEMBERS = 1024
 #: Members of the largest group whose pairs are compared directly, many groups at a time.
 PAIRED = 8
 #: Window starts treated at a time, and pairs compared at a time.
-CHUNK, PAIRS = 1 << 20, 1 << 14
+CHUNK, PAIRS = 1 << 18, 1 << 13
 
 
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     """
     places, grams, contexts = [], [], []
     width, before = length - gram + 1, length - gram
-    up, down = _powers(1 << 21)
+    up, down = _powers(1 << 19)
     for at in range(0, len(data) - length + 1, CHUNK):
         base = max(0, at - before)
         part = np.frombuffer(data[base : at + CHUNK + 2 * length], np.uint8)
@@ -323,15 +323,24 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     before = length - gram
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            counts = [len(r[2]) for r in rows]
+            t1, t2, size = (np.repeat(np.array([r[k] for r in rows], np.int64), counts) for k in (0, 1, 5))
+            place, grams, contexts = (np.concatenate([r[k] for r in rows]) for k in (2, 3, 4))
+            cols = [t1, t2, place, grams, contexts, np.minimum(place, before).astype(np.int16), np.minimum(size - place, length).astype(np.int16)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["t1", "t2", "place", "gram", "context", "ll", "rl"])
+
         for batch in batches:
-            t1, t2 = (batch.column(k).to_numpy() for k in (0, 1))
-            per = [(*anchors(data := x.as_buffer().to_pybytes(), length, gram), len(data)) for x in batch.column(2)]
-            counts = [len(p[0]) for p in per]
-            if sum(counts):
-                place, grams, contexts = (np.concatenate([p[k] for p in per]) for k in range(3))
-                size = np.repeat([p[3] for p in per], counts)
-                cols = [np.repeat(t1, counts), np.repeat(t2, counts), place, grams, contexts, np.minimum(place, before).astype(np.int16), np.minimum(size - place, length).astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["t1", "t2", "place", "gram", "context", "ll", "rl"])
+            rows, size = [], 0
+            for t1, t2, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = x.as_buffer().to_pybytes()
+                rows.append((t1, t2, *anchors(data, length, gram), len(data)))
+                size += len(data)
+                if size >= CHUNK:
+                    yield out(rows)
+                    rows, size = [], 0
+            if rows:
+                yield out(rows)
 
     kind = "t1 bigint, t2 bigint, place bigint, gram bigint, context bigint, ll smallint, rl smallint"
     all_anchors = written(texts.where(F.octet_length("data") >= length).select("t1", "t2", "data").mapInArrow(found, kind), "anchors")
