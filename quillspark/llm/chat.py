@@ -21,20 +21,21 @@ BLOCK = 1024
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def _summed(parts: list[Column]) -> list[Column]:
-    return [F.sum(p.cast("decimal(38,0)")) for p in parts]
+def _marks() -> list[Column]:
+    """128 bits over a turn's role and text, nulls told apart from empty strings."""
+    return [F.xxhash64(F.lit(seed), F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias(f"m{seed}") for seed in (1, 2)]
 
 
 def numbered(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per different (conv_id, turn, role, text) with its place in the conversation.
+    """One row per different turn (conv_id, turn, m1, m2) with its place in the conversation, without its text.
 
-    Adds part, place (from 1), n_turns and the two running hashes h1, h2. Turns order by number
-    (null first), then role and text; rows that repeat wholly count once.
+    Adds part, place (from 1), n_turns and the running hashes h1, h2 of the part. Turns order by
+    number (null first), turns of one number by a hash; rows that repeat wholly count once.
     """
-    rows = turns.select("conv_id", "turn", "role", "text").groupBy("conv_id", "turn", "role", "text").agg(F.lit(1).alias("one")).drop("one")
+    rows = turns.select("conv_id", "turn", *_marks()).distinct()
     rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / block), F.lit(-1 << 62)))
-    in_part = Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = written(rows.withColumn("rank", F.row_number().over(in_part).cast("long")), "chat-turns")
+    order = Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), "m1", "m2")
+    rows = written(rows.withColumn("rank", F.row_number().over(order).cast("long")), "chat-turns")
     sizes = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("size"))
     over = Window.partitionBy("conv_id")
     sizes = sizes.select(
@@ -44,14 +45,13 @@ def numbered(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         F.sum("size").over(over).alias("n_turns"),
     )
     placed = rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).withColumn("place", F.col("first") + F.col("rank"))
-    marks = [F.xxhash64(F.lit(seed), "place", F.col("role").isNull(), "role", F.col("text").isNull(), "text").cast("decimal(38,0)") for seed in (1, 2)]
+    bits = [F.xxhash64(F.lit(seed), "place", "m1", "m2").cast("decimal(38,0)") for seed in (1, 2)]
     running = Window.partitionBy("conv_id", "part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.select("conv_id", "part", "place", "n_turns", "role", "text", F.sum(marks[0]).over(running).alias("h1"), F.sum(marks[1]).over(running).alias("h2"))
-    return written(placed, "chat-places")
+    return written(placed.select("conv_id", "part", "place", "n_turns", "turn", "m1", "m2", *[F.sum(b).over(running).alias(f"h{k + 1}") for k, b in enumerate(bits)]), "chat-places")
 
 
-def collapsed(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The turns of maximal conversations: conv_id, part, place, n_turns, copies, role, text.
+def kept_turns(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+    """conv_id, part, place, n_turns, copies, turn, m1, m2 of the turns of maximal conversations.
 
     ``copies`` is the number of conversations equal to the kept one, itself included; of equal
     ones the smallest conv_id stays (a null one only if it has no equal).
@@ -61,6 +61,7 @@ def collapsed(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("decimal(38,0)")
     parts = parts.withColumn("b1", F.coalesce(F.sum("s1").over(before), zero)).withColumn("b2", F.coalesce(F.sum("s2").over(before), zero))
+    parts = written(parts, "chat-parts")
     whole = parts.where("last = n_turns").select("conv_id", F.col("n_turns").alias("n"), (F.col("s1") + F.col("b1")).alias("k1"), (F.col("s2") + F.col("b2")).alias("k2"))
     classes = whole.groupBy("n", "k1", "k2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
     bases = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "b1", "b2")
@@ -72,7 +73,19 @@ def collapsed(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         .distinct()
     )
     kept = classes.join(prefixes, ["n", "k1", "k2"], "left_anti").select(F.col("conv_id").alias("kept"), "copies")
-    return places.join(kept, F.col("conv_id").eqNullSafe(F.col("kept"))).select("conv_id", "part", "place", "n_turns", "copies", "role", "text")
+    return places.join(kept, F.col("conv_id").eqNullSafe(F.col("kept"))).select("conv_id", "part", "place", "n_turns", "copies", "turn", "m1", "m2")
+
+
+def collapsed(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The turns of maximal conversations: conv_id, part, place, n_turns, copies, role, text.
+
+    Texts join the kept places here, their first and only shuffle so far; a turn whose row repeats
+    may come more than once, with the same place.
+    """
+    kept = written(kept_turns(turns, block), "chat-kept")
+    own = kept.select(*[F.col(c).alias(f"k_{c}") for c in ("conv_id", "turn", "m1", "m2")], "part", "place", "n_turns", "copies")
+    same = F.col("conv_id").eqNullSafe(F.col("k_conv_id")) & F.col("turn").eqNullSafe(F.col("k_turn")) & (F.col("m1") == F.col("k_m1")) & (F.col("m2") == F.col("k_m2"))
+    return turns.select("conv_id", "turn", "role", "text", *_marks()).join(own, same).select("conv_id", "part", "place", "n_turns", "copies", "role", "text")
 
 
 def rendered(turns: DataFrame, block: int = BLOCK, start: str = START, end: str = END) -> DataFrame:
@@ -85,7 +98,7 @@ def rendered(turns: DataFrame, block: int = BLOCK, start: str = START, end: str
     kept = collapsed(turns, block)
     line = F.concat(F.lit(start), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end + "\n"))
     parts = kept.groupBy("conv_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"), F.max("n_turns").alias("n_turns"), F.max("copies").alias("copies")
+        F.array_sort(F.collect_set(F.struct("place", line.alias("line")))).alias("lines"), F.max("n_turns").alias("n_turns"), F.max("copies").alias("copies")
     )
     over = Window.partitionBy("conv_id")
     return parts.select(
