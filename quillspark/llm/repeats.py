@@ -14,7 +14,7 @@ Suffixes are sorted in many independent pieces:
   occurrences; an interval's members ordered by what precedes them give how far each extends to
   the left together with another one (left-extension diversity). Left and right together of at
   least LENGTH bytes make a maximal repeat, and all its occurrences are marked.
-* Hot groups (more than ``MOST_MEMBERS``) are split, not cut: windows that reach between lo and hi
+* Hot groups (more than a task's fair share of all members, within ``SHARE_MEMBERS``) are split, not cut: windows that reach between lo and hi
   bytes to the left share the bytes from lo to the left up to LENGTH - hi to the right, so halving
   the range (lo, hi) splits the group by those bytes, in aggregations with partial sums, until
   groups are small or uniform, which they are at the latest when lo = hi.
@@ -37,7 +37,8 @@ from quillspark.llm.licenses import _mixed, _powers
 from quillspark.llm.shared import drop_written, shared_path, shuffles_removed, written
 
 LENGTH, GRAM = 200, 64
-MOST_MEMBERS = 1024
+#: Least and most members of a group that count as a task's fair share (at most 3 MB, a quarter of a second).
+SHARE_MEMBERS = (1024, 8192)
 #: Members of the largest group whose pairs are compared directly, many groups at a time.
 PAIRED = 8
 #: Window starts treated at a time, and pairs compared at a time.
@@ -241,9 +242,14 @@ def _members(texts: DataFrame, picked: DataFrame, length: int, gram: int) -> Dat
 
 
 def _split_hot(members: DataFrame, length: int, gram: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Splits groups until each has at most ``most`` members or is uniform: (members, marks)."""
+    """Splits groups until each has at most ``most`` different members: (members, marks).
+
+    Members whose bytes are equal over all that a range of windows can reach repeat there wholly;
+    one of them stands for all in the next round.
+    """
     before = length - gram
     small, marks, now = [], [], written(members, "hot")
+    names = [f.split()[0] for f in MEMBER.split(", ")]
     while True:
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("hi").alias("b"))))
@@ -252,13 +258,17 @@ def _split_hot(members: DataFrame, length: int, gram: int, most: int) -> tuple[l
         core = F.expr(f"substring(around, {before + 1} - lo, {length} - hi + lo)")
         whole = F.expr(f"substring(around, {before + 1} - hi, {length} - lo + hi)")
         rows = rows.withColumn("key", F.xxhash64("lo", "hi", core)).withColumn("whole", F.xxhash64(F.least("ll", "hi"), F.least("rl", F.lit(length) - F.col("lo")), whole))
-        sizes = written(rows.groupBy("key", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("w1"), F.max("whole").alias("w2")).where("n > 1"), "hot-sizes")
-        rows = written(rows.join(sizes, ["key", "lo", "hi"]).drop("whole"), "hot-split")
+        rows = written(rows, "hot-halves")
+        equal = rows.groupBy("key", "lo", "hi", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "place")).alias("one"))
+        equal = written(equal, "hot-equal")
+        groups = equal.groupBy("key", "lo", "hi").agg(F.count(F.lit(1)).alias("different"))
+        known = written(equal.join(groups, ["key", "lo", "hi"]).where("n > 1 or different > 1"), "hot-groups")
+        rows = written(rows.join(known, ["key", "lo", "hi", "whole"]).drop("whole"), "hot-split")
         l, r = F.least("ll", "hi"), F.least("rl", F.lit(length) - F.col("lo"))
-        marks.append(rows.where("w1 = w2").where(l + r >= length).select("t1", "t2", (F.col("place") - l).alias("a"), (F.col("place") + r).alias("b")))
-        names = [f.split()[0] for f in MEMBER.split(", ")]
-        small.append(rows.where(f"w1 <> w2 and n <= {most}").select(*names))
-        now = rows.where(f"w1 <> w2 and n > {most}").select(*names)
+        marks.append(rows.where("n > 1").where(l + r >= length).select("t1", "t2", (F.col("place") - l).alias("a"), (F.col("place") + r).alias("b")))
+        left = rows.where("different > 1").where(F.struct("t1", "t2", "place") == F.col("one"))
+        small.append(left.where(f"different <= {most}").select(*names))
+        now = left.where(f"different > {most}").select(*names)
         if now.isEmpty():
             return small, marks
 
@@ -304,13 +314,14 @@ def _keys() -> list:
     return [F.xxhash64(data).alias("t1"), F.xxhash64(F.lit(7), data).alias("t2")]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_MEMBERS) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): what goes because a string of ``length`` bytes repeats.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes
     that stay) and spans (start and end byte of each run). Texts are UTF-8 bytes, null is empty;
     matches don't cross documents; equal rows are occurrences of each other; texts shorter than
     ``length`` keep all; an empty table gives an empty result. Strings are judged on the input.
+    ``most`` sets the members above which a group is split; the result doesn't depend on it.
     """
     spark: SparkSession = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -355,6 +366,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     drop_written(picked)
     sizes = written(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
     picked = written(contexts.join(sizes, "gram").select("gram", "one.*", "members"), "members")
+    if most is None:
+        most = min(max(picked.count() // n, SHARE_MEMBERS[0]), SHARE_MEMBERS[1])
     groups = [_members(texts, picked.where(F.col("members") <= most), length, gram)]
     hot = picked.where(F.col("members") > most)
     if not hot.isEmpty():
