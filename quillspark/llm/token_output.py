@@ -40,6 +40,7 @@ HEADER, FOOTER, ENTRY = "<8s32sI", "<QQ8s", np.dtype([("at", "<u8"), ("length",
 END_ID = 2
 #: The dictionary is trained on this many documents at most (smallest row hashes), cut to so many bytes each.
 DICTIONARY_DOCS, DICTIONARY_SAMPLE, DICTIONARY_BYTES = 2000, 4096, 65536
+LEVEL = 3
 #: Words whose ids a worker remembers, and bytes of the longest remembered one.
 CACHE_WORDS, CACHE_LENGTH = 800_000, 64
 #: Bytes of compressed frames that a writer holds before it passes them on.
@@ -150,7 +151,12 @@ def trained_dictionary(docs: DataFrame, encoder: str, end_id: int = END_ID) -> b
 
 
 def _codec(dictionary: bytes, make: Callable):
-    return make(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else make()
+    if not dictionary:
+        return make()
+    loaded = zstandard.ZstdCompressionDict(dictionary)
+    if make is zstandard.ZstdCompressor:
+        loaded.precompute_compress(level=LEVEL)  # else each document would load the dictionary anew
+    return make(dict_data=loaded)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
