@@ -9,6 +9,7 @@ those with the smallest row hashes. Scoring covers whole texts.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -215,6 +216,18 @@ class Scorer:
         return out
 
 
+_scorers: dict[bytes, Scorer] = {}
+
+
+def scorer_of(vocab: dict[str, int], probs: np.ndarray) -> Scorer:
+    """The worker's scorer for that model, kept from task to task."""
+    key = hashlib.sha256(probs.tobytes()).digest()
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(vocab, probs)
+    return _scorers[key]
+
+
 def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: dict[str, int]) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text).
 
@@ -228,7 +241,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: dict[
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*sent.value)
+        scorer = scorer_of(*sent.value)
         for batch in batches:
             scores = scorer.score(batch.column(2).to_pylist()) if langs else [None] * batch.num_rows
             best, sure = [], []
@@ -263,7 +276,7 @@ def identified_documents(docs: DataFrame, least_score: float = 0.5, vocab_path:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*sent.value)
+        scorer = scorer_of(*sent.value)
         for batch in batches:
             scores = scorer.score(batch.column(place).to_pylist()) if langs else [None] * batch.num_rows
             keep = [x is not None and 1.0 / np.exp(x - x.max()).sum() >= least_score for x in scores]

@@ -42,7 +42,7 @@ END_ID = 2
 DICTIONARY_DOCS, DICTIONARY_SAMPLE, DICTIONARY_BYTES = 2000, 4096, 65536
 LEVEL = 3
 #: Words whose ids a worker remembers, and bytes of the longest remembered one.
-CACHE_WORDS, CACHE_LENGTH = 800_000, 64
+CACHE_WORDS, CACHE_LENGTH = 700_000, 64
 #: Bytes of compressed frames that a writer holds before it passes them on.
 BUFFER = 4 << 20
 
@@ -115,6 +115,17 @@ class WordEncoder:
                 yield b"".join(map(self._known.__getitem__, pieces))
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder for that tokenizer, kept from task to task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if uri.startswith("file:") else uri)
 
@@ -134,7 +145,7 @@ def trained_dictionary(docs: DataFrame, encoder: str, end_id: int = END_ID) -> b
     picked = docs.select(F.col("text").cast("string").alias("text"), row_hash(docs).alias("key")).where(F.col("key") <= keys).select(F.substring("text", 1, DICTIONARY_SAMPLE).alias("text")).limit(DICTIONARY_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordEncoder(encoder)
+        words = encoder_of(encoder)
         for batch in batches:
             ids = [x[:DICTIONARY_SAMPLE] for x in words.encode(_strings(batch, 0))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
@@ -179,7 +190,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), row_hash(docs).alias("tie")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer, end = WordEncoder(path), _codec(dictionary, zstandard.ZstdCompressor), struct.pack("<I", end_id)
+        words, packer, end = encoder_of(path), _codec(dictionary, zstandard.ZstdCompressor), struct.pack("<I", end_id)
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.qtok"
         index, keys, offset, n_ids, out = [], [], struct.calcsize(HEADER), 0, None
