@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.shared import ascii_lower, bound, written
+from quillspark.functions.basic import bound
+from quillspark.llm.shared import ascii_lower, written
 
 WINDOW = 10
 SHINGLE = 3
