@@ -261,7 +261,7 @@ def _split_hot(members: DataFrame, length: int, gram: int, most: int) -> tuple[l
         rows = written(rows, "hot-halves")
         equal = rows.groupBy("key", "lo", "hi", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "place")).alias("one"))
         equal = written(equal, "hot-equal")
-        groups = equal.groupBy("key", "lo", "hi").agg(F.count(F.lit(1)).alias("different"))
+        groups = written(equal.groupBy("key", "lo", "hi").agg(F.count(F.lit(1)).alias("different")), "hot-sizes")
         known = written(equal.join(groups, ["key", "lo", "hi"]).where("n > 1 or different > 1"), "hot-groups")
         rows = written(rows.join(known, ["key", "lo", "hi", "whole"]).drop("whole"), "hot-split")
         l, r = F.least("ll", "hi"), F.least("rl", F.lit(length) - F.col("lo"))
