@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.shared import row_hash, written
+from quillspark.llm.shared import drop_written, row_hash, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -211,19 +211,138 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return prints.join(names, "id", "left").select("doc_id", "fp", digits, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-#: The stage on whole documents: five-word shingles, and distances that estimate a Jaccard
-#: similarity of 0.8 or more: J = c / (2 - c) with c = cos(pi * 19 / 128) is 0.81.
-STAGE_SHINGLE, STAGE_DISTANCE, STAGE_TOTAL = 5, 9, 19
+#: The stage on whole documents: a Jaccard similarity of five-word shingles of at least 0.8, decided
+#: exactly. Candidates agree on a band of ROWS of BANDS * ROWS MinHash values: a pair at 0.8 agrees
+#: on none with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7.
+STAGE_SHINGLE, STAGE_LEAST = 5, 0.8
+BANDS, ROWS = 40, 5
+#: Shingles taken through the MinHash functions at a time.
+COLUMNS = 1024
 
 
-def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, total: int = STAGE_TOTAL, seed: int = SEED) -> DataFrame:
+def _constants(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
+    return a | np.uint32(1), b
+
+
+def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A key for every band of the MinHash values of a set of shingle hashes; none if it is empty."""
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    low, least = hashes.astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(low), COLUMNS):
+            least = np.minimum(least, (low[at : at + COLUMNS] * a + b).min(axis=1))
+        keys = np.arange(BANDS, dtype=np.uint64)
+        for row in least.reshape(BANDS, ROWS).T:
+            keys = second_hashes(keys ^ row)
+    return keys
+
+
+def shingle_sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """doc_id, text, id (a hash of the set of shingles), n (its size) and its band keys, of every row of ``docs``; no shuffle."""
+    fields = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _constants(seed)
+        for batch in batches:
+            ids, sizes, keys = [], [], []
+            for text in batch.column(1):
+                hashes = np.unique(shingle_hashes(text.as_py(), shingle, seed))
+                ids.append(xxhash.xxh3_64_intdigest(hashes.tobytes(), seed))
+                sizes.append(len(hashes))
+                keys.append(band_keys(hashes, a, b).view(np.int64))
+            cols = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text", "id", "n", "keys"])
+
+    return fields.mapInArrow(run, f"doc_id {fields.schema['doc_id'].dataType.simpleString()}, text string, id bigint, n bigint, keys array<bigint>")
+
+
+def linked_sets(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For every set of hashes the first set that it is connected with by Jaccard similarities of at least ``least``.
+
+    Breadth first, as ``star_links``: a reached set is compared with those not yet reached, so
+    memory stays in proportion to the sets.
+    """
+    sizes = np.array([len(s) for s in sets])
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = lambda k: flat[ends[k] - sizes[k] : ends[k]]
+    root, rest, mark = np.arange(len(sets)), np.arange(len(sets)), np.zeros(len(words), bool)
+    held = flat
+    while len(rest) > 1:
+        centre, front = rest[0], [rest[0]]
+        rest, held = rest[1:], held[sizes[rest[0]] :]
+        while front and len(rest):
+            f = front.pop()
+            mark[own(f)] = True
+            both = np.add.reduceat(mark[held], np.cumsum(sizes[rest]) - sizes[rest], dtype=np.int64)
+            mark[own(f)] = False
+            near = both / (sizes[f] + sizes[rest] - both) >= least
+            if near.any():
+                front += rest[near].tolist()
+                root[rest[near]] = centre
+                held, rest = held[np.repeat(~near, sizes[rest])], rest[~near]
+    return root
+
+
+def _set_links(shingle: int, least: float, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches (root, id, text) sorted by root; a group that goes on in the next batch waits for it."""
+        ids, sets, now = [], [], None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                at = np.array(ids)
+                root = linked_sets(sets, least)
+                linked = root != np.arange(len(root))
+                yield pa.RecordBatch.from_arrays([pa.array(at[linked]), pa.array(at[root[linked]])], ["u", "v"])
+
+        for batch in batches:
+            for root, one, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if root.as_py() != now:
+                    yield from out()
+                    ids, sets, now = [], [], root.as_py()
+                ids.append(one.as_py())
+                sets.append(np.unique(shingle_hashes(text.as_py(), shingle, seed)))
+        yield from out()
+
+    return run
+
+
+def similar_components(sets: DataFrame, shingle: int, least: float, seed: int) -> DataFrame:
+    """(id, root) of the different ids of ``sets`` that link to another and aren't the smallest of their component.
+
+    Texts that share a band, directly or over others, form a group; each text goes to its group
+    once, and all texts of a group are compared there until they are connected.
+    """
+    one = sets.dropDuplicates(["id"])
+    keyed = one.select(F.explode("keys").alias("key"), "id")
+    buckets = written(keyed.groupBy("key").agg(F.collect_list("id").alias("members")).where(F.size("members") > 1), "buckets")
+    groups = components(buckets.select(F.array_min("members").alias("u"), F.explode("members").alias("v")))
+    groups = groups.select(F.col("node").alias("id"), "root").unionByName(groups.select(F.col("root").alias("id"), "root").distinct())
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = groups.join(one.select("id", "text"), "id").select("root", "id", "text").repartition(n, "root").sortWithinPartitions("root")
+    links = dealt.mapInArrow(_set_links(shingle, least, seed), "u bigint, v bigint")
+    roots = components(links).select(F.col("node").alias("id"), "root")
+    drop_written(buckets)
+    return roots
+
+
+def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = STAGE_LEAST, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id.
 
-    Of rows that share that doc_id the one with the smallest row hash stays, of wholly equal rows
-    one. Documents without words are all alike. All columns are kept, whatever their names.
+    Two texts are linked if their sets of ``shingle``-word runs have a Jaccard similarity of at
+    least ``least``. Of rows that share that doc_id the one with the smallest row hash stays, of
+    wholly equal rows one. Documents without words are all alike. All columns are kept, whatever
+    their names.
     """
     keyed = docs.select(F.struct("doc_id", row_hash(docs).alias("tie")).alias("doc_id"), "text")
-    classes = near_duplicates(keyed, shingle, distance, seed, total)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.tie").alias("tie")).distinct()
+    sets = written(shingle_sets(keyed, shingle, seed), "sets")
+    roots = similar_components(sets, shingle, least, seed)
+    firsts = sets.groupBy("id").agg(F.min("doc_id").alias("first")).join(roots, "id", "left")
+    kept = written(firsts.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.tie").alias("tie")).distinct(), "kept")
+    drop_written(sets)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(docs).alias("tie"))
     return rows.join(kept, "tie").dropDuplicates(["tie"]).select("row.*")

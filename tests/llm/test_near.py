@@ -99,6 +99,26 @@ def test_one_of_each_group_stays(docs):
     assert simhash.one_of_each(docs([])).count() == 0
 
 
+def test_one_of_each_is_decided_by_jaccard(docs):
+    rng = random.Random(11)
+    words = lambda n: ["v%d" % rng.randrange(10**6) for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        # sets of a and b words' shingles that share ``both``: similarities on either side of 0.8
+        base, cut = words(rng.randrange(60, 400)), rng.uniform(0.70, 0.92)
+        texts += [base, base[: round(len(base) * cut)] + words(rng.randrange(0, 3))]
+    chain = words(300)
+    texts += [chain[k * 20 :] + words(20 * k) for k in range(6)]
+    texts += [words(4), [], words(3)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = {k: {tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 1))} if t else set() for k, t in enumerate(texts)}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    pairs = [(a, b) for a in sets for b in sets if a < b and near(a, b)]
+    assert 15 < len(pairs) < 120
+    group = brute_components(sorted(sets), near)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows)).collect()) == sorted(set(group.values()))
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=30))
 def test_components_against_brute_force(spark, links):
