@@ -33,16 +33,60 @@ TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    # fragments of the notices that hold their version: whole notices of two versions are alike by over LEAST
+    "GPL-3.0": "the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "GPL-2.0": "the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License",
+    "LGPL-3.0": "the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "LGPL-2.1": "the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License",
+    "AGPL-3.0": "the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "GPL-3.0-notice": "GNU General Public License, version 3",
+    "GPL-2.0-notice": "GNU General Public License, version 2",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-licensed-notice": "Licensed under the MIT License.",
+    "BSD-2-or-3-Clause": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0": "has waived all copyright and related or neighboring rights to this work",
+    "Apache-2.0-spdx": "SPDX-License-Identifier: Apache-2.0",
+    "GPL-2.0-only-spdx": "SPDX-License-Identifier: GPL-2.0-only",
+    "GPL-2.0-or-later-spdx": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "GPL-3.0-only-spdx": "SPDX-License-Identifier: GPL-3.0-only",
+    "GPL-3.0-or-later-spdx": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "LGPL-2.1-only-spdx": "SPDX-License-Identifier: LGPL-2.1-only",
+    "LGPL-2.1-or-later-spdx": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "LGPL-3.0-only-spdx": "SPDX-License-Identifier: LGPL-3.0-only",
+    "LGPL-3.0-or-later-spdx": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "AGPL-3.0-only-spdx": "SPDX-License-Identifier: AGPL-3.0-only",
+    "AGPL-3.0-or-later-spdx": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "BSD-2-Clause-spdx": "SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause-spdx": "SPDX-License-Identifier: BSD-3-Clause",
+    "MPL-2.0-spdx": "SPDX-License-Identifier: MPL-2.0",
+    "CC0-1.0-spdx": "SPDX-License-Identifier: CC0-1.0",
+    "CC-BY-4.0-spdx": "SPDX-License-Identifier: CC-BY-4.0",
+    "CC-BY-SA-4.0-spdx": "SPDX-License-Identifier: CC-BY-SA-4.0",
 }
 
+# Notices of fewer than SHINGLE words, which are found whole.
+NOTICES = {
+    "All-rights-reserved-notice": "All rights reserved.",
+    "CC0-notice": "Licensed under CC0.",
+    "ISC-spdx": "SPDX-License-Identifier: ISC",
+    "MIT-spdx": "SPDX-License-Identifier: MIT",
+    "Unlicense-spdx": "SPDX-License-Identifier: Unlicense",
+}
+ALL = TEMPLATES | NOTICES
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _IS_WORD = np.zeros(256, bool)
@@ -168,32 +212,55 @@ def scan(docs: list[tuple[int, bytes]], templates: Templates, least: float = LEA
     return [(docs[doc][0], k, *x) for (doc, k), x in sorted(best.items())]
 
 
+class Notices:
+    """Templates of fewer words than a shingle: their one shingle is all their words."""
+
+    def __init__(self, templates: dict[str, str]):
+        self.patterns = []
+        for name, text in sorted(templates.items()):
+            words = WORD.findall(text.encode().translate(_LOWER))
+            if not words:
+                raise ValueError(f"template without words: {name}")
+            inner = rb"[^0-9a-z\x80-\xff]+".join(words)
+            self.patterns.append((name, len(words), max(words, key=len), re.compile(rb"(?<![0-9a-z\x80-\xff])" + inner + rb"(?![0-9a-z\x80-\xff])")))
+
+    def scan(self, row: int, data: bytes) -> Iterator[tuple[int, str, float, int, int]]:
+        """(row, name, containment, first word, words) of the first place of each notice in lower-cased bytes."""
+        for name, count, longest, pattern in self.patterns:
+            if longest in data and (found := pattern.search(data)):
+                yield row, name, 1.0, len(WORD.findall(data, 0, found.start())), count
+
+
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, bands: int = BANDS) -> DataFrame:
     """Licenses found in ``docs`` (doc_id, text): doc_id, license, containment, first_word, n_words.
 
     A row for each row of ``docs`` and template of which some window holds at least ``least`` of
-    the five-word shingles; containment and place are those of the first best window. Words are
+    the five-word shingles; containment and place are those of the first best window. A template of
+    fewer words is found where all its words stand in a row. Words are
     runs of a-z (A-Z lowered), 0-9 and non-ASCII characters. Null and empty texts match nothing;
     repeated rows are reported each; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = templates or TEMPLATES
+    short = {n: t for n, t in given.items() if len(WORD.findall(t.encode().translate(_LOWER))) < SHINGLE}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = Templates(given, SHINGLE, bands)
+        ready, notices = Templates({n: t for n, t in given.items() if n not in short}, SHINGLE, bands), Notices(short)
+        named = lambda rows: [(row, ready.names[k], *x) for row, k, *x in rows]
         for batch in batches:
             found, held, size = [], [], 0
             for row, text in enumerate(batch.column(1)):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass").translate(_LOWER)
                 if held and size + len(data) > CHUNK:
-                    found += scan(held, ready, least)
+                    found += named(scan(held, ready, least))
                     held, size = [], 0
+                found += notices.scan(row, data)
                 held.append((row, data))
                 size += len(data) + 1
-            found += scan(held, ready, least)
+            found += named(scan(held, ready, least))
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array([ready.names[k] for k in cols[1]], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
+                [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
                 ["doc_id", "license", "containment", "first_word", "n_words"],
             )
 

@@ -29,7 +29,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_matches(table(spark, sf_dir, "documents"))
+    return licenses.license_matches(table(spark, sf_dir, "documents"), licenses.ALL)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,20 @@ def test_licenses_against_brute_force(docs, sample):
     assert got == want
 
 
+def test_short_notices_and_families(docs):
+    rows = [(1, "a b. All Rights\n reserved, c"), (2, "overall rights reserved"), (3, "x // SPDX-License-Identifier: MIT"), (4, "all rights are reserved"), (5, "all rights reserved"), (6, None)]
+    got = sorted(tuple(r) for r in licenses.license_matches(docs(rows), licenses.ALL).collect())
+    assert got == [(1, "All-rights-reserved-notice", 1.0, 2, 3), (3, "MIT-spdx", 1.0, 1, 4), (5, "All-rights-reserved-notice", 1.0, 0, 3)]
+    texts = dict(enumerate(sorted(licenses.ALL.items())))
+    got = {(r["doc_id"], r["license"]) for r in licenses.license_matches(docs([(k, f"so {t} it") for k, (_, t) in texts.items()]), licenses.ALL).collect()}
+    apache = next(k for k, (n, _) in texts.items() if n == "Apache-2.0")
+    assert got == {(k, n) for k, (n, _) in texts.items()} | {(apache, "Apache-2.0-notice")}
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    rows = [(1, gpl), (2, gpl.replace("version 2", "version 3")), (3, gpl.replace("General", "Lesser General").replace("version 2", "version 2.1")), (4, "This work is licensed under the GNU General Public License, version 2.")]
+    got = sorted((r["doc_id"], r["license"]) for r in licenses.license_matches(docs(rows), licenses.ALL).collect())
+    assert got == [(1, "GPL-2.0"), (2, "GPL-3.0"), (3, "LGPL-2.1"), (4, "GPL-2.0-notice")]
+
+
 RECORDS = "record_id long, url string, captured timestamp, status int, headers map<string,string>, body string"
 
 
