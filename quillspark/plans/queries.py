@@ -104,6 +104,12 @@ def unreadable_guard(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.is_unreadable(text.text_stats(cut)).alias("unreadable"))
 
 
+@query(f"WITH s AS ({STATS_SQL}) SELECT doc_id, digits + alphas < 20 AND vocabulary_hits = 0 AND NOT has_iban_prefix AS unreadable FROM s")
+def unreadable_documents(spark, sf_dir):
+    """The guard on whole texts; ``unreadable_guard`` holds it against short beginnings of them."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_unreadable(text.text_stats(F.col("text"))).alias("unreadable"))
+
+
 # --- identifiers -------------------------------------------------------------------------------
 
 

@@ -159,3 +159,12 @@ def test_windowed_rates(spark):
     at = datetime.datetime(2024, 1, 1)
     d = rows(spark, "seen timestamp, verdict string", (at, "OK"), (at + datetime.timedelta(minutes=11), "OK"), (at, "KO"))
     assert sorted((r["verdict"], r["n"]) for r in extract.windowed_rates(d).collect()) == [("KO", 1), ("OK", 1), ("OK", 1)]
+
+
+def test_unreadable_looks_at_whole_texts(spark, tmp_path):
+    from quillspark.plans.queries import QUERIES
+
+    rows = [(0, "....." * 20 + " a text that can be read to its end"), (1, "....." * 20), (2, ""), (3, None), (4, "ab 12")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["unreadable"] for r in QUERIES["unreadable_documents"](spark, str(tmp_path)).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: True, 4: True}
