@@ -216,13 +216,7 @@ def bank_lookup(spark, sf_dir):
     return bank.with_bank(_ibans(spark, sf_dir), "iban", _register(spark)).select("id", "bank_name", "bic_prefix")
 
 
-@query(f"""
-    WITH {ACCOUNTS_SQL}, {BANKS_SQL}
-    SELECT id, CASE WHEN id % 4 = 3 THEN (CASE WHEN bic IS NULL THEN 'ZZZZFRPP' END) WHEN id % 4 = 2 THEN 'CEPAFRPP' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0')
-                    ELSE coalesce(bic, 'ZZZZFRPP') END AS found
-    FROM i LEFT JOIN b ON code = 'FR' || bank WHERE NOT (id % 4 = 2 AND bic IS NOT NULL)
-""")
-def bic_extract(spark, sf_dir):
+def _bics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bank.with_bank(_ibans(spark, sf_dir), "iban", _register(spark))
     rows = rows.join(F.broadcast(_register(spark)).select(F.col("name").alias("bank_name"), F.nullif("bic", F.lit("")).alias("bic")), "bank_name", "left")
     k, own = F.col("id") % 4, F.coalesce("bic", F.lit("ZZZZFRPP"))
@@ -233,7 +227,28 @@ def bic_extract(spark, sf_dir):
         .when(k == 2, F.concat(F.lit("nom : khalo  bic : CE PA FR PP "), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"), F.lit(" - ")))
         .otherwise(F.concat(F.lit("BIC ZZZZFRPP\n"), iban))
     )
-    return rows.where(~((k == 2) & F.col("bic").isNotNull())).select("id", ident.extract_bic(body, F.col("iban"), F.col("bic_prefix")).alias("found"))
+    return rows.select("id", "bic", ident.extract_bic(body, F.col("iban"), F.col("bic_prefix")).alias("found"))
+
+
+@query(f"""
+    WITH {ACCOUNTS_SQL}, {BANKS_SQL}
+    SELECT id, CASE WHEN id % 4 = 3 THEN (CASE WHEN bic IS NULL THEN 'ZZZZFRPP' END) WHEN id % 4 = 2 THEN 'CEPAFRPP' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0')
+                    ELSE coalesce(bic, 'ZZZZFRPP') END AS found
+    FROM i LEFT JOIN b ON code = 'FR' || bank WHERE NOT (id % 4 = 2 AND bic IS NOT NULL)
+""")
+def bic_extract(spark, sf_dir):
+    return _bics(spark, sf_dir).where(~((F.col("id") % 4 == 2) & F.col("bic").isNotNull())).select("id", "found")
+
+
+@query(f"""
+    WITH {ACCOUNTS_SQL}, {BANKS_SQL}
+    SELECT id, CASE WHEN id % 4 = 3 THEN (CASE WHEN bic IS NULL THEN 'ZZZZFRPP' END) WHEN id % 4 = 2 THEN (CASE WHEN bic IS NULL THEN 'CEPAFRPP' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') END)
+                    ELSE coalesce(bic, 'ZZZZFRPP') END AS found
+    FROM i LEFT JOIN b ON code = 'FR' || bank
+""")
+def bic_extract_all(spark, sf_dir):
+    """``bic_extract`` with the rows that print a BIC of another bank than the register's, which must be rejected."""
+    return _bics(spark, sf_dir).select("id", "found")
 
 
 @query("""
@@ -306,6 +321,17 @@ def crop_holders(spark, sf_dir):
     return table(spark, sf_dir, "customer").where(k < 3).select(F.col("c_custkey").alias("id"), crop_holder(crop).alias("holder"))
 
 
+@query("""
+    SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'M MATISSE' || chr(10) || '44100 NANTES' WHEN 1 THEN NULL WHEN 2 THEN 'MATISSE' || chr(10) || '44100 NANTES' ELSE 'ANNE KAHLO OU HENRI X' END AS holder
+    FROM customer
+""")
+def crop_holders_all(spark, sf_dir):
+    """``crop_holders`` on every customer, with the crop that has a title and neither label nor postal line."""
+    k = F.col("c_custkey") % 4
+    crop = F.when(k == 0, "Titulaire du compte\nM MATISSE\n44100 NANTES\nDomiciliation").when(k == 1, "51 RUE BERNARD\n44100 NANTES").when(k == 2, "Nom et adresse du bénéficiaire\nMATISSE\n44100 NANTES\nx").otherwise("ANNE KAHLO OU HENRI X")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), crop_holder(crop).alias("holder"))
+
+
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of which every tenth IBAN is lost, every seventh damaged and every ninth holder cut, with their truth."""
     rows = _ibans(spark, sf_dir)

@@ -168,3 +168,12 @@ def test_unreadable_looks_at_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["unreadable"] for r in QUERIES["unreadable_documents"](spark, str(tmp_path)).collect()}
     assert got == {0: False, 1: True, 2: True, 3: True, 4: True}
+
+
+def test_crops_and_bics_cover_every_customer(spark):
+    from quillspark.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    customers = spark.read.parquet(f"{sf}/customer.parquet").count()
+    for name in ("crop_holders_all", "bic_extract_all"):
+        assert QUERIES[name](spark, sf).count() == customers
