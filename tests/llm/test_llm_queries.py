@@ -38,7 +38,8 @@ def test_query(spark, name):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
         result = con.execute(ORACLE_SQL[name])
         names = [d[0] for d in result.description]
-        assert sorted(tuple(r[c] for c in sorted(df.columns)) for r in rows) == sorted(tuple(r[names.index(c)] for c in sorted(names)) for r in result.fetchall())
+        want = [tuple(r[names.index(c)] for c in sorted(names)) for r in result.fetchall()]
+        assert sorted((tuple(r[c] for c in sorted(df.columns)) for r in rows), key=repr) == sorted(want, key=repr)
 
 
 def test_pipeline(spark):
