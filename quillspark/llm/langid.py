@@ -3,8 +3,12 @@
 A language is a unigram model over the pieces of a fixed public vocabulary. A word's probability is
 the sum over all its segmentations into pieces, by the forward algorithm; a text's is the product
 over its words. Piece probabilities are fitted by expectation maximisation (forward-backward over
-the same segmentations) on a bounded sample of labelled rows: at most ``FIT_DOCS`` rows a language,
-those with the smallest row hashes. Scoring covers whole texts.
+the same segmentations). Every piece that a lower-cased word can hold is used, whatever its length,
+and so is every word, whatever its length; a long word goes through the lattice in stretches.
+
+The fit takes a bounded sample of labelled rows: of the ``LANGUAGES`` commonest languages at most
+``FIT_DOCS`` rows each, those with the smallest row hashes, and of these no more than begin within
+the first ``FIT_LETTERS`` characters. Scoring covers whole texts.
 """
 
 from __future__ import annotations
@@ -21,28 +25,44 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.shared import pieces
 
-FIT_DOCS = 600
+FIT_DOCS, FIT_LETTERS, LANGUAGES = 600, 1 << 23, 256
 FIT_ROUNDS = 3
-#: Letters of the longest piece used, and added to every piece's expected count.
-PIECE_LETTERS, SMOOTHING = 7, 0.02
+#: Added to every piece's expected count.
+SMOOTHING = 0.02
 #: Probability of a letter that is no piece, for every language.
 OTHER_LETTER = 1e-7
-#: Words a worker remembers, letters of the longest word in the batched forward pass, words in a batch.
-CACHE_WORDS, BATCH_LETTERS, BATCH_WORDS = 400_000, 40, 4_000
+#: Bytes of word scores that a worker remembers, letters of a batch of words, letters of a stretch of a long word.
+CACHE_BYTES, BATCH_LETTERS, STRETCH = 1 << 24, 1 << 16, 1 << 12
 UNKNOWN = "und"
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def vocabulary(path: str | None = None) -> dict[str, int]:
-    """Piece to number, of a sentencepiece model file: lower-case pieces up to ``PIECE_LETTERS``."""
+class Vocabulary:
+    """Pieces that lower-cased words can hold, numbered by name, with all their beginnings."""
+
+    def __init__(self, names: list[str]):
+        self.names = sorted(set(names))
+        self.width = max(map(len, self.names), default=1)
+        self.beginnings: dict[str, int] = {}
+        for name in self.names:
+            for end in range(1, len(name)):
+                self.beginnings.setdefault(name[:end], -1)
+        for k, name in enumerate(self.names):
+            self.beginnings[name] = k
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
+def vocabulary(path: str | None = None) -> Vocabulary:
+    """The pieces of a sentencepiece model file that are made of letters without capitals."""
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
-    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    good = sorted({p for p in pieces if len(p) <= PIECE_LETTERS and p == p.lower() and LETTERS.fullmatch(p.removeprefix(START) or "a")})
-    return {p: k for k, p in enumerate(good)}
+    names = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+    return Vocabulary([p for p in names if p == p.lower() and LETTERS.fullmatch(p.removeprefix(START) or "a")])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -53,86 +73,107 @@ def words_of(text: str | None) -> list[str]:
     return words
 
 
-def _lattice(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """Piece numbers by (word, end, length - 1); the number len(known) is a letter that is no piece, -1 nothing."""
-    width, get, other = max(map(len, words)) + 1, known.get, len(known)
-    out = np.full((len(words), width, PIECE_LETTERS), -1, np.int32)
-    for k, w in enumerate(words):
-        w = START + w
-        n = len(w)
-        ids = [get(w[e - l : e], -1) if l <= e else -1 for e in range(1, n + 1) for l in range(1, PIECE_LETTERS + 1)]
-        out[k, :n] = np.array(ids, np.int32).reshape(n, PIECE_LETTERS)
-    alone = out[:, :, 0]
-    lengths = np.array([len(w) + 1 for w in words])
-    alone[(alone < 0) & (np.arange(width)[None, :] < lengths[:, None])] = other
-    return out
-
-
-def forward(words: list[str], known: dict[str, int], probs: np.ndarray) -> np.ndarray:
-    """Log probabilities (word, language). ``probs``: (piece, language), the last row for other letters."""
-    ids = _lattice(words, known)
-    count, width, _ = ids.shape
-    with_none = np.vstack([probs, np.zeros((1, probs.shape[1]))])
-    alpha = np.zeros((width + 1, count, probs.shape[1]))
-    alpha[0] = 1.0
-    scale = np.zeros((count, 1))
-    ends = np.array([len(w) + 1 for w in words])
-    out = np.zeros((count, probs.shape[1]))
-    for e in range(1, width + 1):
-        for l in range(1, min(e, PIECE_LETTERS) + 1):
-            alpha[e] += alpha[e - l] * with_none[ids[:, e - 1, l - 1]]
-        done = np.flatnonzero(ends == e)
-        out[done] = np.log(alpha[e, done]) + scale[done]
-        low = alpha[e].max(axis=1, keepdims=True)
-        small = np.flatnonzero((low[:, 0] < 1e-100) & (low[:, 0] > 0))
-        if len(small):
-            back = slice(max(0, e - PIECE_LETTERS), e + 1)
-            scale[small] += np.log(low[small])
-            alpha[back, small] /= low[small][None]
-    return out
-
-
-def long_forward(word: str, known: dict[str, int], probs: np.ndarray) -> np.ndarray:
-    """``forward`` for one word of any length, in memory for ``PIECE_LETTERS`` positions."""
-    word, last, total = START + word, [np.ones(probs.shape[1])], np.zeros(probs.shape[1])
-    for e in range(1, len(word) + 1):
-        now = np.zeros(probs.shape[1])
-        for l in range(1, len(last) + 1):
-            k = known.get(word[e - l : e], len(known) if l == 1 else -1)
-            if k >= 0:
-                now += last[-l] * probs[k]
-        top = now.max()
-        total += np.log(top)
-        last = [x / top for x in last[1 - PIECE_LETTERS :]] + [now / top]
-    return total + np.log(last[-1])
-
-
-def fit_pieces(words: list[str], counts: np.ndarray, known: dict[str, int], rounds: int = FIT_ROUNDS) -> np.ndarray:
-    """Piece probabilities of one language from its words, by expectation maximisation."""
+def arcs(words: list[str], known: Vocabulary) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+    """The lattice of some words: (end, rows of words, numbers of pieces, length) by end and length.
+
+    A letter that is no piece by itself has the number len(known); so every position is reached.
+    """
+    get, other, width = known.beginnings.get, len(known), known.width
+    ends, sizes, rows, ids = [], [], [], []
+    for row, word in enumerate(words):
+        word = START + word
+        n = len(word)
+        for at in range(n):
+            alone = False
+            for end in range(at + 1, min(n, at + width) + 1):
+                k = get(word[at:end])
+                if k is None:
+                    break
+                if k >= 0:
+                    alone |= end == at + 1
+                    ends.append(end)
+                    sizes.append(end - at)
+                    rows.append(row)
+                    ids.append(k)
+            if not alone:
+                ends.append(at + 1)
+                sizes.append(1)
+                rows.append(row)
+                ids.append(other)
+    end, size, row, piece = (np.array(x, np.int32) for x in (ends, sizes, rows, ids))
+    order = np.lexsort((row, size, end))
+    end, size, row, piece = end[order], size[order], row[order], piece[order]
+    cuts = np.flatnonzero((end[1:] != end[:-1]) | (size[1:] != size[:-1])) + 1
+    bounds = [0, *cuts.tolist(), len(end)]
+    return [(int(end[a]), row[a:b], piece[a:b], int(size[a])) for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
+
+
+def forward(words: list[str], known: Vocabulary, probs: np.ndarray) -> np.ndarray:
+    """Log probabilities (word, language) of words. ``probs``: (piece, language), the last row for other letters."""
+    logs, width = np.log(probs), max(map(len, words), default=0) + 1
+    alpha = np.full((width + 1, len(words), probs.shape[1]), -np.inf)
+    alpha[0] = 0.0
+    for end, row, piece, size in arcs(words, known):
+        alpha[end, row] = np.logaddexp(alpha[end, row], alpha[end - size, row] + logs[piece])
+    return alpha[[len(w) + 1 for w in words], np.arange(len(words))]
+
+
+def long_forward(word: str, known: Vocabulary, probs: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+    """``forward`` of one word of any length, in memory for a stretch of it."""
+    logs, letters, carry = np.log(probs), START + word, np.zeros((1, probs.shape[1]))
+    get, other = known.beginnings.get, len(known)
+    for first in range(0, len(letters), stretch):
+        last = min(first + stretch, len(letters))
+        base = first - len(carry) + 1
+        alpha = np.full((last - base + 1, probs.shape[1]), -np.inf)
+        alpha[: len(carry)] = carry
+        for at in range(base, last):
+            now, alone = alpha[at - base], False
+            for end in range(at + 1, min(last, at + known.width) + 1):
+                k = get(letters[at:end])
+                if k is None:
+                    break
+                if k >= 0:
+                    alone |= end == at + 1
+                    if end > first:
+                        alpha[end - base] = np.logaddexp(alpha[end - base], now + logs[k])
+            if not alone and at + 1 > first:
+                alpha[at + 1 - base] = np.logaddexp(alpha[at + 1 - base], now + logs[other])
+        carry = alpha[-known.width :]
+    return carry[-1]
+
+
+def _batches(words: list[str]) -> Iterator[list[int]]:
+    """Numbers of ``words`` by length, in batches whose lattices have about ``BATCH_LETTERS`` positions; a word over ``STRETCH`` is alone."""
+    batch: list[int] = []
+    for k in sorted(range(len(words)), key=lambda k: len(words[k])):
+        if batch and ((len(batch) + 1) * (len(words[k]) + 2) > BATCH_LETTERS or len(words[k]) > STRETCH):
+            yield batch
+            batch = []
+        batch.append(k)
+    if batch:
+        yield batch
+
+
+def fit_pieces(words: list[str], counts: np.ndarray, known: Vocabulary, rounds: int = FIT_ROUNDS) -> np.ndarray:
+    """Piece probabilities of one language from its words, by expectation maximisation over all segmentations."""
     n = len(known)
-    probs = np.full(n + 1, 1.0 / n)
+    probs = np.full(n + 1, 1.0 / max(n, 1))
     probs[n] = OTHER_LETTER
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    order = [k for k in order if len(words[k]) < BATCH_LETTERS]
-    blocks = [(_lattice([words[k] for k in order[a : a + 4096]], known), counts[order[a : a + 4096]], np.array([len(words[k]) + 1 for k in order[a : a + 4096]])) for a in range(0, len(order), 4096)]
+    batches = [([len(words[k]) + 1 for k in some], counts[some], arcs([words[k] for k in some], known)) for some in _batches(words)]
     for _ in range(rounds):
-        expected = np.zeros(n + 2)
-        table = np.append(probs, 0.0)
-        for ids, times, ends in blocks:
-            count, width, _ = ids.shape
-            alpha, beta = np.zeros((width + 1, count)), np.zeros((width + 1, count))
-            alpha[0] = 1.0
-            for e in range(1, width + 1):
-                for l in range(1, min(e, PIECE_LETTERS) + 1):
-                    alpha[e] += alpha[e - l] * table[ids[:, e - 1, l - 1]]
-            beta[ends, np.arange(count)] = 1.0
-            whole = alpha[ends, np.arange(count)]
-            weight = np.where(whole > 0, times / np.maximum(whole, 1e-300), 0.0)
-            for e in range(width, 0, -1):
-                for l in range(1, min(e, PIECE_LETTERS) + 1):
-                    p = table[ids[:, e - 1, l - 1]]
-                    expected += np.bincount(ids[:, e - 1, l - 1] % (n + 2), alpha[e - l] * p * beta[e] * weight, n + 2)
-                    beta[e - l] += p * beta[e]
+        expected, logs = np.zeros(n + 1), np.log(probs)
+        for ends, times, lattice in batches:
+            own, width = np.arange(len(ends)), max(ends)
+            alpha, beta = np.full((2, width + 1, len(ends)), -np.inf)
+            alpha[0], beta[ends, own] = 0.0, 0.0
+            for end, row, piece, size in lattice:
+                alpha[end, row] = np.logaddexp(alpha[end, row], alpha[end - size, row] + logs[piece])
+            whole = alpha[ends, own]
+            for end, row, piece, size in reversed(lattice):
+                rest = logs[piece] + beta[end, row]
+                np.add.at(expected, piece, np.exp(alpha[end - size, row] + rest - whole[row]) * times[row])
+                beta[end - size, row] = np.logaddexp(beta[end - size, row], rest)
         smooth = expected[:n] + SMOOTHING
         probs = np.append(smooth / smooth.sum(), OTHER_LETTER)
     return probs
@@ -142,18 +183,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, vocab: dict[str, int], fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and their piece probabilities (piece, language), from labelled rows that aren't held out."""
+def fit(docs: DataFrame, vocab: Vocabulary, fit_docs: int = FIT_DOCS, fit_letters: int = FIT_LETTERS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """Languages (sorted) and their piece probabilities (piece, language), from labelled rows that aren't held out.
+
+    The sample is bounded by the parameters: the ``languages`` with most labelled rows (the first by
+    name of equals), ``fit_docs`` different rows of each, and texts that begin within ``fit_letters``
+    characters of a language's sample.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "lang", "text").alias("key"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()}
     if not sizes:
         return [], np.zeros((len(vocab) + 1, 0))
     # keys are uniform: below this bound are about four times the rows wanted, so little is ranked
     most = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, (1 << 63) - 1 if n <= 8 * fit_docs else int(-(1 << 63) + (1 << 64) * (4 * fit_docs / n)))])
     some = rows.where(F.col("key") <= most[F.col("lang")])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    keys = some.select("lang", "key").distinct().withColumn("rank", rank).where(F.col("rank") <= fit_docs).select("lang", "key")
+    by_key = Window.partitionBy("lang").orderBy("key")
+    before = F.coalesce(F.sum("size").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = some.groupBy("lang", "key").agg(F.max(F.length("text")).cast("long").alias("size")).select("lang", "key", F.row_number().over(by_key).alias("rank"), before.alias("before"))
+    keys = keys.where((F.col("rank") <= fit_docs) & (F.col("before") < fit_letters)).select("lang", "key")
     picked = some.join(keys, ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,27 +226,24 @@ def fit(docs: DataFrame, vocab: dict[str, int], fit_docs: int = FIT_DOCS) -> tup
 class Scorer:
     """Scores texts in all languages and remembers the words it has seen."""
 
-    def __init__(self, vocab: dict[str, int], probs: np.ndarray):
+    def __init__(self, vocab: Vocabulary, probs: np.ndarray):
         self._vocab, self._probs = vocab, probs
+        self._most = max(1 << 10, CACHE_BYTES // (8 * max(1, probs.shape[1])))
         self._rows: dict[str, int] = {}
-        self._table = np.zeros((1 << 14, probs.shape[1]))
+        self._table = np.zeros((1 << 10, probs.shape[1]))
 
     def _learn(self, words: list[str]) -> None:
-        if len(self._rows) + len(words) > CACHE_WORDS:
-            self._rows, self._table = {}, np.zeros((max(1 << 14, len(words)), self._probs.shape[1]))
-        words = sorted(words, key=len)
+        if len(self._rows) + len(words) > self._most:
+            self._rows, self._table = {}, np.zeros((max(1 << 10, len(words)), self._probs.shape[1]))
         n = len(self._rows)
         if n + len(words) > len(self._table):
             self._table = np.vstack([self._table, np.zeros((max(len(self._table), len(words)), self._table.shape[1]))])
-        for at in range(0, len(words), BATCH_WORDS):
-            some = words[at : at + BATCH_WORDS]
-            short = [w for w in some if len(w) < BATCH_LETTERS]
-            if short:
-                self._table[n : n + len(short)] = forward(short, self._vocab, self._probs)
-            for k, w in enumerate(some[len(short) :]):
-                self._table[n + len(short) + k] = long_forward(w, self._vocab, self._probs)
-            self._rows.update(zip(some, range(n, n + len(some)), strict=True))
-            n += len(some)
+        for some in _batches(words):
+            own = [words[k] for k in some]
+            long = len(own) == 1 and len(own[0]) > STRETCH
+            self._table[n : n + len(own)] = long_forward(own[0], self._vocab, self._probs) if long else forward(own, self._vocab, self._probs)
+            self._rows.update(zip(own, range(n, n + len(own)), strict=True))
+            n += len(own)
 
     def score(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log probabilities of each text by language; None where there is no letter."""
@@ -219,7 +264,7 @@ class Scorer:
 _scorers: dict[bytes, Scorer] = {}
 
 
-def scorer_of(vocab: dict[str, int], probs: np.ndarray) -> Scorer:
+def scorer_of(vocab: Vocabulary, probs: np.ndarray) -> Scorer:
     """The worker's scorer for that model, kept from task to task."""
     key = hashlib.sha256(probs.tobytes()).digest()
     if key not in _scorers:
@@ -228,13 +273,13 @@ def scorer_of(vocab: dict[str, int], probs: np.ndarray) -> Scorer:
     return _scorers[key]
 
 
-def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: dict[str, int]) -> DataFrame:
+def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: Vocabulary) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text).
 
     ``score`` is the posterior probability of the predicted language under equal priors. A text
     that is null or has no letter is ``und`` with score 0, as is every text if no labelled row was
     there to learn from; ties go to the first language by name; repeated rows each get the same
-    result; an empty table gives an empty result.
+    result; an empty table gives an empty result. Texts and words of any length are scored whole.
     """
     langs, probs = model
     sent = docs.sparkSession.sparkContext.broadcast((vocab, probs))

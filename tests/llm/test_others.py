@@ -126,14 +126,122 @@ def test_as_of_against_brute_force(spark):
             assert got[k] == (("no_response", None) if base is None else ("resolved", base[1]) if base[2] == headers else ("mismatch", None))
 
 
+def brute_word(word, names, logs, other):
+    """Sum over all segmentations, one by one."""
+    word, total = langid.START + word, []
+
+    def walk(at, log):
+        if at == len(word):
+            total.append(log)
+        for end in range(at + 1, len(word) + 1):
+            piece = word[at:end]
+            if piece in names:
+                walk(end, log + logs[names[piece]])
+            elif end == at + 1:
+                walk(end, log + other)
+
+    walk(0, 0.0)
+    return np.logaddexp.reduce(total)
+
+
 def test_forward_sums_all_segmentations():
-    known = {langid.START: 0, langid.START + "a": 1, "a": 2, "b": 3, "ab": 4}
-    probs = np.array([[0.1], [0.2], [0.3], [0.05], [0.15], [1e-7]])
+    known = langid.Vocabulary([langid.START, langid.START + "a", "a", "b", "ab"])
+    probs = np.array([[{"a": 0.3, "ab": 0.15, "b": 0.05, langid.START: 0.1, langid.START + "a": 0.2}[n]] for n in known.names] + [[1e-7]])
     # _ a b, _ ab, _a b
     assert np.exp(langid.forward(["ab"], known, probs))[0, 0] == pytest.approx(0.1 * 0.3 * 0.05 + 0.1 * 0.15 + 0.2 * 0.05)
-    assert langid.long_forward("ab", known, probs)[0] == pytest.approx(langid.forward(["ab"], known, probs)[0, 0])
     long = "ab" * 300
-    assert langid.long_forward(long, known, probs)[0] == pytest.approx(langid.forward([long], known, probs)[0, 0])
+    for word in ("ab", "zab", "ba", long, long + "é" + long):
+        assert langid.long_forward(word, known, probs, stretch=7)[0] == pytest.approx(langid.forward([word], known, probs)[0, 0])
+
+
+def test_forward_against_brute_force_over_the_public_vocabulary():
+    vocab = langid.vocabulary()
+    assert vocab.width > 12 and {"▁function", "▁because", "▁through", "▁the"} <= set(vocab.names)
+    rng = np.random.default_rng(4)
+    probs = rng.dirichlet(np.ones(len(vocab)), 2).T
+    probs = np.vstack([probs, np.full((1, 2), langid.OTHER_LETTER)])
+    words = ["because", "function", "throughout", "été", "日本語", "zzz", "a", "þórð"] + ["".join(rng.choice(list("etaoinsr"), rng.integers(1, 12))) for _ in range(30)]
+    got = langid.forward(words, vocab, probs)
+    names = {n: k for k, n in enumerate(vocab.names)}
+    for k, word in enumerate(words):
+        for lang in (0, 1):
+            assert got[k, lang] == pytest.approx(brute_word(word, names, np.log(probs[:, lang]), np.log(langid.OTHER_LETTER)))
+
+
+def brute_fit(counts, names, rounds):
+    """Expected piece counts over all segmentations, one by one."""
+    probs = [1 / len(names)] * len(names)
+    for _ in range(rounds):
+        expected = [langid.SMOOTHING] * len(names)
+        for word, n in counts.items():
+            found = []
+
+            def walk(at, p, used, word=langid.START + word, found=found):
+                if at == len(word):
+                    found.append((p, used))
+                for end in range(at + 1, len(word) + 1):
+                    if word[at:end] in names:
+                        walk(end, p * probs[names[word[at:end]]], [*used, names[word[at:end]]])
+                    elif end == at + 1:
+                        walk(end, p * langid.OTHER_LETTER, used)
+
+            walk(0, 1.0, [])
+            for p, used in found:
+                for k in used:
+                    expected[k] += n * p / sum(q for q, _ in found)
+        probs = [x / sum(expected) for x in expected]
+    return probs
+
+
+def test_fit_against_brute_force():
+    vocab = langid.Vocabulary([langid.START, langid.START + "a", "a", "b", "ab", "ba", "aba", "bab"])
+    counts = {"abab": 3, "b": 2, "aazab": 1, "ba" * 6: 2}
+    got = langid.fit_pieces(list(counts), np.array(list(counts.values()), float), vocab)
+    assert got[:-1] == pytest.approx(brute_fit(counts, {n: k for k, n in enumerate(vocab.names)}, langid.FIT_ROUNDS))
+    one = langid.fit_pieces(["ab" * 3000], np.array([1000.0]), vocab)
+    assert one[vocab.beginnings["ab"]] + one[vocab.beginnings["aba"]] > got[vocab.beginnings["ab"]]  # long words count
+
+
+def test_query_against_brute_force(docs):
+    rng = np.random.default_rng(2)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(1, 7))) for _ in range(8))
+    rows = [(k, text("ab" if k % 2 else "bc"), ("x", "y")[k % 2], "s") for k in range(40)] + [(90, None, "x", "s"), (91, "?! 7", "x", "s"), (92, text("ab"), None, "s")]
+    vocab = langid.vocabulary()
+    got = {r["doc_id"]: r for r in langid.identify(docs(rows)).collect()}
+    names = {n: k for k, n in enumerate(vocab.names)}
+    langs, probs = langid.fit(docs(rows), vocab)
+    assert langs == ["x", "y"]
+    for k, lang in enumerate(langs):
+        import zlib
+
+        counts = {}
+        for i, t, own, _ in rows:
+            if own == lang and t and zlib.crc32(str(i).encode()) % 4 != 2:
+                for w in langid.words_of(t):
+                    counts[w] = counts.get(w, 0) + 1
+        want = langid.fit_pieces(sorted(counts), np.array([counts[w] for w in sorted(counts)], float), vocab)
+        assert probs[:, k] == pytest.approx(want)
+    for i, t, _, _ in rows:
+        words = langid.words_of(t)
+        if not words:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        logs = [sum(brute_word(w, names, np.log(probs[:, k]), np.log(langid.OTHER_LETTER)) for w in words) for k in (0, 1)]
+        assert got[i]["lang_pred"] == langs[int(np.argmax(logs))]
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-abs(logs[0] - logs[1]))))
+
+
+def test_a_script_without_spaces_and_a_bounded_sample(docs):
+    rng = np.random.default_rng(6)
+    run = lambda letters: "".join(rng.choice(list(letters), 400))
+    rows = [(k, run("的一是在不了有和人这" if k % 2 else "のはがをにでとしたる"), ("zh", "ja")[1 - k % 2], "s") for k in range(60)]
+    rows += [(500, run("的一是在") * 800, None, "s"), (501, "のは" * 600_000, None, "s")]
+    got = {r["doc_id"]: r for r in langid.identify(docs(rows)).collect()}
+    assert all(got[k]["lang_pred"] == rows[k][2] for k in range(60))
+    assert (got[500]["lang_pred"], got[501]["lang_pred"]) == ("zh", "ja")
+    assert langid.fit(docs(rows), langid.vocabulary(), languages=1)[0] == ["ja"]
+    fewer = langid.fit(docs(rows), langid.vocabulary(), fit_letters=1)[1]
+    assert fewer.shape[1] == 2
 
 
 def test_languages_are_told(docs):
