@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,15 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor and the driver see: ``spark.checkpoint.dir``.
+    """The folder every executor and the driver see: ``spark.checkpoint.dir``, or the checkpoint
+    folder that the application has set.
 
-    Where that is unset (tests, a single machine) a folder of this session's own is used.
+    Where neither is set a folder of this session's own is used, but only if the master is a
+    single machine; on a cluster each executor would write to its own disk, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors and the driver share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -55,12 +59,19 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
+    """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    Rows written and rows read are the same table only if the folder is shared; a driver that
+    finds no file where executors wrote some gets an error, not an empty table.
+    """
     spark = df.sparkSession
     path = shared_path(spark, kind)
     with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    if not back.inputFiles():
+        raise OSError(f"no file of the written table in {path}: is the folder shared by executors and driver?")
+    return back
 
 
 def pieces(texts: list[str], most: int = 1 << 20) -> Iterator[range]:
@@ -83,6 +94,16 @@ def drop_written(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+@contextmanager
+def tables_dropped(tables: list[DataFrame]) -> Iterator[list[DataFrame]]:
+    """A list of written tables that are deleted when the block ends, also if it fails."""
+    try:
+        yield tables
+    finally:
+        for table in tables:
+            drop_written(table)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 

@@ -69,6 +69,7 @@ ITEMS = [(10, "One two three four five six seven eight nine ten eleven twelve"),
 def test_decontamination_against_brute_force(spark, docs, monkeypatch, small):
     if not small:
         monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+        monkeypatch.setattr(decontam, "BROADCAST_TOKENS", 0)
     rows = [
         (1, "x ONE two-three four, five six seven eight nine ten eleven"),
         (2, "Ü é 7 É"),
@@ -89,6 +90,30 @@ def test_decontamination_against_brute_force(spark, docs, monkeypatch, small):
     assert sorted(r["doc_id"] for r in clean.collect()) == [2, 4, 5, 6] and clean.columns == docs(rows, extra=True).columns
 
 
+def test_a_large_benchmark_moves_no_words_with_shingles(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_TOKENS", 0)
+    seen = []
+    real = decontam.written
+
+    def written(df, kind):
+        if kind == "bench-found":
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, kind)
+
+    monkeypatch.setattr(decontam, "written", written)
+    decontam.contaminated(docs([(1, "a b c d")]), spark.createDataFrame([(1, "b c d")], "item_id long, text string")).collect()
+    [plan] = seen
+    assert "Join" in plan and "words" not in plan.split("Join", 1)[1].split("Generate", 1)[0].replace("n_words", "")
+
+
+def test_decontamination_of_a_very_long_text(docs, spark):
+    filler = "lorem ipsum dolor sit amet " * 60_000
+    rows = [(1, filler + "one two three four five six seven eight nine ten " + filler), (2, filler)]
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontam.contaminated(docs(rows), items).collect()}
+    assert got == {1: (600_010, 10), 2: (300_000, 0)}
+
+
 def test_decontamination_of_nothing(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontam.contaminated(docs([]), items).count() == 0
