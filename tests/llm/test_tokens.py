@@ -7,7 +7,8 @@ from tokenizers import Tokenizer
 from quillspark.llm import token_output as T
 from quillspark.llm.shared import shared_path
 
-ODD = ["Σας ΟΔΟΣ. İstanbul don't I'LL <|endoftext|>x b, c.,d é. é, ́x '.s", "a\x1cb\x1fc\x85d e\x0bf", "", "  ", "A.,.B. c.'s ., .,'", "\x00\x01 z", "œuvre ’quoted’ — ½ ² Ⅷ café x y €5", "日本語。テスト", "a" * 300 + ".", "_x_ 12ab3"]
+UNASSIGNED = ["a\u0558B", "x\u088fY\u0c5cz", "\u1c89 \u208f\u209d"]
+ODD = [*UNASSIGNED, "Σας ΟΔΟΣ. İstanbul don't I'LL <|endoftext|>x b, c.,d é. é, ́x '.s", "a\x1cb\x1fc\x85d e\x0bf", "", "  ", "A.,.B. c.'s ., .,'", "\x00\x01 z", "œuvre ’quoted’ — ½ ² Ⅷ café x y €5", "日本語。テスト", "a" * 300 + ".", "_x_ 12ab3"]
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,43 @@ def test_random_access_and_dictionary(spark, docs, sample, whole):
     open(path, "wb").write(damaged)
     with pytest.raises((ValueError, FileNotFoundError)):
         T.Shard("file://" + path)
+
+
+def test_every_unassigned_character_goes_through_the_tokenizer(whole):
+    import unicodedata
+
+    chars = [chr(c) for c in range(T.PLAIN_END) if unicodedata.category(chr(c)) == "Cn"]
+    texts = ["a%sB é" % "".join(chars[k : k + 40]) for k in range(0, len(chars), 40)] + [f"a{c}B" for c in chars[::7]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in T.WordEncoder(T.tokenizer_path()).encode(texts)] == [whole(t) for t in texts]
+
+
+def test_another_tokenizer_encodes_whole_texts(sample):
+    path = T.tokenizer_path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    texts = [*ODD[4:8], *[r["text"] for r in sample[:20]]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in T.WordEncoder(path).encode(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_addresses_of_stores():
+    assert T.store_uri("s3a://b/k") == "s3://b/k" and T.store_uri("dbfs:/x/y") == "file:///dbfs/x/y"
+    assert T.store_uri("wasbs://c@acc.blob.core.windows.net/p") == "abfss://c@acc.dfs.core.windows.net/p"
+    assert T.store_uri("file:/tmp/x") == "file:///tmp/x" and T.store_uri("hdfs://n/x") == "hdfs://n/x"
+    with pytest.raises(ValueError, match="nosuch"):
+        T._open("nosuch://x/y")
+
+
+def test_a_very_long_text_and_a_small_dictionary(docs, whole):
+    long = "Lorem ipsum, dolor 42 " * 80_000
+    rows = [(1, "a b"), (2, long), (3, None)]
+    assert len(T.trained_dictionary(docs(rows), T.tokenizer_path())) > 0
+    got = T.token_digests(docs(rows), shards=2).collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == expected(rows, whole)
+
+
+def test_shards_by_size_and_ranges(docs, whole, monkeypatch):
+    monkeypatch.setattr(T, "SHARD_BYTES", 1000)
+    rows = [(k, "word " * (k % 50)) for k in range(300)] + [(300, "same")] * 40
+    assert T.shard_count(docs(rows)) > 20
+    got = T.token_digests(docs(rows)).collect()
+    want = expected(rows, whole)
+    assert sorted((r["start"], r["n_tokens"]) for r in got) == [(w[1], w[2]) for w in want]
