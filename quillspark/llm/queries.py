@@ -113,15 +113,15 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op4_topk": """
         WITH v AS (
-          SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+          SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
           FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
         ), s AS (
-          SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+          SELECT a.row AS row, a.vec_id AS query_id, b.vec_id AS vec_id,
                  CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
-          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+          FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 50 = 0
         )
         SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+        FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place FROM s)
         WHERE place <= 5
     """,
 }

@@ -6,8 +6,9 @@ every term of the query scatters its weight times the postings into a dense arra
 scores; partition selection keeps the block's best, and the blocks' lists are merged by rank.
 All candidates are scored: nothing is pruned, capped or approximate.
 
-Query rows are packed in blocks too and dealt to every candidate block by an equi-join on the
-block's number, so a task holds one block of each kind at a time, whatever the number of either.
+Query rows are packed in blocks too. A candidate block goes to Python once, as the first row of its
+group; the query blocks stream after it, so a task holds one block of each kind at a time, whatever
+the number of either. Components travel in as few bytes as a block's largest needs.
 """
 
 from __future__ import annotations
@@ -23,51 +24,56 @@ from quillspark.llm.shared import written
 
 SCALE = 256
 TOP = 5
-BLOCK, QUERIES = 16_384, 512
+BLOCK, QUERIES = 32_768, 512
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and q, the components as floor(scale * x); vectors that are null or hold null or
-    non-finite components are left out, rows that repeat an id and its components count once."""
+    non-finite components are left out, rows without an id too, and repeated rows stay."""
     x = F.col("embedding")
     good = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     q = F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(float(scale))))
-    return vectors.where(good & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q")).distinct()
+    return vectors.where(good & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
 
 
-def _packed(rows: DataFrame, most: int, parts: int, name: str) -> DataFrame:
-    """Rows (vec_id, q) packed at most ``most`` to a row: part, no, ids, sizes, values."""
+PACKED = "part int, kind int, width int, rows binary, ids binary, sizes binary, values binary"
+CANDIDATES, ASKED = 0, 1
+
+
+def _packed(rows: DataFrame, parts: int, kind: int, name: str) -> DataFrame:
+    """Rows (row, vec_id, q) dealt evenly to ``parts`` blocks, a row of ``PACKED`` each (empty ones are left out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, no = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, most):
-                some = batch.slice(at, most)
-                ids, q = some.column(0).to_numpy(zero_copy_only=False), some.column(1)
-                sizes = np.diff(q.offsets.to_numpy(zero_copy_only=False))
-                values = q.flatten().to_numpy(zero_copy_only=False)
-                row = [pa.array([part], pa.int32()), pa.array([no], pa.int32()), *[pa.array([a.astype(t).tobytes()], pa.binary()) for a, t in ((ids, "<i8"), (sizes, "<i4"), (values, "<i8"))]]
-                yield pa.RecordBatch.from_arrays(row, ["part", "no", "ids", "sizes", "values"])
-                no += 1
-
-    packed = rows.repartition(parts).mapInArrow(run, "part int, no int, ids binary, sizes binary, values binary")
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        some = pa.Table.from_batches(held).combine_chunks()
+        row, ids, q = some.column(0).to_numpy(), some.column(1).to_numpy(), some.column(2).chunk(0)
+        sizes = np.diff(q.offsets.to_numpy(zero_copy_only=False))
+        values = q.flatten().to_numpy(zero_copy_only=False)
+        low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+        width = next(w for w in (1, 2, 4, 8) if -(1 << (8 * w - 1)) <= low and high < 1 << (8 * w - 1))
+        packed = [pa.array([a.astype(t).tobytes()], pa.binary()) for a, t in ((row, "<i8"), (ids, "<i8"), (sizes, "<i4"), (values, f"<i{width}"))]
+        yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in (TaskContext.get().partitionId(), kind, width)], *packed], [f.split()[0] for f in PACKED.split(", ")])
+
+    packed = rows.select("row", "vec_id", "q").repartition(parts).mapInArrow(run, PACKED)
     return written(packed, name)
 
 
-def _rows(sizes: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows(sizes: bytes, values: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and weight of every non-zero component."""
     n = np.frombuffer(sizes, "<i4")
-    weights = np.frombuffer(values, "<i8")
+    weights = np.frombuffer(values, f"<i{width}").astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     term = np.arange(len(weights)) - np.repeat(np.cumsum(n) - n, n)
     some = weights != 0
     return row[some], term[some], weights[some]
 
 
-def best_of_block(query: tuple[np.ndarray, np.ndarray], postings: dict[int, tuple[np.ndarray, np.ndarray]], ids: np.ndarray, own: int, top: int, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the ``top`` best of one block, ties to smaller ids, the query's own id left out."""
+def best_of_block(query: tuple[np.ndarray, np.ndarray], postings: dict[int, tuple[np.ndarray, np.ndarray]], rows: np.ndarray, ids: np.ndarray, own: int, top: int, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the ``top`` best of one block, ties to smaller ids, the query's own row left out."""
     scores[:] = 0
     for term, weight in zip(*query, strict=True):
         if (found := postings.get(int(term))) is not None:
@@ -76,7 +82,7 @@ def best_of_block(query: tuple[np.ndarray, np.ndarray], postings: dict[int, tupl
                 scores += weight * weights
             else:
                 scores[at] += weight * weights
-    allowed = np.flatnonzero(ids != own)
+    allowed = np.flatnonzero(rows != own)
     values = scores[allowed]
     if len(values) > top:
         least = np.partition(values, len(values) - top)[len(values) - top]
@@ -92,45 +98,45 @@ def top_k(vectors: DataFrame, is_query: Column, top: int = TOP, scale: int = SCA
     Returns query_id, rank (from 1), vec_id and score (integer inner product of the quantised
     vectors; components that only one of two vectors has count as 0): the ``top`` highest scores,
     or all if there are fewer, ties to the smaller vec_id. Vectors that are null, or hold null or
-    non-finite components, and rows without an id take no part. Rows that repeat an id with other
-    components are queries and candidates of their own. No query or no other vector: no rows.
+    non-finite components, and rows without an id take no part. Rows that repeat an id, with the
+    same components or others, are queries and candidates of their own: only a query's own row is
+    left out. No query or no other vector: no rows.
     """
-    rows = written(quantised(vectors, scale), "vectors")
-    parts = max(1, -(-rows.count() // block))
-    parts = max(parts, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // 1024)))
-    candidates = _packed(rows, block, parts, "candidates")
-    asked = _packed(rows.where(is_query), queries, max(1, -(-rows.where(is_query).count() // queries)), "queries")
-    dealt = asked.select(F.struct("part", "no").alias("query_block"), F.col("ids").alias("q_ids"), F.col("sizes").alias("q_sizes"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    spark = vectors.sparkSession
+    rows = written(quantised(vectors, scale).select(F.monotonically_increasing_id().alias("row"), "vec_id", "q"), "vectors")
+    count, asking = rows.count(), rows.where(is_query).count()
+    parts = max(1, -(-count // block), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 1024)))
+    candidates = _packed(rows, parts, CANDIDATES, "candidates")
+    asked = _packed(rows.where(is_query), max(1, -(-asking // queries)), ASKED, "queries")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    dealt = candidates.unionByName(asked.drop("part").select("*", everywhere)).repartition(parts, "part").sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, postings, ids, scores = None, {}, None, None
+        held, postings, own_rows, ids, scores = None, {}, None, None, None
         for batch in batches:
-            for row in range(batch.num_rows):
-                c = {n: batch.column(k)[row] for k, n in enumerate(batch.schema.names)}
-                key = (c["part"].as_py(), c["no"].as_py())
-                if key != held:
-                    ids = np.frombuffer(c["ids"].as_buffer(), "<i8")
-                    at, term, weight = _rows(c["sizes"].as_buffer(), c["values"].as_buffer())
+            for at in range(batch.num_rows):
+                c = {n: batch.column(k)[at] for k, n in enumerate(batch.schema.names)}
+                part, width = c["part"].as_py(), c["width"].as_py()
+                of, term, weight = _rows(c["sizes"].as_buffer(), c["values"].as_buffer(), width)
+                some_rows, some_ids = (np.frombuffer(c[n].as_buffer(), "<i8") for n in ("rows", "ids"))
+                if c["kind"].as_py() == CANDIDATES:
                     order = np.argsort(term, kind="stable")
                     terms, firsts = np.unique(term[order], return_index=True)
                     cuts = [*firsts, len(order)]
-                    postings = {int(t): (at[order[a:b]], weight[order[a:b]]) for t, a, b in zip(terms, cuts, cuts[1:], strict=False)}
-                    scores, held = np.zeros(len(ids), np.int64), key
-                q_ids = np.frombuffer(c["q_ids"].as_buffer(), "<i8")
-                q_row, q_term, q_weight = _rows(c["q_sizes"].as_buffer(), c["q_values"].as_buffer())
-                cuts = np.searchsorted(q_row, np.arange(len(q_ids) + 1))
-                out = []
-                for k, own in enumerate(q_ids):
-                    own_part = slice(cuts[k], cuts[k + 1])
-                    found, values = best_of_block((q_term[own_part], q_weight[own_part]), postings, ids, own, top, scores)
-                    out.append((np.full(len(found), own), np.full(len(found), k), found, values))
-                first = c["query_block"].as_py()
-                cols = [np.concatenate([o[j] for o in out]).astype(np.int64) for j in range(4)]
-                n = len(cols[0])
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(np.full(n, first["part"], np.int32)), pa.array(np.full(n, first["no"], np.int32)), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3])], ["query_id", "q_part", "q_no", "q_row", "vec_id", "score"])
-
-    paired = candidates.join(dealt, "part").select("part", "no", "ids", "sizes", "values", "query_block", "q_ids", "q_sizes", "q_values").sortWithinPartitions("part", "no")
-    found = paired.mapInArrow(run, "query_id bigint, q_part int, q_no int, q_row bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id", "q_part", "q_no", "q_row").orderBy(F.col("score").desc(), "vec_id")
+                    postings = {int(t): (of[order[a:b]], weight[order[a:b]]) for t, a, b in zip(terms, cuts, cuts[1:], strict=False)}
+                    held, own_rows, ids, scores = part, some_rows.copy(), some_ids.copy(), np.zeros(len(some_ids), np.int64)
+                    continue
+                if held != part:
+                    continue  # a block that got no vectors
+                cuts = np.searchsorted(of, np.arange(len(some_ids) + 1))
+                found = []
+                for k, own in enumerate(some_rows):
+                    mine = slice(cuts[k], cuts[k + 1])
+                    best, values = best_of_block((term[mine], weight[mine]), postings, own_rows, ids, own, top, scores)
+                    found.append((np.full(len(best), some_ids[k]), np.full(len(best), own), best, values))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[j] for f in found]).astype(np.int64)) for j in range(4)], ["query_id", "row", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, "query_id bigint, row bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("query_id", "row").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -6,25 +6,25 @@ from quillspark.llm import langid, licenses, topk, warc
 
 
 def brute_top(vectors, top=5):
-    q = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    q = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i in q:
+    for k, (i, a) in enumerate(q):
         if i % 50 == 0:
-            n = lambda j: min(len(q[i]), len(q[j]))
-            scores = sorted((-int(q[i][: n(j)] @ q[j][: n(j)]), j) for j in q if j != i)
-            out += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scores[:top])]
+            scores = sorted((-int(a[: len(b)] @ b[: len(a)]), j) for n, (j, b) in enumerate(q) if n != k)
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:top])]
     return sorted(out)
 
 
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [(int(i), [float(x) for x in (rng.integers(-3, 4, 8) / 4).astype(np.float32)]) for i in range(230)]
-    vectors += [(300, None), (350, [1.0, None]), (400, [float("nan")] * 8), (450, [float("inf")] * 8), (500, []), (550, [0.5, 0.25]), (600, [0.0] * 8)]
-    df = spark.createDataFrame(vectors + [vectors[3]], "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+    vectors += [(300, None), (350, [1.0, None]), (400, [float("nan")] * 8), (450, [float("inf")] * 8), (500, []), (550, [0.5, 0.25]), (600, [0.0] * 8), (None, [1.0] * 8)]
+    vectors += [vectors[3], vectors[50], vectors[50], (100, [2.0] * 8), (650, [3e6, -1e4])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("row", F.lit("x"))
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, block=64, queries=2)
     assert sorted(map(tuple, got.collect())) == brute_top(vectors)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-    assert topk.top_k(df.where("vec_id = 50"), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_licenses_are_found_anywhere(docs):
