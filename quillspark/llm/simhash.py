@@ -7,8 +7,10 @@ key's rows the Hamming distance is tested exactly, and what is emitted is a star
 group rather than its pairs: a bucket of m near copies gives at most m - 1 links, which join the
 same documents.
 
-A second word of 64 bits may sharpen the test (``total`` bounds the distance over all 128 bits):
-at distances like 9 of 64, unrelated fingerprints meet by chance in a large corpus.
+A bucket of more than ``BUCKET`` rows goes on instead of being compared in one task: its members agree
+on the key's bits, so the rest of their bits is cut into d + 1 blocks, of which two close ones share
+one, and each of these choices, with the bits before, is the key of a smaller bucket. That ends at
+the latest when all bits are keys.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ ROW_COST, MOST_SPARE = 2000, 4
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingle hashes turned into bits at a time.
 CHUNK = 1 << 16
-#: Members of the largest bucket whose pairs are tested as one matrix.
-MATRIX = 1024
+#: Members of the largest bucket whose pairs are tested as one matrix, and of the largest one tested in one task.
+MATRIX, BUCKET = 1024, 4096
+ALL_BITS = (1 << 64) - 1
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -71,21 +74,16 @@ def second_hashes(hashes: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, wide: bool = False) -> DataFrame:
-    """doc_id, fp and fp2 (64 bits each, as signed longs; fp2 is 0 unless ``wide``) of every row of ``docs``; no shuffle."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id and fp (64 bits, as a signed long) of every row of ``docs``; no shuffle."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.zeros((2, batch.num_rows), np.uint64)
-            for k, text in enumerate(batch.column(1)):
-                hashes = shingle_hashes(text.as_py(), shingle, seed)
-                found[0, k] = fingerprint(hashes)
-                if wide:
-                    found[1, k] = fingerprint(second_hashes(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in found]], ["doc_id", "fp", "fp2"])
+            found = np.array([fingerprint(shingle_hashes(text.as_py(), shingle, seed)) for text in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp bigint, fp2 bigint")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
 def spare_blocks(distance: int, count: int) -> int:
@@ -102,113 +100,140 @@ def block_masks(distance: int, spare: int) -> list[int]:
     return [sum(pick) for pick in combinations(blocks, spare)]
 
 
-def _near(a: np.ndarray, b: np.ndarray, distance: int, total: int) -> np.ndarray:
-    """Whether fingerprints (..., 2) are within both distances."""
-    first = np.bitwise_count(a[..., 0] ^ b[..., 0])
-    near = first <= distance
-    return near & (first + np.bitwise_count(a[..., 1] ^ b[..., 1]) <= total) if near.any() else near
+def finer_masks(mask: int, distance: int) -> list[int]:
+    """Masks that add to ``mask`` one of distance + 1 blocks of its other bits; none where too few are left.
 
+    A bucket with so few bits left holds at most 2 ** (2 * distance + 1) fingerprints.
+    """
+    rest = [b for b in range(64) if not mask >> b & 1]
+    if len(rest) <= 2 * distance + 1:
+        return []
+    edges = [round(len(rest) * k / (distance + 1)) for k in range(distance + 2)]
+    return [mask | sum(1 << b for b in rest[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def star_links(fps: np.ndarray, distance: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(members, centres), rows of ``fps`` (m, 2), that connect what links in one bucket connect.
+
+def star_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, centres) of ``fps`` that connect what links in one bucket connect.
 
     Breadth first: reached fingerprints are compared with those not yet reached, so a dense
     bucket costs about one comparison a member and memory stays in proportion to the bucket.
     """
-    rest, members, centres = np.unique(fps, axis=0) if len(fps) > 1 else fps, [], []
+    near = lambda a, b: np.bitwise_count(a ^ b) <= distance
+    rest, members, centres = np.unique(fps), [], []
     if 1 < len(rest) <= MATRIX:
-        linked = _near(rest[:, None], rest[None, :], distance, total).sum(axis=1) > 1
-        rest = rest[linked]
+        rest = rest[near(rest[:, None], rest[None, :]).sum(axis=1) > 1]
     while len(rest) > 1:
         centre, rest = rest[0], rest[1:]
         front = centre[None]
         while len(front) and len(rest):
             reached = np.zeros(len(rest), bool)
             for f in front:
-                reached |= _near(rest, f, distance, total)
+                reached |= near(rest, f)
             front, rest = rest[reached], rest[~reached]
             members.append(front)
-            centres.append(np.repeat(centre[None], len(front), axis=0))
-    none = np.empty((0, 2), np.uint64)
+            centres.append(np.repeat(centre, len(front)))
+    none = np.empty(0, np.uint64)
     return (np.concatenate(members), np.concatenate(centres)) if members else (none, none)
 
 
-def _bucket_links(distance: int, total: int):
+def _bucket_links(distance: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches sorted by (mask, part); a bucket that goes on in the next batch waits for it."""
+        """Rows (mask, part, fp) sorted by (mask, part) to links (u, v), or, of buckets over ``most``, to their rows (fp, fp) under finer masks."""
         held: list[np.ndarray] = []
-        held_key = None
+        held_key, size, finer = None, 0, []
+
+        def out(u: np.ndarray, v: np.ndarray, mask: int | None) -> Iterator[pa.RecordBatch]:
+            if len(u):
+                masks = pa.nulls(len(u), pa.int64()) if mask is None else pa.array(np.full(len(u), _signed(mask), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), masks], ["u", "v", "mask"])
 
-        def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            pairs = [p for p in pairs if len(p[0])]
-            if pairs:
-                u, v = (np.concatenate([p[k] for p in pairs]).view(np.int64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[:, 0], u[:, 1], v[:, 0], v[:, 1])], ["u", "u2", "v", "v2"])
+        def finished() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from out(*star_links(np.concatenate(held), distance), None)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mask, part, fp, fp2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            fps = np.stack([fp.view(np.uint64), fp2.view(np.uint64)], axis=1)
+            mask, part, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            fps = fp.view(np.uint64)
             cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
             bounds = np.concatenate([[0], cuts, [len(fps)]])
-            sizes = np.diff(bounds)
-            pairs = []
-            if held and held_key != (mask[0], part[0]):
-                pairs.append(star_links(np.concatenate(held), distance, total))
-                held = []
-            if held and len(sizes) > 1:
-                pairs.append(star_links(np.concatenate([*held, fps[: bounds[1]]]), distance, total))
-                held, sizes[0] = [], 1
-            two = np.flatnonzero(sizes[:-1] == 2)
+            whole = np.diff(bounds)[1:-1]
+            # buckets that begin and end in this batch: pairs together, then the larger ones
+            two = np.flatnonzero(whole == 2) + 1
             if len(two):
                 a, b = fps[bounds[two]], fps[bounds[two] + 1]
-                near = _near(a, b, distance, total)
-                pairs.append((a[near], b[near]))
-            pairs += [star_links(fps[bounds[k] : bounds[k + 1]], distance, total) for k in np.flatnonzero(sizes[:-1] > 2)]
-            held.append(fps[bounds[-2] :].copy())
-            held_key = (mask[-1], part[-1])
-            yield from out(pairs)
-        if held:
-            yield from out([star_links(np.concatenate(held), distance, total)])
+                close = np.bitwise_count(a ^ b) <= distance
+                yield from out(a[close], b[close], None)
+            for k in [0, *(np.flatnonzero(whole > 2) + 1).tolist(), *([len(bounds) - 2] if len(bounds) > 2 else [])]:
+                some, key = fps[bounds[k] : bounds[k + 1]], (mask[bounds[k]], part[bounds[k]])
+                if key != held_key:
+                    yield from finished()
+                    held, held_key, size, finer = [], key, 0, []
+                held.append(some.copy())
+                if size <= most < size + len(some):
+                    finer = finer_masks(int(key[0]) & ALL_BITS, distance)
+                size += len(some)
+                if finer:
+                    for rows in held:
+                        for mask_of in finer:
+                            yield from out(rows, rows, mask_of)
+                    held = []
+        yield from finished()
 
     return run
 
 
-def near_components(prints: DataFrame, distance: int = DISTANCE, total: int | None = None, partitions: int | None = None) -> DataFrame:
-    """(id, root): the different fingerprints of ``prints`` (id, fp, fp2) and the smallest id they are linked to.
+def near_components(prints: DataFrame, distance: int = DISTANCE, most: int = BUCKET) -> DataFrame:
+    """(fp, root): the different fingerprints of ``prints`` (fp) and the smallest one they are linked to.
 
-    ``id`` is a hash of fp and fp2. Only fingerprints that link to another and aren't the smallest
-    of their component appear.
+    Only fingerprints that link to another and aren't the smallest of their component appear.
+    ``most`` sets the members above which a bucket is split; the result doesn't depend on it.
     """
-    fps = prints.select("fp", "fp2").distinct()
+    spark = prints.sparkSession
+    fps = prints.select("fp").distinct()
     masks = block_masks(distance, spare_blocks(distance, fps.count()))
-    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
-    n = partitions or int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = fps.select(F.posexplode(signed).alias("mask", "bits"), "fp", "fp2").withColumn("part", F.col("fp").bitwiseAND(F.col("bits")))
-    dealt = keyed.select("mask", "part", "fp", "fp2").repartition(n, "mask", "part").sortWithinPartitions("mask", "part")
-    links = dealt.mapInArrow(_bucket_links(distance, distance if total is None else total), "u bigint, u2 bigint, v bigint, v2 bigint")
-    return components(links.select(F.xxhash64("u", "u2").alias("u"), F.xxhash64("v", "v2").alias("v"))).select(F.col("node").alias("id"), "root")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fps.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "fp")
+    tables = []
+    while True:
+        parted = keyed.withColumn("part", F.col("fp").bitwiseAND(F.col("mask"))).select("mask", "part", "fp")
+        dealt = parted.repartition(n, "mask", "part").sortWithinPartitions("mask", "part")
+        tables.append(written(dealt.mapInArrow(_bucket_links(distance, most), "u bigint, v bigint, mask bigint"), "simhash-links"))
+        keyed = tables[-1].where("mask is not null").select("mask", F.col("u").alias("fp")).distinct()
+        if keyed.isEmpty():
+            break
+    links = tables[0].where("mask is null").select("u", "v")
+    for table in tables[1:]:
+        links = links.unionByName(table.where("mask is null").select("u", "v"))
+    roots = components(links).select(F.col("node").alias("fp"), "root")
+    for table in tables:
+        drop_written(table)
+    return roots
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, total: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, most: int = BUCKET) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): its fingerprint and near-duplicate component.
 
     Returns doc_id, fp (signed long), fingerprint (16 hex digits) and component_id, the smallest
-    doc_id reachable over links of at most ``distance`` differing bits (and, if ``total`` is given,
-    at most ``total`` over 128 bits). A null or wordless text has fingerprint 0, which links like
-    any other; repeated rows stay, each with the same result; a null doc_id is never a component's
-    name unless nothing else is in it; an empty table gives an empty result. Other columns play no role.
+    doc_id reachable over links of at most ``distance`` differing bits. A null or wordless text has
+    fingerprint 0, which links like any other; a text of any length is read whole; repeated rows
+    stay, each with the same result; a null doc_id is never a component's name unless nothing else
+    is in it; an empty table gives an empty result. Other columns play no role.
     """
-    prints = written(fingerprints(docs, shingle, seed, total is not None).withColumn("id", F.xxhash64("fp", "fp2")), "fingerprints")
-    roots = near_components(prints, distance, total)
-    firsts = prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    prints = written(fingerprints(docs, shingle, seed), "fingerprints")
+    roots = near_components(prints, distance, most)
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     # both sides of the join on a root are written tables, whose large partitions Spark can split
-    named = written(firsts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
+    named = written(firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
     least = written(named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("size")).where("size > 1"), "least")
-    names = written(named.join(least, "root").select("id", "component_id"), "components")
+    names = written(named.join(least, "root").select("fp", "component_id"), "components")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(names, "id", "left").select("doc_id", "fp", digits, F.coalesce("component_id", "doc_id").alias("component_id"))
+    return prints.join(names, "fp", "left").select("doc_id", "fp", digits, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 #: The stage on whole documents: a Jaccard similarity of five-word shingles of at least 0.8, decided
@@ -241,7 +266,7 @@ def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """doc_id, text, id (a hash of the set of shingles), n (its size) and its band keys, of every row of ``docs``; no shuffle."""
+    """doc_id, text, id (128 bits over the set of shingles), n (its size) and its band keys, of every row of ``docs``; no shuffle."""
     fields = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,13 +275,13 @@ def shingle_sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
             ids, sizes, keys = [], [], []
             for text in batch.column(1):
                 hashes = np.unique(shingle_hashes(text.as_py(), shingle, seed))
-                ids.append(xxhash.xxh3_64_intdigest(hashes.tobytes(), seed))
+                ids.append(xxhash.xxh3_128_digest(hashes.tobytes(), seed))
                 sizes.append(len(hashes))
                 keys.append(band_keys(hashes, a, b).view(np.int64))
-            cols = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            cols = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text", "id", "n", "keys"])
 
-    return fields.mapInArrow(run, f"doc_id {fields.schema['doc_id'].dataType.simpleString()}, text string, id bigint, n bigint, keys array<bigint>")
+    return fields.mapInArrow(run, f"doc_id {fields.schema['doc_id'].dataType.simpleString()}, text string, id binary, n bigint, keys array<bigint>")
 
 
 def linked_sets(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -294,10 +319,9 @@ def _set_links(shingle: int, least: float, seed: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
-                at = np.array(ids)
                 root = linked_sets(sets, least)
-                linked = root != np.arange(len(root))
-                yield pa.RecordBatch.from_arrays([pa.array(at[linked]), pa.array(at[root[linked]])], ["u", "v"])
+                linked = np.flatnonzero(root != np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in some], pa.binary()) for some in (linked, root[linked])], ["u", "v"])
 
         for batch in batches:
             for root, one, text in zip(*(batch.column(k) for k in range(3)), strict=True):
@@ -324,7 +348,7 @@ def similar_components(sets: DataFrame, shingle: int, least: float, seed: int) -
     groups = groups.select(F.col("node").alias("id"), "root").unionByName(groups.select(F.col("root").alias("id"), "root").distinct())
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = groups.join(one.select("id", "text"), "id").select("root", "id", "text").repartition(n, "root").sortWithinPartitions("root")
-    links = dealt.mapInArrow(_set_links(shingle, least, seed), "u bigint, v bigint")
+    links = dealt.mapInArrow(_set_links(shingle, least, seed), "u binary, v binary")
     roots = components(links).select(F.col("node").alias("id"), "root")
     drop_written(buckets)
     return roots
@@ -342,7 +366,8 @@ def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = ST
     sets = written(shingle_sets(keyed, shingle, seed), "sets")
     roots = similar_components(sets, shingle, least, seed)
     firsts = sets.groupBy("id").agg(F.min("doc_id").alias("first")).join(roots, "id", "left")
-    kept = written(firsts.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.tie").alias("tie")).distinct(), "kept")
+    kept = written(firsts.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.tie").distinct(), "kept")
     drop_written(sets)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(docs).alias("tie"))
-    return rows.join(kept, "tie").dropDuplicates(["tie"]).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), row_hash(docs).alias("own_tie"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_tie") == F.col("tie"))
+    return rows.join(kept, same).dropDuplicates(["own_id", "own_tie"]).select("row.*")

@@ -42,9 +42,8 @@ def brute_components(nodes, linked):
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=6), st.data())
 def test_stars_connect_what_links(centres, data):
     fps = list({c ^ sum(1 << b for b in data.draw(st.sets(st.integers(0, 63), max_size=6))) for c in centres for _ in range(5)})
-    arr = np.array([[f, 0] for f in fps], np.uint64)
-    u, v = simhash.star_links(arr, 4, 4)
-    edges = {frozenset((int(a), int(b))) for a, b in zip(u[:, 0], v[:, 0], strict=True)}
+    u, v = simhash.star_links(np.array(fps, np.uint64), 4)
+    edges = {frozenset((int(a), int(b))) for a, b in zip(u, v, strict=True)}
     want = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 4)
     got = brute_components(fps, lambda a, b: frozenset((a, b)) in edges)
     assert got == want and len(u) == len(fps) - len(set(want.values()))
@@ -60,6 +59,33 @@ def test_masks_cover_every_pair():
                 assert any(flips & m == 0 for m in masks)
 
 
+def test_finer_masks_keep_every_close_pair():
+    rng = random.Random(3)
+    assert simhash.finer_masks(simhash.ALL_BITS, 4) == simhash.finer_masks((1 << 55) - 1, 4) == []
+    for mask in (0xFFFF, 0xFF << 20, (1 << 40) - 1, (1 << 54) - 1):
+        finer = simhash.finer_masks(mask, 4)
+        assert all(f & mask == mask for f in finer)
+        rest = [b for b in range(64) if not mask >> b & 1]
+        for _ in range(100):
+            flips = sum(1 << b for b in rng.sample(rest, 4))
+            assert any(flips & f == 0 and f != mask for f in finer)
+
+
+@pytest.mark.parametrize("most", [20, 10**6])
+def test_hot_buckets_are_split(spark, most):
+    rng = random.Random(most)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    # many fingerprints that agree on half their bits, near and far from each other
+    fps = sorted({(b & 0xFFFFFFFF) | (rng.getrandbits(32) << 32 if rng.random() < 0.6 else (b >> 32 ^ 1 << rng.randrange(32)) << 32) for b in base for _ in range(70)})
+    fps += [fps[0] ^ (1 << k) ^ (1 << j) for k in range(0, 64, 5) for j in range(1, 64, 9)]
+    fps = sorted(set(fps))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    got = {r["fp"]: r["root"] for r in simhash.near_components(rows, most=most).collect()}
+    want = brute_components(sorted(signed(f) for f in fps), lambda a, b: ((a ^ b) & simhash.ALL_BITS).bit_count() <= 4)
+    assert got == {n: r for n, r in want.items() if n != r}
+
+
 def near_rows():
     rng = random.Random(5)
     vocabulary = ["w%d" % k for k in range(50)]
