@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 #: on none with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7.
 STAGE_SHINGLE, STAGE_LEAST = 5, 0.8
 BANDS, ROWS = 40, 5
-#: Shingles taken through the MinHash functions at a time.
-COLUMNS = 1024
+#: Shingles taken through the MinHash functions at a time, and texts of a group that are compared in one task.
+COLUMNS, GROUP = 1024, 512
 
 
 def _constants(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +314,7 @@ def linked_sets(sets: list[np.ndarray], least: float) -> np.ndarray:
 
 def _set_links(shingle: int, least: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches (root, id, text) sorted by root; a group that goes on in the next batch waits for it."""
+        """Rows (root, block, id, text) sorted so to links (u, v) within each block, v being the first of its component there."""
         ids, sets, now = [], [], None
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -324,10 +324,10 @@ def _set_links(shingle: int, least: float, seed: int):
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in some], pa.binary()) for some in (linked, root[linked])], ["u", "v"])
 
         for batch in batches:
-            for root, one, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-                if root.as_py() != now:
+            for root, block, one, text in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if (root.as_py(), block.as_py()) != now:
                     yield from out()
-                    ids, sets, now = [], [], root.as_py()
+                    ids, sets, now = [], [], (root.as_py(), block.as_py())
                 ids.append(one.as_py())
                 sets.append(np.unique(shingle_hashes(text.as_py(), shingle, seed)))
         yield from out()
@@ -335,26 +335,79 @@ def _set_links(shingle: int, least: float, seed: int):
     return run
 
 
-def similar_components(sets: DataFrame, shingle: int, least: float, seed: int) -> DataFrame:
+def _guest_links(shingle: int, least: float, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (root, block, kind, id, label, text) sorted so: a block's own members, then guests one by one.
+
+        A guest is linked to one member of each of the block's components that holds a similar one.
+        """
+        now, labels, sets, words, flat, sizes = None, [], [], None, None, None
+        for batch in batches:
+            pairs = []
+            for root, block, kind, one, label, text in zip(*(batch.column(k) for k in range(6)), strict=True):
+                if (root.as_py(), block.as_py()) != now:
+                    now, labels, sets, words = (root.as_py(), block.as_py()), [], [], None
+                own = np.unique(shingle_hashes(text.as_py(), shingle, seed))
+                if kind.as_py() == 0:
+                    labels.append(label.as_py())
+                    sets.append(own)
+                    continue
+                if not sets:
+                    continue
+                if words is None:
+                    sizes = np.array([len(s) for s in sets])
+                    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                at = np.searchsorted(words, own)
+                mark = np.zeros(len(words), bool)
+                mark[at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)]] = True
+                both = np.add.reduceat(mark[flat], np.cumsum(sizes) - sizes, dtype=np.int64)
+                near = np.flatnonzero(both / (sizes + len(own) - both) >= least)
+                pairs += [(one.as_py(), v) for v in {labels[k] for k in near}]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+    return run
+
+
+def similar_components(sets: DataFrame, shingle: int, least: float, seed: int, most: int = GROUP) -> DataFrame:
     """(id, root) of the different ids of ``sets`` that link to another and aren't the smallest of their component.
 
     Texts that share a band, directly or over others, form a group; each text goes to its group
-    once, and all texts of a group are compared there until they are connected.
+    once, and all texts of a group are compared there until they are connected. A group of more
+    than ``most`` texts is dealt to blocks, each with the group's smallest id as a common centre.
+    What isn't linked to the centre within its block then visits the other blocks, so no link is
+    lost, no task holds more than a block, and near copies of one text stay where they are.
     """
     one = sets.dropDuplicates(["id"])
     keyed = one.select(F.explode("keys").alias("key"), "id")
     buckets = written(keyed.groupBy("key").agg(F.collect_list("id").alias("members")).where(F.size("members") > 1), "buckets")
     groups = components(buckets.select(F.array_min("members").alias("u"), F.explode("members").alias("v")))
-    groups = groups.select(F.col("node").alias("id"), "root").unionByName(groups.select(F.col("root").alias("id"), "root").distinct())
+    groups = written(groups.select(F.col("node").alias("id"), "root").unionByName(groups.select(F.col("root").alias("id"), "root").distinct()), "groups")
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.join(one.select("id", "text"), "id").select("root", "id", "text").repartition(n, "root").sortWithinPartitions("root")
-    links = dealt.mapInArrow(_set_links(shingle, least, seed), "u binary, v binary")
+    blocks = written(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks")), "group-blocks")
+    placed = written(groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "group-places")
+    every = lambda: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    centres = blocks.where("blocks > 1").select("root", every(), F.col("root").alias("id"))
+    dealt = placed.select("root", "block", "id").unionByName(centres).distinct().join(one.select("id", "text"), "id")
+    dealt = dealt.select("root", "block", "id", "text").repartition(n, "root", "block").sortWithinPartitions("root", "block", "id")
+    links = written(dealt.mapInArrow(_set_links(shingle, least, seed), "u binary, v binary"), "group-links")
+    tables = [buckets, groups, blocks, placed, links]
+    hot = placed.where("blocks > 1")
+    if not hot.isEmpty():
+        labelled = hot.join(links.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        guests = labelled.where("label <> root").select("root", "blocks", "id", F.col("block").alias("home")).select("root", every(), F.lit(1).alias("kind"), "id", F.col("id").alias("label"), "home").where("block <> home").drop("home")
+        hosts = labelled.select("root", "block", F.lit(0).alias("kind"), "id", "label")
+        visits = hosts.unionByName(guests).join(one.select("id", "text"), "id").select("root", "block", "kind", "id", "label", "text")
+        visits = visits.repartition(n, "root", "block").sortWithinPartitions("root", "block", "kind")
+        tables.append(written(visits.mapInArrow(_guest_links(shingle, least, seed), "u binary, v binary"), "guest-links"))
+        links = links.unionByName(tables[-1])
     roots = components(links).select(F.col("node").alias("id"), "root")
-    drop_written(buckets)
+    for table in tables:
+        drop_written(table)
     return roots
 
 
-def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = STAGE_LEAST, seed: int = SEED) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = STAGE_LEAST, seed: int = SEED, most: int = GROUP) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id.
 
     Two texts are linked if their sets of ``shingle``-word runs have a Jaccard similarity of at
@@ -364,7 +417,7 @@ def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = ST
     """
     keyed = docs.select(F.struct("doc_id", row_hash(docs).alias("tie")).alias("doc_id"), "text")
     sets = written(shingle_sets(keyed, shingle, seed), "sets")
-    roots = similar_components(sets, shingle, least, seed)
+    roots = similar_components(sets, shingle, least, seed, most)
     firsts = sets.groupBy("id").agg(F.min("doc_id").alias("first")).join(roots, "id", "left")
     kept = written(firsts.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.tie").distinct(), "kept")
     drop_written(sets)

@@ -125,7 +125,8 @@ def test_one_of_each_group_stays(docs):
     assert simhash.one_of_each(docs([])).count() == 0
 
 
-def test_one_of_each_is_decided_by_jaccard(docs):
+@pytest.mark.parametrize("most", [512, 3])
+def test_one_of_each_is_decided_by_jaccard(docs, most):
     rng = random.Random(11)
     words = lambda n: ["v%d" % rng.randrange(10**6) for _ in range(n)]
     texts = []
@@ -142,7 +143,23 @@ def test_one_of_each_is_decided_by_jaccard(docs):
     pairs = [(a, b) for a in sets for b in sets if a < b and near(a, b)]
     assert 15 < len(pairs) < 120
     group = brute_components(sorted(sets), near)
-    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows)).collect()) == sorted(set(group.values()))
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows), most=most).collect()) == sorted(set(group.values()))
+
+
+def test_a_large_group_of_near_copies(docs):
+    rng = random.Random(8)
+    base = ["b%d" % k for k in range(120)]
+    texts = []
+    for k in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            copy[rng.randrange(120)] = "e%d" % rng.randrange(999)
+        texts.append(copy)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = {k: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} for k, t in enumerate(texts)}
+    group = brute_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert 20 < len(set(group.values())) < 30
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows), most=7).collect()) == sorted(set(group.values()))
 
 
 @settings(max_examples=6, deadline=None)
