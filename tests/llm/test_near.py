@@ -209,6 +209,53 @@ def test_repeats_against_brute_force(docs, sample, most):
     assert sorted((tuple(r) for r in got), key=repr) == brute_repeats(rows, 200)
 
 
+@pytest.mark.parametrize("most", [1024, 5])
+def test_repeat_groups_against_brute_force(docs, most):
+    rng = random.Random(most)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    p, q, r = noise(230), noise(400), noise(215)
+    texts = [noise(50) + p + noise(30), p + noise(260), noise(10) + p, noise(5) + q + noise(99) + p[20:], q[30:] + noise(9), noise(300), r, r, "x" + r, None, ""]
+    texts += [noise(3) + p[:215] + noise(4) for _ in range(9)] + ["ab" * 130]
+    got = {}
+    for g in repeats.repeat_groups(docs(list(enumerate(texts)), extra=True), most=most).collect():
+        got.setdefault((g["group_id"], g["length"]), set()).add((g["doc_id"], g["start"]))
+    datas = [(t or "").encode() for t in texts]
+    covered = [bytearray(len(d)) for d in datas]
+    for (_, n), spots in got.items():
+        doc, start = min(spots)
+        content = datas[doc][start : start + n]
+        want = {(k, s) for k, d in enumerate(datas) for s in range(len(d) - n + 1) if d[s : s + n] == content}
+        assert spots == want and len(spots) > 1 and n >= 200
+        for k, s in spots:
+            covered[k][s : s + n] = b"\x01" * n
+    want = {r[0]: r[2] for r in brute_repeats(list(enumerate(texts)), 200)}
+    assert {k: sum(c) for k, c in enumerate(covered)} == want
+    assert repeats.repeat_groups(docs([])).count() == 0
+
+
+def test_maximal_repeats_of_a_tree(docs):
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    p = noise(210)
+    # the passage four times, twice with the same bytes before and after it
+    texts = ["1L" + p + "R4" + noise(40), noise(20) + "2L" + p + "R5", noise(9) + "M" + p + "S", "N" + p + "R6" + noise(3)]
+    lengths = {}
+    for g in repeats.repeat_groups(docs(list(enumerate(texts)))).collect():
+        lengths.setdefault((g["group_id"], g["length"]), set()).add(g["doc_id"])
+    sets = {(n, frozenset(d)) for (_, n), d in lengths.items()}
+    assert {x for x in sets if x[0] >= 210} <= {(212, frozenset({0, 1})), (211, frozenset({0, 1, 3})), (210, frozenset({0, 1, 2, 3}))}
+    assert max(n for n, _ in sets) >= 200
+
+
+def test_repeats_in_a_very_long_text(docs):
+    rng = random.Random(4)
+    p = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    long = " ".join("%x" % rng.getrandbits(40) for _ in range(100_000))
+    rows = [(1, long + p + long[:50]), (2, p + "z"), (3, long[500_000:500_260])]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.repeats(docs(rows)).collect()}
+    assert got == {1: (len(long) + 350, 560, 2), 2: (301, 300, 1), 3: (260, 260, 1)}
+
+
 def test_repeats_across_chunks(docs, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 500)
     rng = random.Random(1)
