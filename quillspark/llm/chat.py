@@ -30,10 +30,11 @@ def numbered(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per different turn (conv_id, turn, m1, m2) with its place in the conversation, without its text.
 
     Adds part, place (from 1), n_turns and the running hashes h1, h2 of the part. Turns order by
-    number (null first), turns of one number by a hash; rows that repeat wholly count once.
+    number (null first), turns of one number by a hash; rows that repeat wholly count once. Turns
+    without a number are dealt to parts by that hash, so any number of them is spread.
     """
     rows = turns.select("conv_id", "turn", *_marks()).distinct()
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / block), F.lit(-1 << 62)))
+    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / block), F.lit(-1 << 62) + F.shiftright("m1", 50)))
     order = Window.partitionBy("conv_id", "part").orderBy(F.col("turn").asc_nulls_first(), "m1", "m2")
     rows = written(rows.withColumn("rank", F.row_number().over(order).cast("long")), "chat-turns")
     sizes = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("size"))
@@ -88,15 +89,24 @@ def collapsed(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     return turns.select("conv_id", "turn", "role", "text", *_marks()).join(own, same).select("conv_id", "part", "place", "n_turns", "copies", "role", "text")
 
 
+def escaped(text: Column, start: str = START, end: str = END) -> Column:
+    """A text in which the markers, split by a backslash after their first character, mark nothing."""
+    for mark in (start, end):
+        text = F.replace(text, F.lit(mark), F.lit(f"{mark[0]}\\{mark[1:]}"))
+    return text
+
+
 def rendered(turns: DataFrame, block: int = BLOCK, start: str = START, end: str = END) -> DataFrame:
     """Maximal conversations as chat markup, a row per part of at most ``block`` turn numbers.
 
     Returns conv_id, part_no (from 0), n_parts, n_turns, copies, n_rendered and text. The parts of
     a conversation, put together by part_no, are its whole text. A null role or text is empty; an
-    empty table gives no rows. Columns other than conv_id, turn, role and text play no role.
+    empty table gives no rows. Columns other than conv_id, turn, role and text play no role. Markers
+    inside a role or text go out ``escaped``, so what a user wrote can't open or close a turn. Rows
+    without a conv_id are one conversation. A text of any length stays whole, in its part.
     """
     kept = collapsed(turns, block)
-    line = F.concat(F.lit(start), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end + "\n"))
+    line = F.concat(F.lit(start), escaped(F.coalesce("role", F.lit("")), start, end), F.lit("\n"), escaped(F.coalesce("text", F.lit("")), start, end), F.lit(end + "\n"))
     parts = kept.groupBy("conv_id", "part").agg(
         F.array_sort(F.collect_set(F.struct("place", line.alias("line")))).alias("lines"), F.max("n_turns").alias("n_turns"), F.max("copies").alias("copies")
     )

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 32
-#: Bytes of text hashed at a time (a longer text goes alone).
+#: Bytes of text hashed at a time; a longer text goes in pieces that overlap.
 CHUNK = 1 << 20
 
 # Notices as the licenses' own texts and common practice word them.
@@ -45,6 +45,14 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "MIT-conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-warranty": "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    "BSD-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-warranty": "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "CDDL-1.0": "The contents of this file are subject to the terms of the Common Development and Distribution License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "MIT-licensed-notice": "Licensed under the MIT License.",
@@ -231,6 +239,26 @@ class Notices:
                 yield row, name, 1.0, len(WORD.findall(data, 0, found.start())), count
 
 
+def long_pieces(data: bytes, overlap: int, most: int) -> Iterator[tuple[int, bytes]]:
+    """(words before it, piece) of lower-cased bytes: pieces of about ``most`` bytes, cut between words, that share ``overlap`` words."""
+    at, words = 0, 0
+    while True:
+        end = at + most
+        if end >= len(data):
+            yield words, data[at:]
+            return
+        while end < len(data) and _IS_WORD[data[end]]:
+            end += 1
+        piece = data[at:end]
+        starts, _ = word_spans(piece)
+        yield words, piece
+        again = max(0, len(starts) - overlap)
+        if not again:  # fewer words than the overlap: the next piece begins at the last but one half
+            again = len(starts) // 2
+        words += again
+        at += int(starts[again]) if again < len(starts) and again else len(piece)
+
+
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, bands: int = BANDS) -> DataFrame:
     """Licenses found in ``docs`` (doc_id, text): doc_id, license, containment, first_word, n_words.
 
@@ -238,7 +266,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, le
     the five-word shingles; containment and place are those of the first best window. A template of
     fewer words is found where all its words stand in a row. Words are
     runs of a-z (A-Z lowered), 0-9 and non-ASCII characters. Null and empty texts match nothing;
-    repeated rows are reported each; an empty table gives no rows.
+    repeated rows are reported each; an empty table gives no rows. A text of over ``CHUNK`` bytes is
+    read whole too, in pieces that share as many words as the largest window has.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = templates or TEMPLATES
@@ -247,6 +276,15 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready, notices = Templates({n: t for n, t in given.items() if n not in short}, SHINGLE, bands), Notices(short)
         named = lambda rows: [(row, ready.names[k], *x) for row, k, *x in rows]
+        overlap = max([c + step for c, step, _, _ in ready.classes], default=0) + SHINGLE
+
+        def scan_long(row: int, data: bytes) -> list[tuple]:
+            best: dict[int, tuple[float, int, int]] = {}
+            for before, piece in long_pieces(data, overlap, CHUNK):
+                for _, k, share, first, count in scan([(row, piece)], ready, least):
+                    if share > best.get(k, (0.0,))[0]:
+                        best[k] = (share, first + before, count)
+            return [(row, k, *x) for k, x in sorted(best.items())]
         for batch in batches:
             found, held, size = [], [], 0
             for row, text in enumerate(batch.column(1)):
@@ -255,6 +293,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, le
                     found += named(scan(held, ready, least))
                     held, size = [], 0
                 found += notices.scan(row, data)
+                if len(data) > CHUNK:
+                    found += named(scan_long(row, data))
+                    continue
                 held.append((row, data))
                 size += len(data) + 1
             found += named(scan(held, ready, least))

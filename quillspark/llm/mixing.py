@@ -21,6 +21,8 @@ from quillspark.llm.shared import NON_SPACES, row_hash, written
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
+#: Equal rows made again at a time.
+EQUAL = 65_536
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -47,15 +49,13 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, sha
 
 
 def _finish_times(docs: DataFrame, weights: tuple[float, ...], share: float) -> tuple[DataFrame, int]:
-    rows = written(
-        docs.select(
-            F.col("doc_id"),
-            F.col("source"),
-            F.coalesce(F.regexp_count("text", F.lit(NON_SPACES)), F.lit(0)).cast("long").alias("size"),
-            row_hash(docs).alias("tie"),
-        ).withColumn("place", F.xxhash64("doc_id", "tie", F.lit("mix"))),
-        "mix-sizes",
-    )
+    sized = docs.select(F.col("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(NON_SPACES)), F.lit(0)).cast("long").alias("size"), row_hash(docs).alias("tie"))
+    # wholly equal rows are counted and made again with numbers, so that each has a place of its own
+    # whatever the partitions, and a row that repeats in millions is dealt out like any other
+    counted = sized.groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EQUAL))))
+    numbered = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * EQUAL, F.least(F.col("n"), (F.col("block") + 1) * EQUAL) - 1)))
+    rows = written(numbered.select("doc_id", "source", "size", "tie", F.xxhash64("doc_id", "tie", "copy", F.lit("mix")).alias("place")), "mix-sizes")
     count = rows.count()
     bits = max(1, math.ceil(math.log2(math.sqrt(max(count, 1)) / 2 + 1)))
     rows = rows.withColumn("slot", F.shiftrightunsigned("place", 64 - bits))
@@ -111,12 +111,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it, with the same columns.
 
-    Equal rows share what was taken of them.
+    Wholly equal rows can't be told apart, so one of them stands for all with the sum of their copies.
     """
-    decided = mixed(docs, weights, share).where("copies > 0").groupBy("place", "tie").agg(F.sum("copies").alias("copies"))
-    key = F.xxhash64("doc_id", "tie", F.lit("mix"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", row_hash(docs).alias("tie")).withColumn("place", key)
-    per_key = Window.partitionBy("place", "tie")
-    joined = rows.join(decided, ["place", "tie"]).withColumn("n", F.count(F.lit(1)).over(per_key)).withColumn("i", F.row_number().over(per_key.orderBy("place")))
-    share_of = F.floor(F.col("copies") / F.col("n")) + (F.col("i") <= F.col("copies") % F.col("n")).cast("int")
-    return joined.select("row", F.explode(F.array_repeat(F.lit(0), share_of.cast("int")))).select("row.*")
+    decided = mixed(docs, weights, share).where("copies > 0").groupBy(F.col("doc_id").alias("own_id"), F.col("tie").alias("own_tie")).agg(F.sum("copies").cast("int").alias("copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", row_hash(docs).alias("tie"))
+    joined = rows.join(decided, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("tie") == F.col("own_tie"))).dropDuplicates(["own_id", "own_tie"])
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")

@@ -74,11 +74,13 @@ _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDE
 _REST = "regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '')"
 _ASKED = f"regexp_replace(regexp_replace(regexp_extract({_REST}, '[?](.*)$', 1), '(^|&)({warc.TRACKING})=[^&]*', '', 'g'), '^&', '')"
 
+_safe = lambda c: f"replace(replace(coalesce({c}, ''), '{chat.START}', '<\\{chat.START[1:]}'), '{chat.END}', '<\\{chat.END[1:]}')"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_snapshots": f"""
         WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
         c AS (SELECT conv_id, count(*) AS n, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS l,
-                     string_agg('{chat.START}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{chat.END}' || chr(10), '' ORDER BY turn, role, text) AS body
+                     string_agg('{chat.START}' || {_safe("role")} || chr(10) || {_safe("text")} || '{chat.END}' || chr(10), '' ORDER BY turn, role, text) AS body
               FROM t GROUP BY conv_id),
         k AS (SELECT min(conv_id) AS conv_id, n, l, body, count(*) AS copies FROM c GROUP BY n, l, body)
         SELECT conv_id, 0 AS part_no, 1 AS n_parts, n AS n_turns, copies, n AS n_rendered, sha256(body) AS text_sha256

@@ -63,6 +63,20 @@ def test_licenses_against_brute_force(docs, sample):
     assert got == want
 
 
+def test_licenses_in_a_very_long_text(docs, monkeypatch):
+    filler = " ".join(f"w{k}" for k in range(150_000))
+    mit, epl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["EPL-2.0"]
+    # notices at the start, over the edge between pieces and at the end
+    text = f"{epl} {filler}"
+    text = text[: licenses.CHUNK - 100] + " " + mit + " " + text[licenses.CHUNK - 100 :] + " Released under the MIT License."
+    got = {r["license"]: r for r in licenses.license_matches(docs([(1, text), (2, "x" * (3 << 20))])).collect()}
+    assert set(got) == {"MIT", "EPL-2.0", "MIT-notice"} and all(r["containment"] == 1 for r in got.values())
+    words = licenses.WORD.findall(text.encode().lower())
+    for name, r in got.items():
+        part = words[r["first_word"] : r["first_word"] + r["n_words"]]
+        assert set(licenses.WORD.findall(licenses.TEMPLATES[name].encode().lower())) <= set(part)
+
+
 def test_short_notices_and_families(docs):
     rows = [(1, "a b. All Rights\n reserved, c"), (2, "overall rights reserved"), (3, "x // SPDX-License-Identifier: MIT"), (4, "all rights are reserved"), (5, "all rights reserved"), (6, None)]
     got = sorted(tuple(r) for r in licenses.license_matches(docs(rows), licenses.ALL).collect())
