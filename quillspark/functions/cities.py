@@ -60,12 +60,25 @@ def last_postal_line(holder: Column) -> Column:
     return F.coalesce(F.array_max(flags), F.lit(-1))
 
 
+#: Postal codes up to which the commune lists are broadcast; more join by shuffle.
+BROADCAST_CODES = 200_000
+
+
 def with_fixed_city(rows: DataFrame, holder: str, communes: DataFrame) -> DataFrame:
-    """``rows`` with the city of the ``holder`` column repaired against (postal_code, commune)."""
+    """``rows`` with the city of the ``holder`` column repaired against (postal_code, commune).
+
+    Rows without a postal code have no key, so they meet no commune and aren't gathered anywhere.
+    """
     at = last_postal_line(F.col(holder))
     line = F.when(at >= 0, F.get(lines_of(F.col(holder)), at))
-    keyed = rows.withColumn("__at", at).withColumn("__code", postal_code_of(line))
-    joined = keyed.join(commune_lists(communes).select(F.col("postal_code").alias("__postal"), F.col("communes").alias("__communes")), F.col("__code") == F.col("__postal"), "left")
+    keyed = rows.withColumn("__at", at).withColumn("__code", F.nullif(postal_code_of(line), F.lit("")))
+    known = commune_lists(communes).select(F.col("postal_code").alias("__postal"), F.col("communes").alias("__communes"))
+    few = known.select("__postal").limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES
     fixed = F.transform(lines_of(F.col(holder)), lambda x, i: F.when(i == F.col("__at"), F.coalesce(fix_city_line(x, F.col("__communes")), x)).otherwise(x))
     value = F.when(F.col(holder).isNotNull() & (F.col("__at") >= 0), F.array_join(fixed, "\n")).otherwise(F.col(holder))
-    return joined.withColumn(holder, value).drop("__at", "__code", "__postal", "__communes")
+    if few:
+        joined = keyed.join(F.broadcast(known), F.col("__code") == F.col("__postal"), "left").withColumn(holder, value)
+    else:
+        with_code = keyed.where(F.col("__code").isNotNull()).join(known, F.col("__code") == F.col("__postal"), "left").withColumn(holder, value)
+        joined = with_code.unionByName(keyed.where(F.col("__code").isNull()), allowMissingColumns=True)
+    return joined.drop("__at", "__code", "__postal", "__communes")

@@ -1,7 +1,7 @@
 """Signed barcode documents (2D-Doc): header, fields and signature.
 
-Header columns are plain expressions. Fields run into each other with lengths that depend on
-their ids, and the signature is elliptic curve arithmetic; both work in Arrow batches. What can't
+Headers, fields (which run into each other with lengths that depend on their ids) and signatures
+(elliptic curve arithmetic) are read in Arrow batches, in one pass over the rows. What can't
 be parsed gives an error text, never an exception.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -20,25 +21,56 @@ GS, RS, US = "\x1d", "\x1e", "\x1f"
 
 # Document types by id, and lengths of fields (least, most; None has no limit).
 TYPES = {
-    "Justificatif de domicile": "00 01 02",
-    "Documents bancaires": "03 05 11",
-    "Justificatif fiscal": "09 19 20 21",
-    "Justificatif de ressources": "04 18 06",
-    "Justificatif d’emploi": "10 15",
-    "Justificatif d’identité": "07 08 13",
-    "Justificatif de véhicule": "A0 A7 14",
-    "Certificat d’immatriculation": "A8",
-    "Justificatif permis de conduire": "A1 AA AB",
-    "Justificatif académique": "B0 B1",
-    "Justificatif médical": "A4 AE",
-    "Justificatif de santé": "A2",
-    "Justificatif d’activité": "A3 A5 A6 A9 AC",
-    "Justificatif juridique/judiciaire": "12",
-    "Autorisations douanières": "22 C1 C2 C3 C4 C5 C6 C7 C8",
-    "Résultats des tests virologiques": "B2",
-    "Attestation Vaccinale": "L1",
-    "Justificatif d’Asile": "16 17",
-    "Caducée Infirmier": "C9",
+    "00": "Justificatif de domicile",
+    "01": "Justificatif de domicile",
+    "02": "Justificatif de domicile",
+    "03": "Documents bancaires",
+    "05": "Documents bancaires",
+    "11": "Documents bancaires",
+    "09": "Justificatif fiscal",
+    "19": "Justificatif fiscal",
+    "20": "Justificatif fiscal",
+    "21": "Justificatif fiscal",
+    "04": "Justificatif de ressources",
+    "18": "Justificatif de ressources",
+    "06": "Justificatif de ressources",
+    "10": "Justificatif d’emploi",
+    "15": "Justificatif d’emploi",
+    "07": "Justificatif d’identité",
+    "08": "Justificatif d’identité",
+    "13": "Justificatif d’identité",
+    "A0": "Justificatif de véhicule",
+    "A7": "Justificatif de véhicule",
+    "14": "Justificatif de véhicule",
+    "A8": "Certificat d’immatriculation",
+    "A1": "Justificatif permis de conduire",
+    "AA": "Justificatif permis de conduire",
+    "AB": "Justificatif permis de conduire",
+    "B0": "Justificatif académique",
+    "B1": "Justificatif académique",
+    "A4": "Justificatif médical",
+    "AE": "Justificatif médical",
+    "A2": "Justificatif de santé",
+    "A3": "Justificatif d’activité",
+    "A5": "Justificatif d’activité",
+    "A6": "Justificatif d’activité",
+    "A9": "Justificatif d’activité",
+    "AC": "Justificatif d’activité",
+    "12": "Justificatif juridique/judiciaire",
+    "22": "Autorisations douanières",
+    "C1": "Autorisations douanières",
+    "C2": "Autorisations douanières",
+    "C3": "Autorisations douanières",
+    "C4": "Autorisations douanières",
+    "C5": "Autorisations douanières",
+    "C6": "Autorisations douanières",
+    "C7": "Autorisations douanières",
+    "C8": "Autorisations douanières",
+    "B2": "Résultats des tests virologiques",
+    "L1": "Attestation Vaccinale",
+    "16": "Justificatif d’Asile",
+    "17": "Justificatif d’Asile",
+    "C9": "Caducée Infirmier",
 }
 FIELDS: dict[str, tuple[int, int | None]] = {
     "01": (0, None),
@@ -76,34 +108,46 @@ def hex_day(digits: Column) -> Column:
 
 def document_type(type_id: Column) -> Column:
     """Label of a document type id; ``unknown`` for others."""
-    labels = F.create_map(*[F.lit(x) for label, ids in TYPES.items() for k in ids.split() for x in (k, label)])
+    labels = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
     return F.coalesce(labels[type_id], F.lit("unknown"))
 
 
+_HEADS = re.compile("DC(?:02[0-9A-Za-z]{18}|03[0-9A-Za-z]{20}|04[0-9A-Za-z]{22})")
+_DAY = re.compile("[0-9A-Fa-f]{4}")
+
+
+def parse_header(payload: str | None) -> tuple | None:
+    """(authority, cert_id, issued, signed, type id, label, perimeter, issuer, length) of a barcode's text, days as
+    numbers from the year 2000; None for other versions than 2 to 4 and for malformed headers."""
+    if payload is None or not (found := _HEADS.match(payload)):
+        return None
+    head = found.group()
+    issued, signed = head[12:16], head[16:20]
+    if not _DAY.match(signed) or signed == "FFFF" or not _DAY.match(issued):
+        return None
+    perimeter, issuer = head[22:24] or None, head[24:26] or None
+    return head[4:8], head[8:12], None if issued == "FFFF" else int(issued, 16), int(signed, 16), head[20:22], TYPES.get(head[20:22], "unknown"), perimeter, issuer, len(head)
+
+
 def header(payload: Column) -> Column:
     """struct of the header; null for other versions than 2 to 4 and for malformed headers.
 
     authority, cert_id, issued (date, null if unknown), signed (date), doc_type_id, doc_type,
     perimeter (from version 3), issuer (from version 4) and length (characters of the header).
+    One Arrow pass, so that its parts are found once however many of them are used.
     """
-    at = lambda a, n: F.substring(payload, a, n)
-    v = version(payload)
-    length = F.when(v == 2, 22).when(v == 3, 24).when(v == 4, 26)
-    good = (F.length(payload) >= length) & F.substring(payload, F.lit(1), length).rlike("^[0-9A-Za-z]+$") & hex_day(at(17, 4)).isNotNull() & (hex_day(at(13, 4)).isNotNull() | (at(13, 4) == "FFFF"))
-    return F.when(
-        good,
-        F.struct(
-            at(5, 4).alias("authority"),
-            at(9, 4).alias("cert_id"),
-            hex_day(at(13, 4)).alias("issued"),
-            hex_day(at(17, 4)).alias("signed"),
-            at(21, 2).alias("doc_type_id"),
-            document_type(at(21, 2)).alias("doc_type"),
-            F.when(v >= 3, at(23, 2)).alias("perimeter"),
-            F.when(v >= 4, at(25, 2)).alias("issuer"),
-            length.alias("length"),
-        ),
-    )
+    names = ("authority", "cert_id", "issued_day", "signed_day", "doc_type_id", "doc_type", "perimeter", "issuer", "length")
+
+    @F.pandas_udf("authority string, cert_id string, issued_day int, signed_day int, doc_type_id string, doc_type string, perimeter string, issuer string, length int")
+    def parse(payloads: pd.Series) -> pd.DataFrame:
+        rows = [parse_header(p) or (None,) * len(names) for p in payloads]
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pd.DataFrame({n: pd.Series(list(c), dtype="Int32" if n.endswith("_day") or n == "length" else object) for n, c in zip(names, columns, strict=True)})
+
+    h = parse(payload)
+    day = lambda n: F.date_add(F.lit("2000-01-01").cast("date"), h[n])
+    fields = [h[n].alias(n) for n in names[4:]]
+    return F.when(h["length"].isNotNull(), F.struct(h["authority"].alias("authority"), h["cert_id"].alias("cert_id"), day("issued_day").alias("issued"), day("signed_day").alias("signed"), *fields))
 
 
 def parse_fields(message: str, sizes: dict[str, tuple[int, int | None]] = FIELDS) -> tuple[dict[str, str] | None, str | None]:
@@ -134,13 +178,17 @@ def fields(payload: Column, sizes: dict[str, tuple[int, int | None]] | None = No
     """struct(fields map, error) of a barcode's text; null where the header is null."""
     own = sizes or FIELDS
 
-    @F.pandas_udf("fields map<string,string>, error string")
-    def parse(messages: pd.Series) -> pd.DataFrame:
-        rows = [(None, None) if m is None else parse_fields(m, own) for m in messages]
-        return pd.DataFrame({"fields": pd.Series([r[0] for r in rows], dtype=object), "error": pd.Series([r[1] for r in rows], dtype=object)})
+    def read(payload: str | None) -> tuple[bool, dict[str, str] | None, str | None]:
+        head = parse_header(payload)
+        return (False, None, None) if head is None else (True, *parse_fields(payload[head[-1] :], own))
+
+    @F.pandas_udf("known boolean, fields map<string,string>, error string")
+    def parse(payloads: pd.Series) -> pd.DataFrame:
+        rows = [read(p) for p in payloads]
+        return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(("known", "fields", "error"))})
 
-    h = header(payload)
-    return F.when(h.isNotNull(), parse(F.when(h.isNotNull(), F.substring(payload, h["length"] + 1, F.length(payload)))))
+    found = parse(payload)
+    return F.when(found["known"], F.struct(found["fields"].alias("fields"), found["error"].alias("error")))
 
 
 _P = 2**256 - 2**224 + 2**192 + 2**96 - 1

@@ -24,7 +24,7 @@ TITLE = re.compile(rf"(?:^|\s)(?:{'|'.join(TITLES)})\.?\s", _I)
 POSTAL = re.compile(r"(?:^| )[0-9]{5}(?: ?- ?| ?)(?:[A-Za-z]+ ?)+")
 HOLDER, BRANCH = re.compile("titulaire|intitulé", _I), re.compile("domiciliation|cadre réservé", _I)
 BLOCK_TOP = re.compile("titulaire|intitulé|domiciliation|cadre réservé", _I)
-BLOCK_HEAD = re.compile("titulaire|intitulé|identit[e|é] bancaire", _I)
+BLOCK_HEAD = re.compile("titulaire|intitulé|identit[eé] bancaire", _I)
 BLOCK_END = re.compile(r"domiciliation|cadre réservé|identification|\bIBAN\b|\bBIC\b|FR\d{2} ?\d{4}", _I)
 NOT_HOLDER = re.compile(r"titulaire|domiciliation|cadre réservé|identification|numero de|\bIBAN\b|\bBIC\b|FR\d{2} ?\d{4}", _I)
 LABEL = re.compile("titulaire", _I)

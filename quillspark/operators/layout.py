@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import geometry
-from quillspark.operators.quantiles import rank_quantiles, upper_median
+from quillspark.functions.holder import TITLES
 
 # Words that tell a holder's block, a branch's block and a title apart.
 HOLDER_LABEL = "(?iu)(titulaire|intitul[ée]|account owner|b[ée]n[ée]ficiaire)"
 BRANCH_LABEL = "(?iu)(domiciliation|agence|cadre r[ée]serv[ée])"
-TITLE = "(?iu)(^|\\s)(m|monsieur|mr|mademoiselle|ml|mle|mlle|melle|madame|mme)\\.?\\s"
+TITLE = f"(?iu)(^|\\s)({'|'.join(TITLES)})\\.?\\s"
 COUPLE = "[A-Z]+ +[A-Z]+ +OU +[A-Z]+ +[A-Z]+"
 POSTAL_LINE, POSTAL_WORD = "\\s*[0-9]{5}\\s*[A-Za-z]", "^[0-9]{5}"
 #: Times the median line height above which a line is no line of text.
@@ -46,7 +46,9 @@ def anchors(words: DataFrame, word_pattern: str, line_pattern: str | None = None
     is as wide as the code.
     """
     lines = lines_of(words)
-    median = rank_quantiles(lines.where("h > 0"), ["doc_id"], "h", {"median": upper_median}).select("doc_id", "median")
+    # a document's heights are few and already together: an array beats a distributed quantile
+    heights = F.array_sort(F.collect_list(F.when(F.col("h") > 0, F.col("h"))))
+    median = lines.groupBy("doc_id").agg(heights.alias("hs")).select("doc_id", F.get("hs", F.floor(F.size("hs") / 2).cast("int")).alias("median"))
     kept = lines.join(median, "doc_id", "left").where(F.col("median").isNull() | (F.col("h") <= F.col("median") * OVERSIZE))
     if line_pattern is not None:
         kept = kept.where(F.col("text").rlike(line_pattern))
@@ -113,6 +115,7 @@ def ranked_candidates(words: DataFrame) -> DataFrame:
 
     Anchors beside a branch's label are left out; higher scores come first, then reading order.
     """
+    words = words.repartition("doc_id")  # all that follows works by document, so this is the one shuffle of the words
     found = anchors(words, POSTAL_WORD, POSTAL_LINE)
     order = Window.partitionBy("doc_id").orderBy("line_no", "word_no")
     indexed = found.withColumn("idx", F.row_number().over(order) - 1)
@@ -134,10 +137,10 @@ def chosen_holder(candidates: DataFrame) -> DataFrame:
     return seen.withColumn("best", best).where("best = 1").select("doc_id", "holder")
 
 
-def richer_stats(passes: DataFrame) -> DataFrame:
-    """doc_id and stats of the pass (doc_id, pass, stats) that has most letters and digits, the first of equals."""
+def richer_stats(passes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and stats of the pass (doc_id, pass, stats) that has most letters and digits, the first of equals; and columns to keep."""
     order = Window.partitionBy("doc_id").orderBy((F.col("stats.alphas") + F.col("stats.digits")).desc(), "pass")
-    return passes.withColumn("r", F.row_number().over(order)).where("r = 1").select("doc_id", "stats")
+    return passes.withColumn("r", F.row_number().over(order)).where("r = 1").select("doc_id", *keep, "stats")
 
 
 def page_angle(angles: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Exact quantiles by index in the sorted values, without sorting whole groups in memory.
+"""Exact quantiles by index in the sorted values, without sorting whole groups in one task.
 
-Values are counted first (map-side), then a running sum over the different values of a group
-finds the one at each index.
+Values are counted first (map-side). Two levels of running sums then find the value at an index:
+over ``CELLS`` cells per factor e of value, whose order is that of the values, and over the different
+values inside the cells that hold an index asked for. No window holds a group's values.
 """
 
 from __future__ import annotations
@@ -29,28 +30,57 @@ def top_share(percent: int) -> Index:
     return lambda n: F.least(F.floor(n * percent / 100), n - 1)
 
 
+#: Cells of values within a factor of e; and a number above any cell's.
+CELLS, BEYOND = 4096, 1 << 23
+
+
+def value_cell(value: Column) -> Column:
+    """A number that never falls as a numeric value rises; NaN counts as the largest value."""
+    d = value.cast("double")
+    size = lambda x: F.floor(F.ln(x) * CELLS) + BEYOND
+    finite = F.when(d > 0, size(F.least(d, F.lit(1.7e308)))).when(d < 0, -size(F.least(-d, F.lit(1.7e308)))).otherwise(F.lit(0))
+    return F.when(F.isnan(d), F.lit(2 * BEYOND)).otherwise(finite).cast("long")
+
+
+def _same(keys: list[str], a: str, b: str) -> Column:
+    """Whether two rows agree in their keys, nulls included."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
 def rank_quantiles(rows: DataFrame, keys: list[str], value: str, indices: dict[str, Index]) -> DataFrame:
     """keys, n and for each name the value at its index (from 0) of the group's sorted values.
 
-    Null values don't count; a group without values doesn't appear.
+    ``value`` is numeric. Null values don't count, null keys are groups; a group without values
+    doesn't appear.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")).withColumn("__cell", value_cell(F.col(value)))
+    cells = counted.groupBy(*keys, "__cell").agg(F.sum("__c").alias("__cc"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = F.sum("__c").over(group.orderBy(value))
-    ranked = counted.withColumn("__upto", upto).withColumn("__n", F.sum("__c").over(group))
-    at = [F.max(F.when((index(F.col("__n")) >= F.col("__upto") - F.col("__c")) & (index(F.col("__n")) < F.col("__upto")), F.col(value))).alias(name) for name, index in indices.items()]
-    return ranked.groupBy(*keys).agg(F.max("__n").alias("n"), *at).where("n is not null")
+    cells = cells.withColumn("__n", F.sum("__cc").over(group)).withColumn("__before", F.sum("__cc").over(group.orderBy("__cell")) - F.col("__cc"))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), (index(F.col("__n")) - F.col("__before")).cast("long").alias("at")) for name, index in indices.items()])
+    asked = cells.select(*keys, "__cell", "__n", F.explode(F.filter(asked, lambda x: (x["at"] >= 0) & (x["at"] < F.col("__cc")))).alias("__x"))
+    here = asked.groupBy(*keys, "__cell").agg(F.max("__n").alias("__n"), F.collect_list("__x").alias("__xs"))
+    inside = counted.alias("v").join(here.alias("t"), _same([*keys, "__cell"], "v", "t")).select(*[F.col(f"v.{k}").alias(k) for k in keys], F.col(f"v.{value}").alias("__v"), "v.__c", "v.__cell", "t.__n", "t.__xs")
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__cell").orderBy("__v"))
+    ranked = inside.withColumn("__upto", upto)
+    found = ranked.select(*keys, "__n", "__v", F.explode(F.filter("__xs", lambda x: (x["at"] >= F.col("__upto") - F.col("__c")) & (x["at"] < F.col("__upto")))).alias("__x"))
+    at = [F.max(F.when(F.col("__x.name") == name, F.col("__v"))).alias(name) for name in indices]
+    return found.groupBy(*keys).agg(F.max("__n").alias("n"), *at).where("n is not null")
 
 
 def distributions(rows: DataFrame, keys: list[str], metrics: dict[str, Column]) -> DataFrame:
-    """keys, metric, n, mean, p25, median and p75 of several metrics, in one pass over ``rows``."""
+    """keys, metric, n, mean, p25, median and p75 of several metrics."""
     entries = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value")) for name, value in metrics.items()]))
     long = rows.select(*keys, entries.alias("x")).select(*keys, "x.metric", "x.value")
     by = [*keys, "metric"]
-    # sums are exact whatever the order in which rows are added up
+    # counted once, used for means and quantiles; sums are exact whatever the order in which rows are added up
     means = long.groupBy(*by).agg((F.sum(F.col("value").cast("decimal(28,10)")) / F.count("value")).cast("double").alias("mean"))
     quantiles = rank_quantiles(long, by, "value", {"p25": nearest_rank(0.25), "median": nearest_rank(0.5), "p75": nearest_rank(0.75)})
-    return quantiles.join(means, by).select(*by, "n", "mean", "p25", "median", "p75")
+    joined = quantiles.alias("q").join(means.alias("m"), _same(by, "q", "m"))
+    return joined.select(*[F.col(f"q.{k}").alias(k) for k in by], "n", "mean", "p25", "median", "p75")
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import ddoc, holder, ident, text
 from quillspark.functions.cities import with_fixed_city
 from quillspark.operators.bank import with_bank
+from quillspark.sources.tools import pdf_route
 
 
 def read_identities(pages: DataFrame, register: DataFrame, communes: DataFrame | None = None, column: str = "text") -> DataFrame:
@@ -49,19 +50,45 @@ def read_barcodes(rows: DataFrame, certificates: DataFrame | None = None, column
     return found.withColumn("ddoc", F.when(F.col("__f.fields").isNotNull(), whole)).withColumn("ddoc_error", error).drop("__h", "__f", "__a", "__c", "__key", "__s")
 
 
-def analyse(documents: DataFrame, register: DataFrame, communes: DataFrame | None = None, certificates: DataFrame | None = None) -> DataFrame:
-    """Documents (text, barcode_text, hint) to their analysis.
+def analyse(documents: DataFrame, register: DataFrame, communes: DataFrame | None = None, certificates: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """Documents (file, text, barcode_text, hint) to their analysis.
 
-    Adds rib, ddoc, unreadable and error by hint: ``rib`` reads only the identity and says whether
-    the page is unreadable; ``2ddoc`` reads only the barcode; null reads both and passes over
-    errors. Another hint is an error. ``error`` is null for rows without a fault.
+    Adds route, rib, ddoc, unreadable and error by hint: ``rib`` reads only the identity and says
+    whether the page is unreadable; ``2ddoc`` reads only the barcode; null reads both and passes over
+    errors of readings. Another hint is an error. ``error`` is null for rows without a fault; a row
+    that comes with an error keeps it.
+
+    A document's media_type, if it has one, sets its route: plain text is read as it is; a PDF by
+    its text or, where ``pdf_route`` says so (by ``page_images``), by its image; images by ``images``
+    (file, iban, bic, account_holder, stats, as ``read_images`` gives them). Without a media_type, text
+    is text. ``unreadable`` needs a reading of the image: it tells "nothing to read" from "no identity".
     """
     hint = F.col("hint")
-    rows = documents.withColumn("__text", F.when(hint.isNull() | (hint == "rib"), F.col("text"))).withColumn("__barcode", F.when(hint.isNull() | (hint == "2ddoc"), F.col("barcode_text")))
+    named = lambda c, kind: F.col(c) if c in documents.columns else F.lit(None).cast(kind)
+    rows = documents.withColumn("__error", named("error", "string")).withColumn("__kind", named("media_type", "string")).withColumn("__images", named("page_images", "int"))
+    rows = rows.drop("error").withColumn("__text", F.when(hint.isNull() | (hint == "rib"), F.col("text"))).withColumn("__barcode", F.when(hint.isNull() | (hint == "2ddoc"), F.col("barcode_text")))
     rows = read_barcodes(read_identities(rows, register, communes, "__text"), certificates, "__barcode")
-    guard = (hint == "rib") & F.col("rib").isNull() & text.is_unreadable(text.text_stats(F.col("__text")))
-    error = F.when(hint.isNotNull() & ~hint.isin("rib", "2ddoc"), F.concat(F.lit("unknown hint: "), hint)).when(hint == "2ddoc", F.col("ddoc_error"))
-    return rows.withColumn("unreadable", F.coalesce(guard, F.lit(False))).withColumn("error", error).drop("__text", "__barcode", "ddoc_error")
+    by_text = F.col("rib").isNotNull()
+    pdf = F.when(pdf_route(F.col("__text"), by_text, F.col("__images")) == "image", "pdf_image").otherwise("pdf_text")
+    route = F.when(F.col("__kind") == "application/pdf", pdf).when(F.col("__kind").isin("image/png", "image/jpeg"), "image").when(F.col("__kind").isNull() | (F.col("__kind") == "text/plain"), "plain_text")
+    rows = rows.withColumn("route", F.when(hint.isNull() | (hint == "rib"), route))
+    guard = F.lit(False)
+    if images is not None:
+        seen = images.select(F.col("file").alias("__file"), F.col("iban").alias("__i"), F.col("bic").alias("__b"), F.col("account_holder").alias("__h"), F.col("stats").alias("__stats"))
+        rows = rows.join(seen, (F.col("file") == F.col("__file")) & F.col("route").isin("image", "pdf_image"), "left")
+        rows = with_bank(rows, "__i", register)
+        if communes is not None:
+            rows = with_fixed_city(rows, "__h", communes)
+        of_image = F.struct(F.col("__h").alias("account_holder"), F.col("__i").alias("iban"), F.col("__b").alias("bic"), F.col("bank_name"))
+        # a reading is what the document's kind of reader was missed for
+        rows = rows.withColumn("__error", F.when(F.col("__file").isNotNull() & F.startswith("__error", F.lit("No reader for image/")), None).otherwise(F.col("__error")))
+        rows = rows.withColumn("rib", F.coalesce("rib", F.when(F.col("__i").isNotNull(), of_image)))
+        guard = (hint == "rib") & F.col("rib").isNull() & F.col("__stats").isNotNull() & text.is_unreadable(F.col("__stats"))
+        rows = rows.withColumn("unreadable", F.coalesce(guard, F.lit(False))).drop("__file", "__i", "__b", "__h", "__stats", "bank_name", "bic_prefix")
+    else:
+        rows = rows.withColumn("unreadable", guard)
+    own = F.when(hint.isNotNull() & ~hint.isin("rib", "2ddoc"), F.concat(F.lit("unknown hint: "), hint)).when(hint == "2ddoc", F.col("ddoc_error"))
+    return rows.withColumn("error", F.coalesce("__error", own)).drop("__text", "__barcode", "ddoc_error", "__error", "__kind", "__images")
 
 
 def analysis_json() -> Column:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from quillspark.functions import ddoc, geometry, ident, text
 from quillspark.functions.cities import with_fixed_city
 from quillspark.functions.holder import account_holder, crop_holder
-from quillspark.operators import bank, layout, quantiles, rib, score, synth
-from quillspark.sources import files
+from quillspark.operators import bank, certificates, image_route, layout, quantiles, rib, score, synth
+from quillspark.operators.stage import staged
+from quillspark.sources import files, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,18 +96,8 @@ def profile_by_lang(spark, sf_dir):
     return out.select("lang", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p25", "median", "p75")])
 
 
-@query(f"""
-    WITH s AS ({STATS_SQL.replace("coalesce(text, '')", "coalesce(substr(text, 1, 5 + CAST(doc_id % 40 AS INTEGER)), '')")})
-    SELECT doc_id, digits + alphas < 20 AND vocabulary_hits = 0 AND NOT has_iban_prefix AS unreadable FROM s
-""")
-def unreadable_guard(spark, sf_dir):
-    cut = F.substring("text", F.lit(1), (F.lit(5) + F.col("doc_id") % 40).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.is_unreadable(text.text_stats(cut)).alias("unreadable"))
-
-
 @query(f"WITH s AS ({STATS_SQL}) SELECT doc_id, digits + alphas < 20 AND vocabulary_hits = 0 AND NOT has_iban_prefix AS unreadable FROM s")
-def unreadable_documents(spark, sf_dir):
-    """The guard on whole texts; ``unreadable_guard`` holds it against short beginnings of them."""
+def unreadable_guard(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.is_unreadable(text.text_stats(F.col("text"))).alias("unreadable"))
 
 
@@ -230,34 +221,32 @@ def _bics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "bic", ident.extract_bic(body, F.col("iban"), F.col("bic_prefix")).alias("found"))
 
 
-@query(f"""
-    WITH {ACCOUNTS_SQL}, {BANKS_SQL}
-    SELECT id, CASE WHEN id % 4 = 3 THEN (CASE WHEN bic IS NULL THEN 'ZZZZFRPP' END) WHEN id % 4 = 2 THEN 'CEPAFRPP' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0')
-                    ELSE coalesce(bic, 'ZZZZFRPP') END AS found
-    FROM i LEFT JOIN b ON code = 'FR' || bank WHERE NOT (id % 4 = 2 AND bic IS NOT NULL)
-""")
-def bic_extract(spark, sf_dir):
-    return _bics(spark, sf_dir).where(~((F.col("id") % 4 == 2) & F.col("bic").isNotNull())).select("id", "found")
-
-
 @query(f"""
     WITH {ACCOUNTS_SQL}, {BANKS_SQL}
     SELECT id, CASE WHEN id % 4 = 3 THEN (CASE WHEN bic IS NULL THEN 'ZZZZFRPP' END) WHEN id % 4 = 2 THEN (CASE WHEN bic IS NULL THEN 'CEPAFRPP' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') END)
                     ELSE coalesce(bic, 'ZZZZFRPP') END AS found
     FROM i LEFT JOIN b ON code = 'FR' || bank
 """)
-def bic_extract_all(spark, sf_dir):
-    """``bic_extract`` with the rows that print a BIC of another bank than the register's, which must be rejected."""
+def bic_extract(spark, sf_dir):
+    """Rows that print a BIC of another bank than the register's must find none."""
     return _bics(spark, sf_dir).select("id", "found")
 
 
-@query("""
-    SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'BIC PSSTFRPPNTE suite' WHEN 1 THEN 'Code A B' ELSE 'T TAGRIFRPP847 x' END AS joined FROM customer
+_LETTERS = "ABCDEGHIJKLMNOPQRSUVWXYZ"
+
+
+@query(f"""
+    SELECT id, CASE id % 3 WHEN 0 THEN 'BIC ' || bic || ' suite' || id WHEN 1 THEN 'Code ' || substr(bic, 1, 1) || ' ' || substr(bic, 2, 1) ELSE 'T TAGRIFRPP' || id || ' x' END AS joined
+    FROM (SELECT c_custkey AS id, '{_LETTERS}'[CAST(c_custkey % 24 AS INTEGER) + 1] || '{_LETTERS}'[CAST(c_custkey // 24 % 24 AS INTEGER) + 1] || 'STFRPP' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS bic FROM customer)
 """)
 def cell_letters(spark, sf_dir):
-    k = F.col("c_custkey") % 3
-    body = F.when(k == 0, "BIC  P S S T FR PPN ƫE  suite").when(k == 1, "Code   A  B").otherwise("T TAGRIFRPP847 x")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), ident.join_cell_letters(body).alias("joined"))
+    """BICs spelled in cells of one to three letters, a T read against a border, and short words that are no BIC."""
+    k = F.col("c_custkey")
+    letter = lambda n: F.substring(F.lit(_LETTERS), (n % 24 + 1).cast("int"), F.lit(1))
+    a, b, number = letter(k), letter(F.floor(k / 24)), F.lpad((k % 1000).cast("string"), 3, "0")
+    cells = F.concat(F.lit("BIC  "), a, F.lit(" "), F.lower(b), F.lit(" S ƫ FR  PP "), number, F.lit("  suite"), k.cast("string"))
+    body = F.when(k % 3 == 0, cells).when(k % 3 == 1, F.concat(F.lit("Code   "), a, F.lit("  "), b)).otherwise(F.concat(F.lit("T TAGRIFRPP"), k.cast("string"), F.lit(" x")))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), ident.join_cell_letters(body).alias("joined"))
 
 
 COMMUNES = (("44800", "ST HERBLAIN"), ("44700", "ORVAULT"), ("44640", "LE PELLERIN"), ("44640", "ROUANS"), ("44100", "NANTES"), ("35000", "RENNES"))
@@ -311,25 +300,26 @@ def holder_block(spark, sf_dir):
     return _pages(spark, sf_dir).select("id", account_holder(F.col("text")).alias("holder"))
 
 
-@query("""
-    SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'M MATISSE' || chr(10) || '44100 NANTES' WHEN 1 THEN NULL WHEN 2 THEN 'MATISSE' || chr(10) || '44100 NANTES' ELSE 'ANNE KAHLO OU HENRI X' END AS holder
-    FROM (SELECT c_custkey FROM customer) WHERE c_custkey % 4 < 3
-""")
-def crop_holders(spark, sf_dir):
-    k = F.col("c_custkey") % 4
-    crop = F.when(k == 0, "Titulaire du compte\nM MATISSE\n44100 NANTES\nDomiciliation").when(k == 1, "51 RUE BERNARD\n44100 NANTES").otherwise("Nom et adresse du bénéficiaire\nMATISSE\n44100 NANTES\nx")
-    return table(spark, sf_dir, "customer").where(k < 3).select(F.col("c_custkey").alias("id"), crop_holder(crop).alias("holder"))
+_name_sql = f"{_names}[CAST(c_custkey % 10 AS INTEGER) + 1]"
 
 
-@query("""
-    SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'M MATISSE' || chr(10) || '44100 NANTES' WHEN 1 THEN NULL WHEN 2 THEN 'MATISSE' || chr(10) || '44100 NANTES' ELSE 'ANNE KAHLO OU HENRI X' END AS holder
-    FROM customer
+@query(f"""
+    SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'M ' || {_name_sql} || chr(10) || code || ' NANTES' WHEN 1 THEN NULL WHEN 2 THEN {_name_sql} || chr(10) || code || ' NANTES'
+           ELSE 'ANNE ' || {_name_sql} || ' OU HENRI X' END AS holder
+    FROM (SELECT c_custkey, CAST(44000 + c_custkey % 900 AS VARCHAR) AS code FROM customer)
 """)
-def crop_holders_all(spark, sf_dir):
-    """``crop_holders`` on every customer, with the crop that has a title and neither label nor postal line."""
-    k = F.col("c_custkey") % 4
-    crop = F.when(k == 0, "Titulaire du compte\nM MATISSE\n44100 NANTES\nDomiciliation").when(k == 1, "51 RUE BERNARD\n44100 NANTES").when(k == 2, "Nom et adresse du bénéficiaire\nMATISSE\n44100 NANTES\nx").otherwise("ANNE KAHLO OU HENRI X")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), crop_holder(crop).alias("holder"))
+def crop_holders(spark, sf_dir):
+    """Crops with a title, with neither title nor label, with a label, and with two names in capitals."""
+    k = F.col("c_custkey")
+    name = F.get(F.array(*[F.lit(x) for x in synth.LAST_NAMES]), (k % 10).cast("int"))
+    city = F.concat((k % 900 + 44000).cast("string"), F.lit(" NANTES"))
+    body = (
+        F.when(k % 4 == 0, F.concat(F.lit("Titulaire du compte\nM "), name, F.lit("\n"), city, F.lit("\nDomiciliation")))
+        .when(k % 4 == 1, F.concat((k % 99 + 1).cast("string"), F.lit(" RUE BERNARD\n"), city))
+        .when(k % 4 == 2, F.concat(F.lit("Nom et adresse du bénéficiaire\n"), name, F.lit("\n"), city, F.lit("\nx")))
+        .otherwise(F.concat(F.lit("ANNE "), name, F.lit(" OU HENRI X")))
+    )
+    return table(spark, sf_dir, "customer").select(k.alias("id"), crop_holder(body).alias("holder"))
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,9 +439,24 @@ def confusion_unaligned(spark, sf_dir):
     SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 'truncated' WHEN 1 THEN 'overflowing' WHEN 2 THEN 'city' WHEN 3 THEN 'street' WHEN 4 THEN 'address' WHEN 5 THEN 'name_near' ELSE 'name_wrong' END AS kind FROM customer
 """)
 def holder_mismatch(spark, sf_dir):
-    k = (F.col("c_custkey") % 7).cast("int")
-    found = ("M Kahlo\n44100 NANTES", "M KAHLO\n1 RUE A\nBAT B\n44100 NANTES", "M KAHLO\n1 RUE A\n44100 NANTE", "m kahlo\n1 RUE B\n44100 Nantes", "M KAHLO\n1 RUE B\n44000 NANTES", "M KAHLA\n1 RUE A\n44100 NANTES", "AGENCE\n1 RUE A\n44100 NANTES")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), score.holder_mismatch(F.lit("M KAHLO\n1 RUE A\n44100 NANTES"), F.get(F.array(*[F.lit(f) for f in found]), k)).alias("kind"))
+    """Holders of every name and street, each damaged in one of seven ways."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("M "), F.get(F.array(*[F.lit(x) for x in synth.LAST_NAMES]), (k % 10).cast("int")))
+    street, code = F.concat((k % 250 + 1).cast("string"), F.lit(" RUE A")), (k % 900 + 44000).cast("string")
+    lines = lambda *parts: F.concat_ws("\n", *parts)
+    city = F.concat(code, F.lit(" NANTES"))
+    other = F.concat((k % 250 + 2).cast("string"), F.lit(" RUE B"))
+    damaged = (
+        lines(F.initcap(name), city),
+        lines(name, street, F.lit("BAT B"), city),
+        lines(name, street, F.concat(code, F.lit(" NANTE"))),
+        lines(F.lower(name), other, F.concat(code, F.lit(" Nantes"))),
+        lines(name, other, F.concat(F.lit("35"), F.substring(code, 3, 3), F.lit(" NANTES"))),
+        lines(F.concat(F.substring(name, F.lit(1), F.length(name) - 1), F.lit("Q")), street, city),
+        lines(F.lit("AGENCE"), street, city),
+    )
+    found = F.get(F.array(*damaged), (k % 7).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), score.holder_mismatch(lines(name, street, city), found).alias("kind"))
 
 
 @query(f"""
@@ -625,11 +630,17 @@ def main_angle(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), layout.main_angle(F.when(k == 0, F.array(*[F.lit(x) for x in (1.0, 2.0, 1.5, 44.0)])).otherwise(F.array(*[F.lit(x) for x in (3.0, 3.0, -80.0)]))).alias("angle"))
 
 
-@query("SELECT p_partkey AS id, CAST(600 - p_size - 20 AS INTEGER) AS x, CAST(p_size AS INTEGER) AS y, 20 AS w, 40 AS h FROM part")
+@query("""
+    SELECT p_partkey AS id, CAST(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN 600 - p_size - h WHEN 2 THEN 800 - p_size - w ELSE p_size END AS INTEGER) AS x,
+           CAST(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size WHEN 2 THEN 600 - p_size - h ELSE 800 - p_size - w END AS INTEGER) AS y,
+           CAST(CASE WHEN p_partkey % 2 = 0 THEN w ELSE h END AS INTEGER) AS w, CAST(CASE WHEN p_partkey % 2 = 0 THEN h ELSE w END AS INTEGER) AS h
+    FROM (SELECT p_partkey, p_size, 40 + p_partkey % 30 AS w, 20 + p_partkey % 7 AS h FROM part)
+""")
 def rotated_boxes(spark, sf_dir):
-    """A box on a page of 800 by 600 that is turned by a quarter."""
-    box = F.struct(F.col("p_size").alias("x"), F.col("p_size").alias("y"), F.lit(40).alias("w"), F.lit(20).alias("h"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), geometry.rotated_box(box, F.lit(800), F.lit(600), F.lit(geometry.QUARTER_TURN)).alias("b")).select("id", "b.*")
+    """Boxes of many sizes on a page of 800 by 600 that is turned by none to three quarters."""
+    k = F.col("p_partkey")
+    box = F.struct(F.col("p_size").alias("x"), F.col("p_size").alias("y"), (k % 30 + 40).cast("int").alias("w"), (k % 7 + 20).cast("int").alias("h"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), geometry.rotated_box(box, F.lit(800), F.lit(600), (k % 4) * F.lit(geometry.QUARTER_TURN)).alias("b")).select("id", "b.*")
 
 
 @query("SELECT p_partkey AS id, CAST(p_size AS INTEGER) AS x, CAST(10 + p_size AS INTEGER) AS y, 30 AS w, 20 AS h FROM part")
@@ -641,29 +652,36 @@ def text_heights(spark, sf_dir):
 
 
 @query("""
-    SELECT p_partkey AS id, k AS at, 'AB7'[k] AS letter, CAST(p_size + (k - 1) * 10 AS INTEGER) AS x FROM part, unnest(range(1, 4)) AS r(k)
+    SELECT id, k AS at, word[k] AS letter, CAST(x + (k - 1) * greatest(w // length(word), 1) AS INTEGER) AS x
+    FROM (SELECT p_partkey AS id, replace(p_name, ' ', '') AS word, p_size AS x, p_size * 9 AS w FROM part), unnest(range(1, length(word) + 1)) AS r(k)
 """)
 def letter_boxes(spark, sf_dir):
-    box = F.struct(F.col("p_size").cast("int").alias("x"), F.lit(0).alias("y"), F.lit(32).alias("w"), F.lit(9).alias("h"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(geometry.letter_boxes(F.lit("AB7"), box)).alias("p", "b"))
+    """The letters of every part's name, in boxes of many widths."""
+    box = F.struct(F.col("p_size").cast("int").alias("x"), F.lit(0).alias("y"), (F.col("p_size") * 9).cast("int").alias("w"), F.lit(9).alias("h"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(geometry.letter_boxes(F.replace("p_name", F.lit(" "), F.lit("")), box)).alias("p", "b"))
     return rows.select("id", (F.col("p") + 1).cast("long").alias("at"), "b.letter", "b.x")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '222 AVENUE' ELSE 'CMCIFR2A' END AS words FROM part")
+@query("SELECT p_partkey AS id, CASE WHEN length(n) >= 2 AND letters <> '' THEN n || ' ' || letters ELSE n || letters END AS words FROM (SELECT p_partkey, CAST(p_partkey % 150 AS VARCHAR) AS n, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE upper(split_part(p_name, ' ', 1)) END AS letters FROM part)")
 def split_words(spark, sf_dir):
-    word = F.when(F.col("p_partkey") % 2 == 0, "222AVENUE").otherwise("CMCIFR2A")
+    """A number of one to three digits run into a word, or alone."""
+    word = F.concat((F.col("p_partkey") % 150).cast("string"), F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.upper(F.split("p_name", " ")[0])))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(text.split_digit_letter(word), " ").alias("words"))
 
 
-@query("""
-    SELECT doc_id, pass, chars FROM (SELECT doc_id, p AS pass, CASE WHEN p = 0 THEN length(lang) ELSE length(source) END AS chars,
-        row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN p = 0 THEN length(lang) ELSE length(source) END DESC, p) AS r FROM documents, unnest([0, 1]) AS q(p)) WHERE r = 1
+_chars = "length(regexp_replace({0}, '[^0-9\\p{{L}}]', '', 'g'))"
+
+
+@query(f"""
+    WITH p AS (SELECT doc_id, 0 AS pass, coalesce({_chars.format("text")}, 0) AS chars FROM documents UNION ALL SELECT doc_id, 1, coalesce({_chars.format("repeat(source, 40)")}, 0) FROM documents)
+    SELECT doc_id, pass, chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, pass) AS r FROM p) WHERE r = 1
 """)
 def richer_pass(spark, sf_dir):
+    """Two readings of each document, its text and its source forty times: the one with more letters and digits."""
     docs = table(spark, sf_dir, "documents")
-    one = lambda c, p: docs.select("doc_id", F.lit(p).alias("pass"), F.struct(text.text_stats(F.col(c))["alphas"].alias("alphas"), text.text_stats(F.col(c))["digits"].alias("digits"), F.lit(p).alias("pass")).alias("stats"))
-    out = layout.richer_stats(one("lang", 0).unionByName(one("source", 1)))
-    return out.select("doc_id", "stats.pass", (F.col("stats.alphas") + F.col("stats.digits")).alias("chars"))
+    one = lambda c, p: docs.select("doc_id", F.lit(p).alias("pass"), text.text_stats(c).alias("stats"))
+    out = layout.richer_stats(one(F.col("text"), 0).unionByName(one(F.repeat("source", 40), 1)), keep=("pass",))
+    return out.select("doc_id", "pass", (F.col("stats.alphas") + F.col("stats.digits")).alias("chars"))
 
 
 # --- sources, registers, generator -----------------------------------------------------------------
@@ -698,7 +716,32 @@ def register_changes(spark, sf_dir):
     return bank.register_changes(*_registers(spark, sf_dir))
 
 
-@query()
+def _scenario_sql() -> str:
+    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else repr(v)
+    rows = ", ".join("(" + ", ".join(map(show, (k, *row))) + ")" for k, row in enumerate(synth.SCENARIOS))
+    layouts = ", ".join(f"({k}, '{name}')" for k, name in enumerate(synth.LAYOUTS))
+    part = lambda on, name, value=None: f"CASE WHEN {on} THEN '_{name}'" + (f" || CAST({value} AS VARCHAR)" if value else "") + " ELSE '' END"
+    whole = lambda e: f"CAST(floor({e} + 0.5) AS BIGINT)"
+    recipe = " || ".join(
+        [
+            "'h' || CAST(cap AS VARCHAR)",
+            part("turns % 4 <> 0", "turn", "turns % 4 * 90"),
+            part("rot <> 0", "rot", whole("rot * 10")),
+            part("persp > 0", "persp", whole("persp * 100")),
+            part("blur > 0", "blur", whole("blur * 10")),
+            part("noise > 0", "noise", whole("noise")),
+            part("light > 0", "illum", whole("light * 100")),
+            part("photo", "bg"),
+            part("q IS NOT NULL", "q", "q"),
+        ]
+    )
+    return f"""
+        SELECT CAST(ord * {len(synth.LAYOUTS)} + l AS INTEGER) AS idx, layout, form, {recipe} AS recipe, photo OR persp > 0 AS is_photo, form IN ('pdf_img_multi', 'pdf_page2') AS known_failure
+        FROM (VALUES {rows}) AS s(ord, form, cap, photo, turns, rot, persp, blur, noise, light, q), (VALUES {layouts}) AS t(l, layout)
+    """
+
+
+@query(_scenario_sql())
 def scenario_grid(spark, sf_dir):
     return synth.scenario_grid(spark)
 
@@ -714,3 +757,131 @@ def synthetic_round_trip(spark, sf_dir):
 @query("SELECT k AS pixels, CAST(floor(k * 72.0 / 7.92 + 0.5) AS INTEGER) AS dpi FROM (SELECT p_partkey AS k FROM part)")
 def cap_height_dpi(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pixels"), geometry.dpi_for_cap_height(F.col("p_partkey")).alias("dpi"))
+
+
+# --- the image route, documents, certificates, readers ------------------------------------------------
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A page image per customer: words and crops of a raw and of a cleaned pass, its identity shown in one of six ways."""
+    rows = _ibans(spark, sf_dir).join(F.broadcast(_register(spark)).select(F.col("code").alias("c"), F.nullif("bic", F.lit("")).alias("own")), F.concat(F.lit("FR"), "bank") == F.col("c"), "left")
+    k, bic = F.col("id"), F.coalesce("own", F.lit("CRLYFRPP"))
+    printed = ident.grouped_iban(F.col("iban"))
+    name = F.concat(F.lit("MME "), F.get(F.array(*[F.lit(x) for x in synth.LAST_NAMES]), (k % 10).cast("int")))
+    at = lambda line, word, body, x, y: F.struct(F.lit(line).alias("line_no"), F.lit(word).cast("int").alias("word_no"), body.alias("text"), F.lit(x).cast("int").alias("x"), F.lit(y).cast("int").alias("y"))
+    box = lambda df: df.select("doc_id", "w.*").withColumn("w", F.length("text") * 10).withColumn("h", F.lit(20))
+    none = F.array().cast("array<struct<line_no:int,word_no:int,text:string,x:int,y:int>>")
+    line = lambda n, body, y: F.transform(F.split(body, " "), lambda t, i: F.struct(F.lit(n).alias("line_no"), i.alias("word_no"), t.alias("text"), (i * 120).cast("int").alias("x"), F.lit(y).alias("y")))
+    cells = F.transform(F.split(bic, "(?!^)(?!$)"), lambda t, i: F.struct((i + 20).cast("int").alias("line_no"), F.lit(0).alias("word_no"), t.alias("text"), (i * 21).cast("int").alias("x"), F.lit(700).alias("y")))
+    bic_words = F.when(k % 4 == 0, line(9, F.concat(F.lit("BIC "), bic), 700)).when(k % 4 == 1, line(9, F.concat_ws(" ", F.lit("BIC"), F.array_join(F.split(bic, "(?!^)(?!$)"), " ")), 700)).when(k % 4 == 2, cells).otherwise(F.array(at(9, 0, F.lit("bic"), 0, 700)))
+    page = F.concat(F.array(at(4, 0, F.lit("44100"), 0, 400), at(4, 1, F.lit("NANTES"), 70, 400)), bic_words)
+    anchor = F.array(at(0, 0, F.lit("FR76"), 0, 60))
+    raw = F.concat(F.when(k % 6 == 0, line(0, F.concat(F.lit("IBAN "), printed), 60)).when((k % 6).isin(1, 2, 5), anchor).otherwise(none), F.when(k % 6 == 4, none).otherwise(page))
+    again = F.concat(F.when(k % 6 == 3, line(0, printed, 60)).otherwise(none), F.when(k % 6 == 4, none).otherwise(page))
+    every = F.array(at(50, 0, F.lit("zz"), 0, 900))
+    words = lambda w: box(rows.select(k.alias("doc_id"), F.explode(F.concat(w, every)).alias("w")))
+    reading = lambda kind, body, other=None: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("idx"), body.alias("text"), (F.lit(None).cast("string") if other is None else other).alias("other"))
+    broken = F.concat(F.lit("FR7 "), F.substring(printed, 6, 40))
+    ibans = F.array(
+        reading("iban", F.when(k % 6 == 1, printed).otherwise(broken)),
+        reading("narrow_iban", broken, F.when(k % 6 == 2, printed).otherwise(broken)),
+        reading("turned_iban", broken, F.when(k % 6 == 5, printed).otherwise(broken)),
+    )
+    holder_line = F.concat(name, F.lit("\n44100 NANTES"))
+    blocks = F.array(
+        reading("address", F.when(k % 3 == 0, F.concat(F.lit("x\n"), holder_line)).when(k % 3 == 1, F.lit("AGENCE DU PORT\n44100 NANTES")).otherwise(F.lit("12 RUE A\n44100 NANTES"))),
+        reading("right_address", F.when(k % 3 == 2, holder_line).otherwise(F.lit("y"))),
+        reading("account_holder", F.when(k % 3 == 1, F.concat(F.lit("Titulaire\n"), holder_line)).otherwise(F.lit("z"))),
+        reading("bic", F.when(k % 4 == 3, F.concat(F.lit("bic "), bic)).otherwise(F.lit("-"))),
+    )
+    crops = lambda some: rows.select(k.alias("doc_id"), F.explode(some).alias("c")).select("doc_id", "c.*")
+    found = crops(F.concat(ibans, blocks)).where((F.col("doc_id") % 6 != 3) | ~F.col("kind").contains("iban"))
+    return tuple(map(staged, (words(raw), words(again), found, crops(blocks))))
+
+
+_SEEN_SQL = f"""
+    s AS (SELECT id, bank, id % 6 <> 4 AS found, {_grouped} AS iban, CASE id % 6 WHEN 0 THEN 'page' WHEN 1 THEN 'crop' WHEN 2 THEN 'narrow_crop' WHEN 3 THEN 'page' ELSE 'second_engine_crop' END AS engine,
+                 coalesce(b.bic, 'CRLYFRPP') AS bic, b.name AS bank_name, 'MME ' || {_names}[CAST(id % 10 AS INTEGER) + 1] || chr(10) || '44100 NANTES' AS holder, id % 6 IN (3, 4) AS second_pass
+          FROM i LEFT JOIN b ON code = 'FR' || bank)
+"""
+
+
+@query(f"""
+    WITH {ACCOUNTS_SQL}, {BANKS_SQL}, {_SEEN_SQL}
+    SELECT id AS doc_id, CASE WHEN found THEN iban END AS iban, CASE WHEN found THEN engine END AS engine, CASE WHEN found THEN bic END AS bic, CASE WHEN found THEN holder END AS account_holder, second_pass FROM s
+""")
+def image_cascade(spark, sf_dir):
+    """Every customer's page image through the cascade of engines, crops and two passes."""
+    words, again, crops, again_crops = _seen(spark, sf_dir)
+    return image_route.read_images(_register(spark), words, again, crops, again_crops).drop("stats")
+
+
+@query(f"""
+    WITH {ACCOUNTS_SQL}, {BANKS_SQL}, {_SEEN_SQL},
+    d AS (SELECT *, id % 7 AS kind, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'rib' ELSE '2ddoc' END AS hint FROM s),
+    r AS (SELECT *, hint IS NULL OR hint = 'rib' AS asked, kind IN (3, 4, 5) AS seen FROM d)
+    SELECT CAST(id AS VARCHAR) || '.x' AS file, CASE WHEN asked THEN CASE WHEN kind IN (0, 6) THEN 'plain_text' WHEN kind IN (1, 2) THEN 'pdf_text' WHEN kind IN (3, 4) THEN 'pdf_image' ELSE 'image' END END AS route,
+           CASE WHEN asked AND (kind IN (0, 1) OR (seen AND found)) THEN iban END AS iban, CASE WHEN asked AND (kind IN (0, 1) OR (seen AND found)) THEN bank_name END AS bank_name,
+           coalesce(hint = 'rib' AND seen AND NOT found, false) AS unreadable, CASE WHEN kind = 6 THEN 'File too big' END AS error
+    FROM r
+""")
+def analyse_documents(spark, sf_dir):
+    """Documents of every route: plain text, PDFs with a text that holds an identity, that holds none, or that holds
+    nothing, a single scanned page, images, and a document that came with an error."""
+    words, again, crops, again_crops = _seen(spark, sf_dir)
+    read = image_route.read_images(_register(spark), words, again, crops, again_crops)
+    k = F.col("id")
+    file, kind = F.concat(k.cast("string"), F.lit(".x")), k % 7
+    body = F.when(kind.isin(0, 1), F.concat(F.lit("Titulaire du compte\nMME X\n44100 NANTES\n\nIBAN "), ident.grouped_iban(F.col("iban")))).when(kind.isin(2, 4), "no identity here").when(kind == 3, " \n")
+    docs = _ibans(spark, sf_dir).select(
+        file.alias("file"), body.alias("text"), F.when(kind.isin(0, 6), "text/plain").when(kind == 5, "image/png").otherwise("application/pdf").alias("media_type"),
+        F.when(kind == 4, 1).when(kind == 2, 2).cast("int").alias("page_images"), F.lit(None).cast("string").alias("barcode_text"),
+        F.when(k % 3 == 1, "rib").when(k % 3 == 2, "2ddoc").alias("hint"), F.when(kind == 6, "File too big").when((kind == 5) & (k % 3 != 2), "No reader for image/png").alias("error"),
+    )
+    images = read.withColumn("file", F.concat(F.col("doc_id").cast("string"), F.lit(".x")))
+    return rib.analyse(docs, _register(spark), images=images).select("file", "route", "rib.iban", "rib.bank_name", "unreadable", "error")
+
+
+@query("""
+    SELECT DISTINCT 'FR' || lpad(CAST(o_orderkey % 13 AS VARCHAR), 2, '0') AS authority, lpad(CAST(o_orderkey % 50 AS VARCHAR), 4, '0') AS cert_id,
+           CASE WHEN o_orderkey % 13 < 9 THEN 'http://pki' || CAST(o_orderkey % 13 AS VARCHAR) || '.example/certs' || CASE WHEN o_orderkey % 13 = 3 THEN '?f=der&' ELSE '?' END || 'name=' || lpad(CAST(o_orderkey % 50 AS VARCHAR), 4, '0') END AS url,
+           CASE WHEN o_orderkey % 13 >= 9 THEN 'unknown authority' END AS error
+    FROM orders WHERE o_orderkey % 13 <> 0
+""")
+def certificate_requests(spark, sf_dir):
+    """The certificates that every order's barcode names, against a trust list of eight authorities, some listed twice."""
+    k = F.col("o_orderkey")
+    head = F.concat(F.lit("DC02FR"), F.lpad((k % 13).cast("string"), 2, "0"), F.lpad((k % 50).cast("string"), 4, "0"), F.lit("0AF00AF000"))
+    codes = table(spark, sf_dir, "orders").select(head.alias("barcode_text"))
+    item = lambda n, uri: f"<t:TrustServiceProvider><t:TSPInformation><t:TSPTradeName><t:Name>FR{n:02d}</t:Name></t:TSPTradeName><t:TSPInformationURI><t:URI> {uri} </t:URI></t:TSPInformationURI></t:TSPInformation></t:TrustServiceProvider>"
+    uris = [(n, f"http://pki{n}.example/certs" + ("?f=der" if n == 3 else "")) for n in range(1, 9)] + [(2, "http://second.example")]
+    xml = '<t:List xmlns:t="urn:x">' + "".join(item(n, uri) for n, uri in uris) + "</t:List>"
+    listed = spark.createDataFrame([(xml,)], "xml string").select(F.explode(readers.trust_providers(F.col("xml"))).alias("p")).select("p.*")
+    return certificates.certificate_requests(codes, certificates.trust_services(listed))
+
+
+@query("""
+    SELECT l_orderkey AS doc_id, l_linenumber AS word_no, 'p' || CAST(l_partkey AS VARCHAR) || '&<' AS text, CAST(l_linenumber * 100 AS INTEGER) AS x, CAST(l_orderkey % 900 AS INTEGER) AS y, CAST(l_quantity AS INTEGER) + 5 AS w, 12 AS h,
+           CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_orderkey % 50 AS DOUBLE) END AS angle
+    FROM lineitem
+""")
+def hocr_words(spark, sf_dir):
+    """An hOCR page per order, a word per line item, read back as words with boxes."""
+    k = F.col("l_orderkey")
+    word = F.format_string("<span class='ocrx_word' id='w' title='bbox %d %d %d %d; x_wconf 90'><strong>p%d&amp;&lt;</strong></span>", F.col("l_linenumber") * 100, k % 900, F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int") + 5, k % 900 + 12, F.col("l_partkey"))
+    pages = table(spark, sf_dir, "lineitem").groupBy(k.alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", word.alias("w")))).alias("ws"))
+    angle = F.when(F.col("doc_id") % 3 == 0, F.format_string("; textangle %d", F.col("doc_id") % 50)).otherwise("")
+    html = F.concat(F.lit("<div class='ocr_page'><span class='ocr_line' title='bbox 0 0 9 9"), angle, F.lit("'>"), F.array_join(F.transform("ws", lambda x: x["w"]), " "), F.lit("</span></div>"))
+    words = readers.words_of_hocr(pages.select("doc_id", html.alias("hocr")))
+    numbers = pages.select(F.col("doc_id").alias("d"), F.posexplode("ws").alias("n", "p")).select("d", "n", "p.l_linenumber")
+    return words.join(numbers, (F.col("doc_id") == F.col("d")) & (F.col("word_no") == F.col("n"))).select("doc_id", F.col("l_linenumber").alias("word_no"), "text", "x", "y", "w", "h", "angle")
+
+
+@query("""
+    SELECT id, CAST(k - 1 AS INTEGER) AS word_no, ws[k] AS text, CAST(10 + floor((length(array_to_string(ws[1:k - 1], ' ')) + CASE WHEN k > 1 THEN 1 ELSE 0 END) * w / length(line)) AS INTEGER) AS x, CAST(greatest(floor(length(ws[k]) * w / length(line)), 1) AS INTEGER) AS w
+    FROM (SELECT p_partkey AS id, p_name AS line, string_split(p_name, ' ') AS ws, p_size * 11 AS w FROM part), unnest(range(1, len(ws) + 1)) AS r(k)
+""")
+def line_words(spark, sf_dir):
+    """The name of every part as a recognised line, cut into words with boxes in proportion."""
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("line_no"), F.col("p_name").alias("text"), F.lit(10).alias("x"), F.lit(5).alias("y"), (F.col("p_size") * 11).cast("int").alias("w"), F.lit(20).alias("h"))
+    return readers.words_of_lines(lines).select(F.col("doc_id").alias("id"), "word_no", "text", "x", "w")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import trimmed
+from quillspark.sources.readers import trust_providers
 
 #: Bytes of the largest document that is analysed.
 MOST_BYTES = 10 << 20
@@ -35,7 +36,8 @@ def media_type(content: Column) -> Column:
 def text_documents(rows: DataFrame) -> DataFrame:
     """``rows`` with media_type, text (of plain text) and error for what has no reader or is too long.
 
-    Page text of PDFs, words of images and barcodes come from readers outside Spark, as tables.
+    Page text of PDFs, words of images and barcodes come from readers outside Spark (``pdf_documents``,
+    the image route's tables); until they do, such a document has no reader, which is its error.
     """
     kind = media_type(F.col("content"))
     error = (
@@ -96,9 +98,6 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def trust_list(spark: SparkSession, path: str) -> DataFrame:
-    """provider, uri and certificate (base64) of the providers of a trust service list (XML)."""
+    """ord, provider, uri and certificate (base64) of the providers of a trust service list (XML)."""
     rows = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("xml"))
-    rows = rows.select(F.explode(F.regexp_extract_all("xml", F.lit("(?s)<(?:\\w+:)?TrustServiceProvider>.*?</(?:\\w+:)?TrustServiceProvider>"), F.lit(0))).alias("p"))
-    first = lambda tag, inner="[^<]*": F.regexp_extract("p", f"(?s)<(?:\\w+:)?{tag}[^>]*>\\s*({inner}?)\\s*</", 1)
-    name = F.regexp_extract("p", "(?s)<(?:\\w+:)?TSPTradeName>.*?<(?:\\w+:)?Name[^>]*>\\s*([^<]*?)\\s*<", 1)
-    return rows.select(name.alias("provider"), first("URI").alias("uri"), F.regexp_replace(first("X509Certificate"), "\\s", "").alias("certificate"))
+    return rows.select(F.explode(trust_providers(F.col("xml"))).alias("p")).select("p.*")

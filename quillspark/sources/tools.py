@@ -10,7 +10,7 @@ import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Programs and their arguments, reading a PDF from standard input.
@@ -62,3 +62,17 @@ def pdf_route(page_text: Column, has_identity: Column, images: Column) -> Column
     without an identity and a single image; else ``none``."""
     blank = F.coalesce(F.trim(F.regexp_replace(page_text, "[\\s\\x0B]+", " ")), F.lit("")) == ""
     return F.when(blank, "image").when(has_identity, "text").when(images == 1, "image").otherwise("none")
+
+
+def pdf_documents(rows: DataFrame) -> DataFrame:
+    """``text_documents`` rows with the text and the number of images (page_images) of PDFs, from the programs above.
+
+    A PDF whose program ran has no reader error any more; one whose program failed has that failure.
+    """
+    pdf = F.col("media_type") == "application/pdf"
+    content = F.when(pdf & (F.coalesce("error", F.lit("")) != "File too big"), F.col("content"))
+    read = rows.withColumn("__t", tool_output(content, PDF_TEXT)).withColumn("__l", tool_output(content, PDF_IMAGES))
+    fault = F.coalesce(F.col("__t.error"), F.col("__l.error"))
+    read = read.withColumn("text", F.when(content.isNotNull(), lossy_text(F.col("__t.output"))).otherwise(F.col("text")))
+    read = read.withColumn("page_images", F.when(content.isNotNull(), listed_images(F.col("__l.output"))).cast("int"))
+    return read.withColumn("error", F.when(content.isNotNull(), fault).otherwise(F.col("error"))).drop("__t", "__l")
