@@ -5,6 +5,7 @@ from __future__ import annotations
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,3 +58,18 @@ def fetched(requests: DataFrame, most: int = MOST_BYTES, partitions: int | None
                 )
 
     return rows.mapInArrow(run, "url string, hint string, content binary, status int, error string, upstream_status int, upstream_body string")
+
+
+def answer_status(error: str | None, upstream: int | None = None) -> int:
+    """The status that a service answers an analysis with: 200 without an error; 422 for a document it can't
+    take (too big, of an unsupported type, unknown hint); 502 for an upstream that failed; else 500."""
+    if error is None:
+        return 200
+    if error == "File too big" or error.startswith(("Unsupported file type", "No reader for ", "unknown hint", "no url")):
+        return 422
+    return 502 if upstream is not None and upstream >= 500 else 500
+
+
+def ping_status(folder: str) -> int:
+    """What a health check answers: 404 while a file called maintenance lies in the folder, else 200."""
+    return 404 if (Path(folder) / "maintenance").is_file() else 200

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import score
 from quillspark.operators.rib import analysis_json
+from quillspark.operators.stage import staged
 
 
 def truth_field(value: Column) -> Column:
@@ -43,3 +50,61 @@ def write_truth(truth: DataFrame, path: str) -> None:
 def rate_text(rates: DataFrame) -> DataFrame:
     """value: a fixed-width line per rate."""
     return rates.select(F.format_string("%-16s %5d/%-5d %6.1f %%  wrong %d", "field", "ok", "total", F.coalesce("percent", F.lit(0.0)), "wrong").alias("value"))
+
+
+#: Most lines of a report's part; a part is a table of labels and counts, so few ever come near.
+PART_LINES = 200
+
+
+def report(reports: DataFrame, keys: tuple[str, ...] = ("src", "recipe"), readings: tuple[str, str] | None = None) -> DataFrame:
+    """A whole report of scored results as text: part, line and value, in order.
+
+    Parts: totals, rates by field, IBAN rates by each key, engines, holder mismatches and, where
+    ``readings`` names an expected and a found column, misread characters by count. Labels and counts
+    only, never recognised text but for single characters.
+    """
+    n = lambda part, rows, order: rows.withColumn("line", F.row_number().over(Window.orderBy(*order))).where(F.col("line") <= PART_LINES).select(F.lit(part).alias("part"), "line", "value")
+    pair = lambda rows, label: rows.select(F.format_string("  %-24s %6d", label, F.col("n")).alias("value"), F.col("n").alias("o1"), label.alias("o2"))
+    total = F.format_string("%d files, %d known failures, %d failures, %d unreadable (%d of them right)", "files", "known_failures", "failures", "unreadable", "unreadable_right")
+    grouped = score.grouped_rates(reports, keys)
+    by_key = grouped.select(F.format_string("  %-10s %-20s %5d/%-5d %6.1f %%", "key", "value", "ok", "total", F.coalesce("percent", F.lit(0.0))).alias("text"), "key", F.col("value").alias("v")).select(F.col("text").alias("value"), F.col("key").alias("o1"), F.col("v").alias("o2"))
+    out = n(1, score.failures(reports).select(total.alias("value")), ["value"])
+    out = out.unionByName(n(2, rate_text(score.rates(reports)), ["value"])).unionByName(n(3, by_key, ["o1", "o2"]))
+    out = out.unionByName(n(4, pair(score.histogram(reports, "engine"), F.col("value")), [F.col("o1").desc(), "o2"]))
+    out = out.unionByName(n(5, pair(score.mismatches(reports), F.col("value")), [F.col("o1").desc(), "o2"]))
+    if readings is not None:
+        pairs = score.confusion_pairs(reports, *readings)
+        out = out.unionByName(n(6, pair(pairs, F.concat("expected", F.lit(" read as "), "found")), [F.col("o1").desc(), "o2"]))
+    return out.orderBy("part", "line")
+
+
+def ordered_lint(checks: DataFrame) -> DataFrame:
+    """A lint by file, as it is printed."""
+    return checks.orderBy("file")
+
+
+def write_corpus(packages: DataFrame, truth: DataFrame, folder: str) -> DataFrame:
+    """Files (file, content) written under their own names into a folder that all tasks share, with their truth table.
+
+    Returns file and size of what was written. A file is written under a name of the attempt and then
+    renamed, so a task that runs again replaces what it left; rows without content write nothing.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, at = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(at, recursive=True)
+        for batch in batches:
+            done = []
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                if content is None:
+                    continue
+                name = f"{at}/_{uuid.uuid4().hex}"
+                with fs.open_output_stream(name) as out:
+                    out.write(bytes(content))
+                fs.move(name, f"{at}/{file}")
+                done.append((file, len(content)))
+            yield pd.DataFrame(done, columns=["file", "size"])
+
+    written = staged(packages.select("file", "content").mapInPandas(run, "file string, size bigint"))
+    write_truth(truth.join(written.select("file"), "file", "left_semi"), f"{folder}/truth")
+    return written
