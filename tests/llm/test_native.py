@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm import chat, decontam, mixing
+from tests.llm.brute import brute_contaminated
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -55,26 +56,6 @@ def test_a_text_cannot_forge_turns_and_may_be_long(spark):
     assert [n for n, _ in parts] == list(range(len(parts))) and len(parts) > 10 and sum(t.count("<|im_end|>") for _, t in parts) == 50
 
 
-def brute_contaminated(rows, items, window=10):
-    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    windows = {}
-    for item, text in items:
-        w = words(text)
-        for k in range(max(len(w) - window, 0) + 1):
-            if w:
-                windows.setdefault(tuple(w[k : k + window]), set()).add(str(item))
-    out = []
-    for doc, text in rows:
-        w, hit, found = words(text), set(), set()
-        for win, names in windows.items():
-            for k in range(len(w) - len(win) + 1):
-                if tuple(w[k : k + len(win)]) == win:
-                    hit.update(range(k, k + len(win)))
-                    found |= names
-        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    return sorted(out, key=repr)
-
-
 ITEMS = [(10, "One two three four five six seven eight nine ten eleven twelve"), (9, "ü é 7"), (2, "solo"), (3, ""), (4, None), (5, "two words"), (10, "One two three four five six seven eight nine ten"), (11, "a a a a a a a a a a a")]
 
 

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from quillspark.llm import repeats, simhash
 from quillspark.llm.components import components
+from tests.llm.brute import brute_components
 
 
 def test_fingerprint_by_hand():
@@ -22,22 +23,6 @@ def test_fingerprint_by_hand():
     assert simhash.fingerprint(simhash.shingle_hashes(None)) == 0
 
 
-def brute_components(nodes, linked):
-    root = {n: n for n in nodes}
-
-    def find(n):
-        while root[n] != n:
-            n = root[n]
-        return n
-
-    for a in nodes:
-        for b in nodes:
-            if a < b and linked(a, b):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {n: find(n) for n in nodes}
-
-
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=6), st.data())
 def test_stars_connect_what_links(centres, data):

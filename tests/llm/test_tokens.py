@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 from quillspark.llm import token_output as T
 from quillspark.llm.shared import shared_path
+from tests.llm.brute import expected_tokens as expected
 
 UNASSIGNED = ["a\u0558B", "x\u088fY\u0c5cz", "\u1c89 \u208f\u209d"]
 ODD = [*UNASSIGNED, "Σας ΟΔΟΣ. İstanbul don't I'LL <|endoftext|>x b, c.,d é. é, ́x '.s", "a\x1cb\x1fc\x85d e\x0bf", "", "  ", "A.,.B. c.'s ., .,'", "\x00\x01 z", "œuvre ’quoted’ — ½ ² Ⅷ café x y €5", "日本語。テスト", "a" * 300 + ".", "_x_ 12ab3"]
@@ -23,15 +24,6 @@ def test_encoder_equals_the_tokenizer(whole, sample):
     assert got == [whole(t) for t in texts]
 
 
-def expected(rows, whole):
-    out, start = [], 0
-    for doc_id, text in rows:
-        ids = [*whole(text), 2]
-        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    return out
-
-
 def test_digests(docs, sample, whole):
     rows = [(None, "null id first"), *[(r["doc_id"], r["text"]) for r in sample], (1000, None), (1001, ""), *[(1002 + k, t) for k, t in enumerate(ODD)]]
     got = T.token_digests(docs(rows[::-1], extra=True), shards=3).collect()
