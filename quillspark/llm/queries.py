@@ -37,7 +37,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.resolved(warc.page_records(table(spark, sf_dir, "pages")))
+    out = warc.resolved(warc.page_records(table(spark, sf_dir, "pages")), canonical=warc.crawl_url)
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return out.select("record_id", "canonical", F.unix_seconds("captured").alias("captured_s"), "base_id", "verdict", F.array_join(lines, "\n").alias("headers"))
 

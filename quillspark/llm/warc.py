@@ -13,6 +13,8 @@ revisit's (RFC 9111 section 3.2), but for those that describe the message that c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +28,57 @@ KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-ran
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid|sessionid"
 
 
-def canonical_url(url: Column) -> Column:
-    """Scheme, leading www. or m., default port, fragment, tracking parameters and a last slash go;
-    the host is lower-cased. A null URL stays null."""
+# Default ports, and the escapes of characters that need none (RFC 3986, section 2.3).
+PORTS = {"http": "80", "https": "443", "ftp": "21"}
+UNRESERVED = {f"{ord(c):02X}": c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"}
+
+
+def _plain_escapes(text: Column) -> Column:
+    """Escapes in capitals, those of unreserved characters undone; a stray percent sign stays."""
+    known = F.create_map(*[F.lit(x) for pair in UNRESERVED.items() for x in pair])
+
+    def one(part: Column, i: Column) -> Column:
+        code, rest = F.upper(F.substring(part, 1, 2)), F.substring(part, 3, 1 << 30)
+        escaped = F.when(code.rlike("^[0-9A-F]{2}$"), F.concat(F.coalesce(known[code], F.concat(F.lit("%"), code)), rest))
+        return F.when(i == 0, part).otherwise(F.coalesce(escaped, F.concat(F.lit("%"), part)))
+
+    return F.array_join(F.transform(F.split(text, "%"), one), "")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..`` (RFC 3986, section 5.2.4)."""
+    empty = F.array().cast("array<string>")
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)).otherwise(F.concat(done, F.array(s)))
+    joined = F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
+    return F.when(path.rlike("(^|/)[.]{1,2}$") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def standard_url(url: Column) -> Column:
+    """A URL normalised as RFC 3986 says (sections 6.2.2 and 6.2.3), without its fragment.
+
+    Scheme and host in small letters, escapes of unreserved characters undone and others in capitals,
+    dot segments resolved, the scheme's default port and an empty path made alike. Only what names
+    the same resource by the standard shares a key. Null stays null; text that is no URL is trimmed.
+    """
+    whole = F.regexp_replace(F.trim(url), "#.*$", "")
+    form = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)(.*)$"
+    part = lambda k: F.regexp_extract(whole, form, k)
+    scheme, place = F.lower(part(1)), _plain_escapes(part(2))
+    user, host = F.regexp_extract(place, "^(.*@)?(.*)$", 1), F.lower(F.regexp_extract(place, "^(.*@)?(.*)$", 2))
+    port = F.coalesce(F.create_map(*[F.lit(x) for pair in PORTS.items() for x in pair])[scheme], F.lit(""))
+    host = F.when((port != "") & host.endswith(F.concat(F.lit(":"), port)), F.substring(host, F.lit(1), F.length(host) - F.length(port) - 1)).otherwise(F.regexp_replace(host, ":$", ""))
+    path = _without_dots(_plain_escapes(part(3)))
+    path = F.when(path == "", "/").otherwise(path)
+    return F.when(whole.rlike(form), F.concat(scheme, F.lit("://"), user, host, path, _plain_escapes(part(4)))).otherwise(whole)
+
+
+def crawl_url(url: Column, hosts: str = "www|m", parameters: str = TRACKING) -> Column:
+    """A looser key, as crawls use it: pages that only differ in scheme, leading ``hosts``, default port,
+    fragment, tracking ``parameters`` or a last slash share it. A null URL stays null."""
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "#.*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(rest, "^[^/?]*", 0)), "^(www|m)[.]|:(80|443)$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(rest, "^[^/?]*", 0)), f"^({hosts})[.]|:(80|443)$", "")
     path = F.regexp_extract(rest, "^[^/?]*([^?]*)", 1)
-    asked = F.regexp_replace(F.regexp_extract(rest, "[?](.*)$", 1), f"(^|&)({TRACKING})=[^&]*", "")
+    asked = F.regexp_replace(F.regexp_extract(rest, "[?](.*)$", 1), f"(^|&)({parameters})=[^&]*", "")
     asked = F.regexp_replace(asked, "^&", "")
     return F.concat(host, F.regexp_replace(path, "/+$", ""), F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(F.lit("")))
 
@@ -60,10 +106,11 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.concat(stays, allowed)))
 
 
-def resolved(records: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
+def resolved(records: DataFrame, bucket_s: int = BUCKET_S, canonical: Callable[[Column], Column] = standard_url) -> DataFrame:
     """Every revisit (status 304) of ``records`` with the full response (status 200) it stands for.
 
-    ``records``: record_id, url, captured (timestamp), status (int), headers (map). Returns
+    ``records``: record_id, url, captured (timestamp), status (int), headers (map). URLs match by
+    ``canonical``: by the standard unless a looser rule, such as ``crawl_url``, is given. Returns
     record_id, canonical, captured, base_id, verdict and headers, a row per revisit row. Earlier
     means an earlier capture time; of responses at one time the largest record_id counts as the
     latest. Verdicts: ``resolved``; ``no_response`` (none earlier, or no URL or time);
@@ -73,7 +120,7 @@ def resolved(records: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
     no rows; other columns are ignored.
     """
     rows = records.where(F.col("status").isin(200, 304)).select(
-        "record_id", canonical_url(F.col("url")).alias("canonical"), F.col("captured"), (F.col("status") == 200).alias("full"), "headers"
+        "record_id", canonical(F.col("url")).alias("canonical"), F.col("captured"), (F.col("status") == 200).alias("full"), "headers"
     )
     rows = written(rows.withColumn("bucket", F.floor(F.unix_seconds("captured") / bucket_s)), "captures")
     known = F.col("canonical").isNotNull() & F.col("captured").isNotNull()
@@ -105,13 +152,13 @@ def resolved(records: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
     return out.select("record_id", "canonical", "captured", F.when(good, F.col("base_id")).alias("base_id"), "verdict", F.when(good, merged_headers(F.col("r_headers"), F.col("headers"))).alias("headers"))
 
 
-def resolved_bodies(records: DataFrame, body: str, bucket_s: int = BUCKET_S) -> DataFrame:
+def resolved_bodies(records: DataFrame, body: str, bucket_s: int = BUCKET_S, canonical: Callable[[Column], Column] = standard_url) -> DataFrame:
     """``resolved`` with the ``body`` column of the response, for the revisits that are resolved.
 
     Joins on the response's id, which record_id must name; a much revisited response is one side
     of a join that adaptive execution splits.
     """
-    done = written(resolved(records, bucket_s).where("verdict = 'resolved'"), "resolved")
+    done = written(resolved(records, bucket_s, canonical).where("verdict = 'resolved'"), "resolved")
     bodies = records.where("status = 200").select(F.col("record_id").alias("base_id"), F.col(f"`{body}`").alias("body"))
     return done.join(bodies, "base_id").select("record_id", "canonical", "captured", "base_id", "headers", "body")
 

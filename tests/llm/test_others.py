@@ -114,7 +114,7 @@ def test_revisits(spark):
         (10, "x.org/p/?a=1", None, 304, None, None),
         (11, "x.org/p/?a=1", 35, 404, None, "no"),
     ).withColumn("verdict", F.lit("clash"))
-    got = {x["record_id"]: x for x in warc.resolved(r).collect()}
+    got = {x["record_id"]: x for x in warc.resolved(r, canonical=warc.crawl_url).collect()}
     assert {k: (x["verdict"], x["base_id"]) for k, x in got.items()} == {
         2: ("resolved", 1),
         4: ("resolved", 3),
@@ -126,10 +126,28 @@ def test_revisits(spark):
         10: ("no_response", None),
     }
     assert got[2]["headers"] == {"etag": 'W/"a"', "content-type": "text/html", "cache-control": "no-store", "last-modified": "Mon"}
-    assert {x["record_id"]: x["body"] for x in warc.resolved_bodies(r, "body").collect()} == {2: "one", 4: "two", 8: "one"}
+    assert {x["record_id"]: x["body"] for x in warc.resolved_bodies(r, "body", canonical=warc.crawl_url).collect()} == {2: "one", 4: "two", 8: "one"}
     assert warc.resolved(r.limit(0)).count() == 0
 
 
+def test_urls_by_the_standard(spark):
+    cases = {
+        "eXAMPLE://a/./b/../b/%63/%7bfoo%7d": "example://a/b/c/%7Bfoo%7D",
+        "HTTP://User@WWW.Example.COM:80/%7euser/a%2fb?q=%41&x=%zz#top": "http://User@www.example.com/~user/a%2Fb?q=A&x=%zz",
+        "https://x.org": "https://x.org/",
+        "https://x.org:443?a": "https://x.org/?a",
+        "https://x.org:8443/a/b/..": "https://x.org:8443/a/",
+        "http://x.org:/../../a/.": "http://x.org/a/",
+        " no url#f ": "no url",
+        "http://m.x.org/p?ref=1&a=2": "http://m.x.org/p?ref=1&a=2",
+        "": "",
+        None: None,
+    }
+    rows = spark.createDataFrame([(u, w) for u, w in cases.items()], "u string, want string")
+    got = {r["u"]: r["x"] for r in rows.select("u", warc.standard_url(F.col("u")).alias("x")).collect()}
+    assert got == cases
+
+
 def test_as_of_against_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(int(k), f"u{rng.integers(3)}.org", int(rng.integers(40)), int(rng.choice([200, 304])), {"etag": str(rng.integers(2))}, None) for k in range(120)]
