@@ -16,7 +16,7 @@ from quillspark.functions.cities import with_fixed_city
 from quillspark.functions.holder import account_holder, crop_holder
 from quillspark.operators import bank, certificates, image_route, layout, quantiles, rib, score, synth
 from quillspark.operators.stage import staged
-from quillspark.sources import files, readers
+from quillspark.sources import files, readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -577,7 +577,7 @@ def anchor_regions(spark, sf_dir):
 
 
 @query(f"""
-    WITH {WORDS_SQL}, l AS (SELECT doc_id, line_no, min(y) AS top, string_agg(text, ' ' ORDER BY x, word_no) AS text FROM w WHERE (2 * x + w) // 2 >= 100 AND (2 * x + w) // 2 < 500 AND (2 * y + h) // 2 >= 0 AND (2 * y + h) // 2 < 100 GROUP BY 1, 2)
+    WITH {WORDS_SQL}, l AS (SELECT doc_id, line_no, min(y) AS top, string_agg(text, ' ' ORDER BY x, word_no, text) AS text FROM w WHERE (2 * x + w) // 2 >= 100 AND (2 * x + w) // 2 < 500 AND (2 * y + h) // 2 >= 0 AND (2 * y + h) // 2 < 100 GROUP BY 1, 2)
     SELECT doc_id, string_agg(text, chr(10) ORDER BY top, line_no) AS text FROM l GROUP BY 1
 """)
 def words_in_region(spark, sf_dir):
@@ -885,3 +885,63 @@ def line_words(spark, sf_dir):
     """The name of every part as a recognised line, cut into words with boxes in proportion."""
     lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("line_no"), F.col("p_name").alias("text"), F.lit(10).alias("x"), F.lit(5).alias("y"), (F.col("p_size") * 11).cast("int").alias("w"), F.lit(20).alias("h"))
     return readers.words_of_lines(lines).select(F.col("doc_id").alias("id"), "word_no", "text", "x", "w")
+
+
+# --- sinks and summaries -------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH {ACCOUNTS_SQL}
+    SELECT count(*) AS rows, count(*) FILTER (id % 7 <> 0) AS with_iban, count(*) FILTER (id % 3 = 0 OR (id % 7 <> 0 AND id % 5 = 1) OR id % 4 = 1) AS problems FROM i
+""")
+def lint_summary(spark, sf_dir):
+    """Counts of a lint over a typed table: some files absent, some IBANs cut or missing, some BICs cut."""
+    rows, k = _ibans(spark, sf_dir), F.col("id")
+    file = F.concat(k.cast("string"), F.lit(".pdf"))
+    truth = rows.select(file.alias("file"), F.when(k % 7 == 0, None).when(k % 5 == 1, F.substring("iban", 1, 25)).otherwise(F.col("iban")).alias("iban"), F.when(k % 4 == 1, "CRLY").alias("bic"), F.lit("M KAHLO\n44100 NANTES").alias("account_holder"))
+    return score.lint_summary(score.lint(truth, rows.where(k % 3 != 0).select(file.alias("file"))))
+
+
+@query(f"""
+    WITH {ACCOUNTS_SQL}
+    SELECT CAST(id AS VARCHAR) || '.pdf;' || {_grouped} || ';' || CASE WHEN id % 2 = 0 THEN 'CRLYFRPP' ELSE '' END || ';MME A, B|' || CAST(id % 50 AS VARCHAR) || ' RUE;;h;' || CASE WHEN id % 3 = 0 THEN 'known_failure' ELSE '' END AS value
+    FROM i
+""")
+def truth_lines(spark, sf_dir):
+    """Truth files' lines: semicolons and line breaks inside values are replaced, nulls are empty."""
+    k = F.col("id")
+    truth = _ibans(spark, sf_dir).select(
+        F.concat(k.cast("string"), F.lit(".pdf")).alias("file"), ident.grouped_iban(F.col("iban")).alias("iban"), F.when(k % 2 == 0, "CRLYFRPP").alias("bic"),
+        F.concat(F.lit("MME A; B\n"), (k % 50).cast("string"), F.lit(" RUE")).alias("account_holder"), F.lit(None).cast("string").alias("src"), F.lit("h").alias("recipe"), (k % 3 == 0).alias("known_failure"),
+    )
+    return sinks.truth_lines(truth)
+
+
+@query(f"""
+    WITH {WORDS_SQL}, l AS (SELECT doc_id, line_no, string_agg(text, ' ' ORDER BY word_no, text) AS text FROM w GROUP BY 1, 2)
+    SELECT doc_id, string_agg(text, chr(10) ORDER BY line_no) AS text FROM l WHERE strlen(text) > 1 GROUP BY 1
+""")
+def page_text(spark, sf_dir):
+    """The text of every order's page: words by number, lines by number."""
+    return layout.page_text(_words(spark, sf_dir))
+
+
+@query(f"""
+    WITH {ACCOUNTS_SQL}
+    SELECT '{{"file_path":"' || CAST(id AS VARCHAR) || '.pdf","duration_ms":' || CAST(id % 997 AS VARCHAR) || ',' || CASE
+             WHEN id % 7 = 0 THEN '"error":"File too big"}}'
+             WHEN id % 4 = 0 THEN '"analysis":{{"hint":"rib","rib":null,"unreadable":true}}}}'
+             WHEN id % 4 = 1 THEN '"analysis":{{"hint":"rib","rib":{{"account_holder":"M \\"K\\"\\nX","iban":"' || {_grouped} || '","bic":null,"bank_name":null}}}}}}'
+             WHEN id % 4 = 2 THEN '"analysis":{{"hint":"2ddoc","2ddoc":null}}}}'
+             ELSE '"analysis":{{"hint":"2ddoc_and_rib","rib":null,"2ddoc":null}}}}' END AS value
+    FROM i
+""")
+def result_lines(spark, sf_dir):
+    """JSON lines of analyses: errors, nulls kept, the unreadable flag only where true."""
+    k = F.col("id")
+    person = F.struct(F.lit('M "K"\nX').alias("account_holder"), ident.grouped_iban(F.col("iban")).alias("iban"), F.lit(None).cast("string").alias("bic"), F.lit(None).cast("string").alias("bank_name"))
+    rows = _ibans(spark, sf_dir).select(
+        F.concat(k.cast("string"), F.lit(".pdf")).alias("file"), (k % 997).alias("duration_ms"), F.when(k % 4 < 2, "rib").when(k % 4 == 2, "2ddoc").alias("hint"),
+        F.when(k % 4 == 1, person).alias("rib"), F.lit(None).cast("struct<authority:string>").alias("ddoc"), (k % 4 == 0).alias("unreadable"), F.when(k % 7 == 0, "File too big").alias("error"),
+    )
+    return sinks.result_lines(rows)
