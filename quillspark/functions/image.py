@@ -8,6 +8,7 @@ is installed, else the row gets an error. An image is one row, so its size bound
 from __future__ import annotations
 
 import math
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -312,6 +313,33 @@ def image_column(content: Column, change: Callable[[np.ndarray], np.ndarray], ap
     return run(content)
 
 
+def pixel_row(values: Column, change: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """A function over arrays of grey values, each taken as an image of one row; null stays null."""
+
+    @F.pandas_udf("array<int>")
+    def run(arrays: pd.Series) -> pd.Series:
+        one = lambda a: change(np.asarray(a, np.uint8)[None])[0].astype(np.int32) if len(a) else np.empty(0, np.int32)
+        return arrays.map(one, na_action="ignore").astype(object)
+
+    return run(values)
+
+
+#: The environment variable that names a folder for images between steps; without it none are written.
+DEBUG_FOLDER = "QUILLSPARK_DEBUG_IMAGES"
+
+
+def debug_image(image: np.ndarray, name: str, step: str) -> str | None:
+    """Writes an image between steps as <name>_<step>.png into the folder of ``DEBUG_FOLDER``; its path, or None if unset."""
+    folder = os.environ.get(DEBUG_FOLDER)
+    if not folder:
+        return None
+    path = os.path.join(folder, f"{os.path.basename(name)}_{step}.png")
+    os.makedirs(folder, exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(encode_png(image))
+    return path
+
+
 def skew_column(content: Column) -> Column:
     """``skew`` of the image without shadows, in radians; null for what can't be read."""
 

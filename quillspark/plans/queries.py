@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import ddoc, geometry, ident, text
+from quillspark.functions import ddoc, geometry, ident, image, text
 from quillspark.functions.cities import with_fixed_city
 from quillspark.functions.holder import account_holder, crop_holder
 from quillspark.operators import bank, certificates, image_route, layout, quantiles, rib, score, synth
@@ -945,3 +947,38 @@ def result_lines(spark, sf_dir):
         F.when(k % 4 == 1, person).alias("rib"), F.lit(None).cast("struct<authority:string>").alias("ddoc"), (k % 4 == 0).alias("unreadable"), F.when(k % 7 == 0, "File too big").alias("error"),
     )
     return sinks.result_lines(rows)
+
+
+# --- rasters ---------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT doc_id, array_to_string(CASE WHEN low = high THEN vs ELSE list_transform(vs, lambda v: CAST(floor((v - low) * 255.0 / (high - low) + 0.5) AS INTEGER)) END, ',') AS pixels
+    FROM (SELECT l_orderkey AS doc_id, list(CAST(l_quantity AS INTEGER) * 5 ORDER BY l_linenumber, l_partkey, l_quantity) AS vs, CAST(min(l_quantity) AS INTEGER) * 5 AS low, CAST(max(l_quantity) AS INTEGER) * 5 AS high FROM lineitem GROUP BY 1)
+""")
+def stretched_pixels(spark, sf_dir):
+    """The quantities of every order as grey values, stretched to the whole range."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: x["l_quantity"].cast("int") * 5)
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(values.alias("vs"))
+    return rows.select("doc_id", F.array_join(image.pixel_row(F.col("vs"), image.stretched).cast("array<string>"), ",").alias("pixels"))
+
+
+@query("""
+    SELECT id, array_to_string(CASE id % 8 + 1 WHEN 1 THEN [a, b, c, d] WHEN 2 THEN [b, a, d, c] WHEN 3 THEN [d, c, b, a] WHEN 4 THEN [c, d, a, b] WHEN 5 THEN [a, c, b, d] WHEN 6 THEN [c, a, d, b] WHEN 7 THEN [d, b, c, a] ELSE [b, d, a, c] END, ',') AS pixels
+    FROM (SELECT p_partkey AS id, CAST(p_partkey % 251 AS INTEGER) AS a, CAST(p_size AS INTEGER) AS b, CAST(p_partkey % 7 AS INTEGER) AS c, CAST(p_partkey % 97 + 100 AS INTEGER) AS d FROM part)
+""")
+def oriented_pixels(spark, sf_dir):
+    """A PNG of four pixels per part, written with one of eight EXIF orientations and decoded as it is meant to be seen."""
+
+    @F.pandas_udf("binary")
+    def drawn(values: pd.Series, orientations: pd.Series) -> pd.Series:
+        return pd.Series([image.encode_png(np.asarray(v, np.uint8).reshape(2, 2), int(o)) for v, o in zip(values, orientations, strict=True)], dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def seen(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: image.decode(bytes(c)).ravel().astype(np.int32)).astype(object)
+
+    k = F.col("p_partkey")
+    pixels = F.array((k % 251).cast("int"), F.col("p_size").cast("int"), (k % 7).cast("int"), (k % 97 + 100).cast("int"))
+    files_ = table(spark, sf_dir, "part").select(k.alias("id"), drawn(pixels, (k % 8 + 1).cast("int")).alias("content"))
+    return files_.select("id", F.array_join(seen(F.col("content")).cast("array<string>"), ",").alias("pixels"))

@@ -117,3 +117,12 @@ def test_degradations():
     seen = packages.degraded(text, plain | {"perspective": 0.1}, 2)
     assert seen.shape == text.shape and (seen != text).any()
     assert (packages.degraded(text, plain | {"noise": 5.0}, 3) == packages.degraded(text, plain | {"noise": 5.0}, 3)).all()
+
+
+def test_images_between_steps(tmp_path, monkeypatch):
+    grey = np.full((3, 4), 9, np.uint8)
+    monkeypatch.delenv(image.DEBUG_FOLDER, raising=False)
+    assert image.debug_image(grey, "a", "cleaned") is None
+    monkeypatch.setenv(image.DEBUG_FOLDER, str(tmp_path / "steps"))
+    path = image.debug_image(grey, "dir/a.png", "cleaned")
+    assert path.endswith("a.png_cleaned.png") and (image.decode(open(path, "rb").read()) == grey).all()
