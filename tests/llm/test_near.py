@@ -110,6 +110,24 @@ def test_one_of_each_group_stays(docs):
     assert simhash.one_of_each(docs([])).count() == 0
 
 
+def test_very_long_texts(docs):
+    rng = random.Random(12)
+    words = ["w%d" % rng.randrange(5000) for _ in range(200_000)]
+    other = list(words)
+    other[1000:1003] = ["x", "y", "z"]
+    rows = [(1, " ".join(words)), (2, "\t".join(other)), (3, " ".join(words[:100_000])), (4, "x" * 1_500_000)]
+    ones = np.zeros(64, np.int64)
+    for k in range(len(words) - 3):
+        h = xxhash.xxh64_intdigest(" ".join(words[k : k + 4]).encode(), 42)
+        ones += np.array([h >> b & 1 for b in range(64)]) if k % 50 == 0 else 0  # every fiftieth by hand
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs(rows)).collect()}
+    hashes = simhash.shingle_hashes(rows[0][1])
+    assert len(hashes) == len(words) - 3
+    assert (np.unpackbits(hashes[::50].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) == ones).all()
+    assert got[1]["fingerprint"] == f"{simhash.fingerprint(hashes):016x}" and got[2]["component_id"] == 1 and got[4]["component_id"] == 4
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows)).collect()) == [1, 3, 4]
+
+
 @pytest.mark.parametrize("most", [512, 3])
 def test_one_of_each_is_decided_by_jaccard(docs, most):
     rng = random.Random(11)
