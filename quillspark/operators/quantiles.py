@@ -50,25 +50,27 @@ def _same(keys: list[str], a: str, b: str) -> Column:
     return out
 
 
-def rank_quantiles(rows: DataFrame, keys: list[str], value: str, indices: dict[str, Index]) -> DataFrame:
-    """keys, n and for each name the value at its index (from 0) of the group's sorted values.
+def rank_quantiles(rows: DataFrame, keys: list[str], value: str, indices: dict[str, Index], mean: str | None = None) -> DataFrame:
+    """keys, n and for each name the value at its index (from 0) of the group's sorted values; the mean too, if named.
 
     ``value`` is numeric. Null values don't count, null keys are groups; a group without values
-    doesn't appear.
+    doesn't appear. Means are sums of decimals, exact whatever the order in which rows are added up.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")).withColumn("__cell", value_cell(F.col(value)))
-    cells = counted.groupBy(*keys, "__cell").agg(F.sum("__c").alias("__cc"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"), F.sum(F.col(value).cast("decimal(28,10)")).alias("__s")).withColumn("__cell", value_cell(F.col(value)))
+    cells = counted.groupBy(*keys, "__cell").agg(F.sum("__c").alias("__cc"), F.sum("__s").alias("__ss"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     cells = cells.withColumn("__n", F.sum("__cc").over(group)).withColumn("__before", F.sum("__cc").over(group.orderBy("__cell")) - F.col("__cc"))
+    cells = cells.withColumn("__mean", (F.sum("__ss").over(group) / F.col("__n")).cast("double"))
     asked = F.array(*[F.struct(F.lit(name).alias("name"), (index(F.col("__n")) - F.col("__before")).cast("long").alias("at")) for name, index in indices.items()])
-    asked = cells.select(*keys, "__cell", "__n", F.explode(F.filter(asked, lambda x: (x["at"] >= 0) & (x["at"] < F.col("__cc")))).alias("__x"))
-    here = asked.groupBy(*keys, "__cell").agg(F.max("__n").alias("__n"), F.collect_list("__x").alias("__xs"))
-    inside = counted.alias("v").join(here.alias("t"), _same([*keys, "__cell"], "v", "t")).select(*[F.col(f"v.{k}").alias(k) for k in keys], F.col(f"v.{value}").alias("__v"), "v.__c", "v.__cell", "t.__n", "t.__xs")
+    asked = cells.select(*keys, "__cell", "__n", "__mean", F.explode(F.filter(asked, lambda x: (x["at"] >= 0) & (x["at"] < F.col("__cc")))).alias("__x"))
+    here = asked.groupBy(*keys, "__cell").agg(F.max("__n").alias("__n"), F.max("__mean").alias("__mean"), F.collect_list("__x").alias("__xs"))
+    inside = counted.alias("v").join(here.alias("t"), _same([*keys, "__cell"], "v", "t")).select(*[F.col(f"v.{k}").alias(k) for k in keys], F.col(f"v.{value}").alias("__v"), "v.__c", "v.__cell", "t.__n", "t.__mean", "t.__xs")
     upto = F.sum("__c").over(Window.partitionBy(*keys, "__cell").orderBy("__v"))
     ranked = inside.withColumn("__upto", upto)
-    found = ranked.select(*keys, "__n", "__v", F.explode(F.filter("__xs", lambda x: (x["at"] >= F.col("__upto") - F.col("__c")) & (x["at"] < F.col("__upto")))).alias("__x"))
+    found = ranked.select(*keys, "__n", "__mean", "__v", F.explode(F.filter("__xs", lambda x: (x["at"] >= F.col("__upto") - F.col("__c")) & (x["at"] < F.col("__upto")))).alias("__x"))
     at = [F.max(F.when(F.col("__x.name") == name, F.col("__v"))).alias(name) for name in indices]
-    return found.groupBy(*keys).agg(F.max("__n").alias("n"), *at).where("n is not null")
+    extra = [] if mean is None else [F.max("__mean").alias(mean)]
+    return found.groupBy(*keys).agg(F.max("__n").alias("n"), *extra, *at).where("n is not null")
 
 
 def distributions(rows: DataFrame, keys: list[str], metrics: dict[str, Column]) -> DataFrame:
@@ -76,11 +78,7 @@ def distributions(rows: DataFrame, keys: list[str], metrics: dict[str, Column])
     entries = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value")) for name, value in metrics.items()]))
     long = rows.select(*keys, entries.alias("x")).select(*keys, "x.metric", "x.value")
     by = [*keys, "metric"]
-    # counted once, used for means and quantiles; sums are exact whatever the order in which rows are added up
-    means = long.groupBy(*by).agg((F.sum(F.col("value").cast("decimal(28,10)")) / F.count("value")).cast("double").alias("mean"))
-    quantiles = rank_quantiles(long, by, "value", {"p25": nearest_rank(0.25), "median": nearest_rank(0.5), "p75": nearest_rank(0.75)})
-    joined = quantiles.alias("q").join(means.alias("m"), _same(by, "q", "m"))
-    return joined.select(*[F.col(f"q.{k}").alias(k) for k in by], "n", "mean", "p25", "median", "p75")
+    return rank_quantiles(long, by, "value", {"p25": nearest_rank(0.25), "median": nearest_rank(0.5), "p75": nearest_rank(0.75)}, "mean").select(*by, "n", "mean", "p25", "median", "p75")
 
 
 def ratio(part: Column, whole: Column) -> Column:
