@@ -16,14 +16,17 @@ the latest when all bits are keys.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate, combinations
-from math import comb
+from math import acos, ceil, comb, log, log1p, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.llm.components import components
 from quillspark.llm.shared import drop_written, row_hash, written
@@ -237,51 +240,78 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 #: The stage on whole documents: a Jaccard similarity of five-word shingles of at least 0.8, decided
-#: exactly. Candidates agree on a band of ROWS of BANDS * ROWS MinHash values: a pair at 0.8 agrees
-#: on none with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7.
+#: exactly. Its SimHash fingerprint has 64 * WORDS bits; a Hamming check reads 64 * CHECKED of them.
 STAGE_SHINGLE, STAGE_LEAST = 5, 0.8
-BANDS, ROWS = 40, 5
-#: Shingles taken through the MinHash functions at a time, and texts of a group that are compared in one task.
-COLUMNS, GROUP = 1024, 512
+WORDS, CHECKED = 16, 4
+#: The probability that a pair at the least similarity agrees on no block, the deviations from the
+#: expected distance that a candidate may have, and the blocks (at least) and rows whose keys are on
+#: disk at a time.
+MISS, DEVIATIONS, ROUND, ROUND_ROWS = 1e-7, 6, 16, 8_000_000
+#: Sets of up to SHORT shingles and larger ones are compared apart; TIES is the share of bits in which
+#: ties make such sets differ at most beyond their angle, counted exactly for all sizes at 0.8.
+SHORT, TIES = 64, (0.04, 0.0065)
+#: Bits of a block at least (small tables get keys enough to be spread) and at most.
+LEAST_BITS, MOST_BITS = 6, 32
+#: Texts of a group that are compared in one task.
+GROUP = 512
+#: What is added to a hash for each of its WORDS further words.
+STEPS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+
+
+def long_fingerprint(hashes: np.ndarray) -> bytes:
+    """64 * WORDS bits, each set if it is set for over half of the sorted ``hashes``; of a tie the first hash's bit."""
+    ones, first = np.zeros(64 * WORDS, np.int64), np.zeros(64 * WORDS, np.uint8)
+    for at in range(0, len(hashes), 255):
+        with np.errstate(over="ignore"):
+            words = second_hashes(hashes[at : at + 255, None] + STEPS)
+        bits = np.unpackbits(words.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)
+        if not at:
+            first = bits[0]
+    return np.packbits(2 * ones + first > len(hashes), bitorder="little").tobytes()
+
+
+def differing(least: float, short: bool) -> float:
+    """The share of bits in which fingerprints of two sets of Jaccard similarity ``least`` differ at most: their angle over pi, and ties.
+
+    Sets of one size have the widest angle.
+    """
+    return acos(min(2 * least / (1 + least), 1)) / pi + TIES[0 if short else 1]
 
 
-def _constants(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    a, b = rng.integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
-    return a | np.uint32(1), b
+def blocks_needed(share: float, bits: int) -> int:
+    """Blocks of ``bits`` bits until a pair that differs in such a share agrees on one but for a probability of MISS."""
+    return ceil(log(MISS) / log1p(-((1 - share) ** bits)))
 
 
-def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A key for every band of the MinHash values of a set of shingle hashes; none if it is empty."""
-    if not len(hashes):
-        return np.empty(0, np.uint64)
-    low, least = hashes.astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(low), COLUMNS):
-            least = np.minimum(least, (low[at : at + COLUMNS] * a + b).min(axis=1))
-        keys = np.arange(BANDS, dtype=np.uint64)
-        for row in least.reshape(BANDS, ROWS).T:
-            keys = second_hashes(keys ^ row)
-    return keys
+def block_plan(share: float, count: int, seed: int) -> np.ndarray:
+    """The bits of every block, a row each, that cost least for so many fingerprints.
+
+    Blocks have no bit in common as long as there are bits; then all bits are dealt again.
+    """
+    cost = lambda bits: blocks_needed(share, bits) * (ROW_COST + count / 2**bits)
+    bits = min(range(LEAST_BITS, MOST_BITS + 1), key=cost)
+    blocks, rng = blocks_needed(share, bits), np.random.default_rng(seed)
+    dealt = [rng.permutation(64 * WORDS) for _ in range(ceil(bits * blocks / (64 * WORDS)))]
+    return np.concatenate(dealt)[: bits * blocks].reshape(blocks, bits)
 
 
 def shingle_sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """doc_id, text, id (128 bits over the set of shingles), n (its size) and its band keys, of every row of ``docs``; no shuffle."""
+    """doc_id, text, id (128 bits over the set of shingles), n (its size) and its long fingerprint, of every row of ``docs``; no shuffle."""
     fields = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _constants(seed)
         for batch in batches:
-            ids, sizes, keys = [], [], []
+            ids, sizes, prints = [], [], []
             for text in batch.column(1):
                 hashes = np.unique(shingle_hashes(text.as_py(), shingle, seed))
                 ids.append(xxhash.xxh3_128_digest(hashes.tobytes(), seed))
                 sizes.append(len(hashes))
-                keys.append(band_keys(hashes, a, b).view(np.int64))
-            cols = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text", "id", "n", "keys"])
+                prints.append(long_fingerprint(hashes))
+            cols = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text", "id", "n", "print"])
 
-    return fields.mapInArrow(run, f"doc_id {fields.schema['doc_id'].dataType.simpleString()}, text string, id binary, n bigint, keys array<bigint>")
+    return fields.mapInArrow(run, f"doc_id {fields.schema['doc_id'].dataType.simpleString()}, text string, id binary, n bigint, print binary")
 
 
 def linked_sets(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -312,97 +342,275 @@ def linked_sets(sets: list[np.ndarray], least: float) -> np.ndarray:
     return root
 
 
-def _set_links(shingle: int, least: float, seed: int):
+@dataclass(frozen=True)
+class ByShingles:
+    """Texts, compared by the Jaccard similarity of their sets of shingles."""
+
+    shingle: int
+    least: float
+    seed: int
+
+    def load(self, text: str) -> np.ndarray:
+        return np.unique(shingle_hashes(text, self.shingle, self.seed))
+
+    def roots(self, sets: list[np.ndarray]) -> np.ndarray:
+        return linked_sets(sets, self.least)
+
+    def finder(self, sets: list[np.ndarray]):
+        """A function from a set to the numbers of those ``sets`` that are similar to it."""
+        sizes = np.array([len(s) for s in sets])
+        words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+
+        def near(own: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(words, own)
+            mark = np.zeros(len(words), bool)
+            mark[at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)]] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            return np.flatnonzero(both / (sizes + len(own) - both) >= self.least)
+
+        return near
+
+
+@dataclass(frozen=True)
+class ByBits:
+    """Fingerprints, compared by their Hamming distance, which is at most ``far``."""
+
+    far: int
+
+    @classmethod
+    def at(cls, share: float) -> ByBits:
+        """The distance of a pair that differs in such a share of bits, and DEVIATIONS standard deviations."""
+        n = 64 * CHECKED
+        return cls(int(share * n + DEVIATIONS * sqrt(share * (1 - share) * n)))
+
+    def load(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(data, "<u8")
+
+    def pairs(self, some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers (i, j) of close rows of ``some`` and ``others``."""
+        apart = np.zeros((len(some), len(others)), np.uint16)
+        for word in range(CHECKED):
+            apart += np.bitwise_count(some[:, word, None] ^ np.ascontiguousarray(others[:, word]))
+        return np.nonzero(apart <= self.far)
+
+    def roots(self, prints: list[np.ndarray]) -> np.ndarray:
+        """For every fingerprint the first one that it is connected with. Breadth first, as ``star_links``, among those that link at all."""
+        fps = np.array(prints)
+        linked = np.zeros(len(fps), bool)
+        for at in range(0, len(fps), 128):
+            i, j = self.pairs(fps[at : at + 128], fps[at:])
+            linked[at + i[i != j]] = linked[at + j[i != j]] = True
+        root, rest = np.arange(len(fps)), np.flatnonzero(linked)
+        while len(rest) > 1:
+            centre, front, rest = rest[0], [rest[0]], rest[1:]
+            while front and len(rest):
+                reached = self.pairs(fps[front.pop()][None], fps[rest])[1]
+                if len(reached):
+                    front += rest[reached].tolist()
+                    root[rest[reached]] = centre
+                    rest = np.delete(rest, reached)
+        return root
+
+    def finder(self, prints: list[np.ndarray]):
+        fps = np.array(prints)
+        return lambda own: self.pairs(own[None], fps)[1]
+
+
+Compared = ByShingles | ByBits
+
+
+def _block_links(by: Compared, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (root, block, id, text) sorted so to links (u, v) within each block, v being the first of its component there."""
-        ids, sets, now = [], [], None
+        """Rows (key, block, id, item) sorted so to links (key, u, v) within each block, v being the first of its component there."""
+        ids, items, now = [], [], None
 
         def out() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
-                root = linked_sets(sets, least)
+                root = by.roots(items)
                 linked = np.flatnonzero(root != np.arange(len(root)))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in some], pa.binary()) for some in (linked, root[linked])], ["u", "v"])
+                ends = [pa.array([ids[k] for k in some], pa.binary()) for some in (linked, root[linked])]
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(linked), kind), *ends], ["key", "u", "v"])
 
         for batch in batches:
-            for root, block, one, text in zip(*(batch.column(k) for k in range(4)), strict=True):
-                if (root.as_py(), block.as_py()) != now:
+            for key, block, one, item in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if (key.as_py(), block.as_py()) != now:
                     yield from out()
-                    ids, sets, now = [], [], (root.as_py(), block.as_py())
+                    ids, items, now = [], [], (key.as_py(), block.as_py())
                 ids.append(one.as_py())
-                sets.append(np.unique(shingle_hashes(text.as_py(), shingle, seed)))
+                items.append(by.load(item.as_py()))
         yield from out()
 
     return run
 
 
-def _guest_links(shingle: int, least: float, seed: int):
+def _guest_links(by: Compared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (root, block, kind, id, label, text) sorted so: a block's own members, then guests one by one.
+        """Rows (key, block, kind, id, label, item) sorted so: a block's own members, then guests one by one.
 
         A guest is linked to one member of each of the block's components that holds a similar one.
         """
-        now, labels, sets, words, flat, sizes = None, [], [], None, None, None
+        now, labels, items, near = None, [], [], None
         for batch in batches:
             pairs = []
-            for root, block, kind, one, label, text in zip(*(batch.column(k) for k in range(6)), strict=True):
-                if (root.as_py(), block.as_py()) != now:
-                    now, labels, sets, words = (root.as_py(), block.as_py()), [], [], None
-                own = np.unique(shingle_hashes(text.as_py(), shingle, seed))
+            for key, block, kind, one, label, item in zip(*(batch.column(k) for k in range(6)), strict=True):
+                if (key.as_py(), block.as_py()) != now:
+                    now, labels, items, near = (key.as_py(), block.as_py()), [], [], None
+                own = by.load(item.as_py())
                 if kind.as_py() == 0:
                     labels.append(label.as_py())
-                    sets.append(own)
+                    items.append(own)
                     continue
-                if not sets:
+                if not items:
                     continue
-                if words is None:
-                    sizes = np.array([len(s) for s in sets])
-                    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
-                at = np.searchsorted(words, own)
-                mark = np.zeros(len(words), bool)
-                mark[at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)]] = True
-                both = np.add.reduceat(mark[flat], np.cumsum(sizes) - sizes, dtype=np.int64)
-                near = np.flatnonzero(both / (sizes + len(own) - both) >= least)
-                pairs += [(one.as_py(), v) for v in {labels[k] for k in near}]
+                near = near or by.finder(items)
+                pairs += [(one.as_py(), v) for v in {labels[k] for k in near(own)}]
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
 
     return run
 
 
-def similar_components(sets: DataFrame, shingle: int, least: float, seed: int, most: int = GROUP) -> DataFrame:
-    """(id, root) of the different ids of ``sets`` that link to another and aren't the smallest of their component.
+def group_links(groups: DataFrame, items: DataFrame | None, by: Compared, most: int, tables: list[DataFrame]) -> DataFrame:
+    """Links (u, v) that connect what links within each group of ``groups`` (key, id), all different rows.
 
-    Texts that share a band, directly or over others, form a group; each text goes to its group
-    once, and all texts of a group are compared there until they are connected. A group of more
-    than ``most`` texts is dealt to blocks, each with the group's smallest id as a common centre.
+    ``items`` (id, item) holds what is compared; without it that is the id. A group of more than
+    ``most`` members is dealt to blocks, each with the group's smallest id as a common centre.
     What isn't linked to the centre within its block then visits the other blocks, so no link is
-    lost, no task holds more than a block, and near copies of one text stay where they are.
+    lost, no task holds more than a block, and near copies of one member stay where they are.
+    Adds the tables that it writes to ``tables``.
     """
-    one = sets.dropDuplicates(["id"])
-    keyed = one.select(F.explode("keys").alias("key"), "id")
-    buckets = written(keyed.groupBy("key").agg(F.collect_list("id").alias("members")).where(F.size("members") > 1), "buckets")
-    groups = components(buckets.select(F.array_min("members").alias("u"), F.explode("members").alias("v")))
-    groups = written(groups.select(F.col("node").alias("id"), "root").unionByName(groups.select(F.col("root").alias("id"), "root").distinct()), "groups")
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks")), "group-blocks")
-    placed = written(groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "group-places")
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = groups.schema["key"].dataType
+    whole = lambda rows: rows.withColumn("item", F.col("id")) if items is None else rows.join(items, "id")
     every = lambda: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    centres = blocks.where("blocks > 1").select("root", every(), F.col("root").alias("id"))
-    dealt = placed.select("root", "block", "id").unionByName(centres).distinct().join(one.select("id", "text"), "id")
-    dealt = dealt.select("root", "block", "id", "text").repartition(n, "root", "block").sortWithinPartitions("root", "block", "id")
-    links = written(dealt.mapInArrow(_set_links(shingle, least, seed), "u binary, v binary"), "group-links")
-    tables = [buckets, groups, blocks, placed, links]
-    hot = placed.where("blocks > 1")
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).where("n > 1")
+    blocks = written(sizes.select("key", "centre", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "group-blocks")
+    placed = written(groups.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "group-places")
+    centres = blocks.where("blocks > 1").select("key", every(), F.col("centre").alias("id"))
+    dealt = whole(placed.select("key", "block", "id").unionByName(centres).distinct()).select("key", "block", "id", "item")
+    dealt = dealt.repartition(n, "key", "block").sortWithinPartitions("key", "block", "id")
+    links = written(dealt.mapInArrow(_block_links(by, to_arrow_type(kind)), f"key {kind.simpleString()}, u binary, v binary"), "group-links")
+    tables += [blocks, placed, links]
+    found, hot = links.select("u", "v"), placed.where("blocks > 1")
+    if not hot.isEmpty():
+        labels = links.select("key", F.col("u").alias("id"), F.col("v").alias("label"))
+        labelled = hot.join(labels, ["key", "id"], "left").withColumn("label", F.coalesce("label", "id"))
+        guests = labelled.where("label <> centre").select("key", every(), F.lit(1).alias("kind"), "id", F.col("id").alias("label"), F.col("block").alias("home")).where("block <> home").drop("home")
+        hosts = labelled.select("key", "block", F.lit(0).alias("kind"), "id", "label")
+        visits = whole(hosts.unionByName(guests)).select("key", "block", "kind", "id", "label", "item")
+        visits = visits.repartition(n, "key", "block").sortWithinPartitions("key", "block", "kind")
+        tables.append(written(visits.mapInArrow(_guest_links(by), "u binary, v binary"), "guest-links"))
+        found = found.unionByName(tables[-1])
+    return found
+
+
+def _matrix(col: pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), "<u8").reshape(-1, words)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(rows)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * data.shape[1]), len(data), [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _block_keys(plan: np.ndarray, first: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (print) to rows (key, fp) for the blocks of ``plan``, which begin at number ``first``: number and bits of the block, and what the Hamming check reads."""
+        places = np.int64(1) << np.arange(plan.shape[1], dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                prints = _matrix(batch.column(0), WORDS)
+                bits, fps = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little"), _binary(prints[:, :CHECKED])
+                for k, block in enumerate(plan):
+                    keys = bits[:, block].astype(np.int64) @ places + (first + k << MOST_BITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), fps], ["key", "fp"])
+
+    return run
+
+
+def _hamming_links(by: ByBits, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, fp) sorted by key to links (null, u, v) within each key's bucket, or, of buckets over ``most``, to their rows (key, fp, fp)."""
+        held: list[np.ndarray] = []
+        now, size = None, 0
+
+        def out(u: np.ndarray, v: np.ndarray, key: int | None) -> Iterator[pa.RecordBatch]:
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(u), pa.int64()), _binary(u), _binary(v)], ["key", "u", "v"])
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if 1 < size <= most:
+                fps = np.concatenate(held)
+                root = by.roots(fps)
+                linked = np.flatnonzero(root != np.arange(size))
+                yield from out(fps[linked], fps[root[linked]], None)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, fps = batch.column(0).to_numpy(), _matrix(batch.column(1), CHECKED)
+            bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if int(keys[lo]) != now:
+                    yield from finished()
+                    held, now, size = [], int(keys[lo]), 0
+                held.append(fps[lo:hi])
+                size += hi - lo
+                if size > most:
+                    for rows in held:
+                        yield from out(rows, rows, now)
+                    held = []
+        yield from finished()
+
+    return run
+
+
+def fingerprint_links(prints: DataFrame, share: float, seed: int, most: int, tables: list[DataFrame]) -> DataFrame:
+    """Links (u, v) between the checked words of the different long fingerprints of ``prints`` (print).
+
+    Fingerprints that agree on a block of bits meet in a bucket, and those there within the
+    distance of pairs that differ in such a ``share`` of bits are linked, by a star per connected
+    group. ``most`` sets the members above which a bucket is dealt to several tasks, as a group is;
+    the components of the links don't depend on it. Adds the tables that it writes to ``tables``.
+    """
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = written(prints.distinct(), "prints")
+    tables.append(prints)
+    count, by, found = prints.count(), ByBits.at(share), []
+    plan, step = block_plan(share, count, seed), max(ROUND, ROUND_ROWS // max(count, 1))
+    for first in range(0, len(plan), step):
+        keyed = prints.mapInArrow(_block_keys(plan[first : first + step], first), "key bigint, fp binary")
+        dealt = keyed.repartition(n, "key").sortWithinPartitions("key")
+        found.append(written(dealt.mapInArrow(_hamming_links(by, most), "key bigint, u binary, v binary"), "print-links"))
+    tables += found
+    every = reduce(DataFrame.unionByName, found)
+    links, hot = every.where("key is null").select("u", "v"), every.where("key is not null")
     if not hot.isEmpty():
-        labelled = hot.join(links.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        guests = labelled.where("label <> root").select("root", "blocks", "id", F.col("block").alias("home")).select("root", every(), F.lit(1).alias("kind"), "id", F.col("id").alias("label"), "home").where("block <> home").drop("home")
-        hosts = labelled.select("root", "block", F.lit(0).alias("kind"), "id", "label")
-        visits = hosts.unionByName(guests).join(one.select("id", "text"), "id").select("root", "block", "kind", "id", "label", "text")
-        visits = visits.repartition(n, "root", "block").sortWithinPartitions("root", "block", "kind")
-        tables.append(written(visits.mapInArrow(_guest_links(shingle, least, seed), "u binary, v binary"), "guest-links"))
-        links = links.unionByName(tables[-1])
+        links = links.unionByName(group_links(hot.select("key", F.col("u").alias("id")).distinct(), None, by, most, tables))
+    return links
+
+
+def similar_components(sets: DataFrame, shingle: int, least: float, seed: int, most: int = GROUP, bucket: int = BUCKET) -> DataFrame:
+    """(id, root) of the different ids of ``sets`` that link to another and aren't the smallest of their component.
+
+    Texts whose fingerprints are linked, directly or over others, form a group; each text goes to
+    its group once, and all texts of a group are compared there by their shingles until they are
+    connected. ``most`` and ``bucket`` set the texts of a group and the fingerprints of a bucket
+    that one task compares; the result doesn't depend on them.
+    """
+    tables: list[DataFrame] = []
+    some = sets.where("n > 0")
+    # sizes of a similar pair differ by a factor of ``least`` at most: a pair is in one of the parts
+    short, long = some.where(F.col("n") <= SHORT / least).select("print"), some.where(F.col("n") > SHORT).select("print")
+    links = [fingerprint_links(part, differing(least, part is short), seed, bucket, tables) for part in (short, long)]
+    near = components(links[0].unionByName(links[1])).select(F.col("node").alias("fp"), "root")
+    prints = some.select("id", F.substring("print", 1, 8 * CHECKED).alias("fp")).distinct()
+    groups = written(prints.join(near, "fp", "left").select(F.coalesce("root", "fp").alias("key"), "id"), "groups")
+    texts = sets.dropDuplicates(["id"]).select("id", F.col("text").alias("item"))
+    links = group_links(groups, texts, ByShingles(shingle, least, seed), most, tables)
     roots = components(links).select(F.col("node").alias("id"), "root")
-    for table in tables:
+    for table in [groups, *tables]:
         drop_written(table)
     return roots
 

@@ -165,6 +165,89 @@ def test_a_large_group_of_near_copies(docs):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows), most=7).collect()) == sorted(set(group.values()))
 
 
+def some_hashes(rng, n):
+    return rng.integers(0, 2**64, n, dtype=np.uint64)
+
+
+def test_long_fingerprint_by_hand():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 4, 9, 255, 256, 600):
+        hashes = np.unique(some_hashes(rng, n))
+        with np.errstate(over="ignore"):
+            words = [[int(x) for x in simhash.second_hashes(hashes + step)] for step in simhash.STEPS]
+        ones = lambda w, b: sum(x >> b & 1 for x in w)
+        want = sum(1 << 64 * k + b for k, w in enumerate(words) for b in range(64) if 2 * ones(w, b) > n or (2 * ones(w, b) == n and w[0] >> b & 1))
+        assert int.from_bytes(simhash.long_fingerprint(hashes), "little") == want
+    assert simhash.long_fingerprint(np.empty(0, np.uint64)) == bytes(8 * simhash.WORDS)
+
+
+@pytest.mark.parametrize("short", [True, False])
+@pytest.mark.parametrize("count", [10, 200_000, 10_000_000])
+def test_blocks_and_distance_find_pairs_at_the_least_similarity(count, short):
+    rng = np.random.default_rng(count)
+    share = simhash.differing(0.8, short)
+    plan, by = simhash.block_plan(share, count, 42), simhash.ByBits.at(share)
+    deal = plan.ravel()[: 64 * simhash.WORDS]
+    assert len(set(deal.tolist())) == len(deal)
+    assert (1 - (1 - share) ** plan.shape[1]) ** len(plan) <= simhash.MISS
+    apart = []
+    for k in range(1500):
+        # 8 shared of 8 and 10, and 8 of 9 and 9, with larger sets in proportion: a similarity of 0.8
+        n = 1 + k % 7 if short else 8 + k % 30
+        shared, a, b = some_hashes(rng, 8 * n), some_hashes(rng, n * (k % 2)), some_hashes(rng, n * (2 - k % 2))
+        one, other = (np.frombuffer(simhash.long_fingerprint(np.sort(np.concatenate([shared, x]))), "<u8") for x in (a, b))
+        bits = np.unpackbits((one ^ other).view(np.uint8), bitorder="little")
+        assert not bits[plan].any(axis=1).all() and len(by.pairs(one[None], other[None])[0]) == 1
+        apart.append(bits.mean())
+    assert 0.13 < np.mean(apart) < share
+
+
+@pytest.mark.parametrize("most", [10**6, 9])
+def test_stage_candidates_are_linked_by_fingerprints(spark, most):
+    rng = np.random.default_rng(9)
+    prints = []
+    for _ in range(12):
+        base = some_hashes(rng, simhash.WORDS)
+        for k in range(9):
+            flips = np.packbits(rng.random(64 * simhash.WORDS) < 0.05 * k, bitorder="little").view("<u8")
+            prints.append(base ^ flips)
+    prints += prints[:3]
+    rows = spark.createDataFrame([(bytearray(p.tobytes()),) for p in prints], "print binary")
+    tables = []
+    share = simhash.differing(0.8, short=False)
+    links = simhash.fingerprint_links(rows, share, 42, most, tables)
+    got = {bytes(r["node"]): bytes(r["root"]) for r in components(links).collect()}
+    plan, far = simhash.block_plan(share, len(prints) - 3, 42), simhash.ByBits.at(share).far
+    bits = [np.unpackbits(p.view(np.uint8), bitorder="little") for p in prints]
+    width = 64 * simhash.CHECKED
+    near = lambda a, b: (bits[a][:width] != bits[b][:width]).sum() <= far and (bits[a][plan] == bits[b][plan]).all(axis=1).any()
+    group = brute_components(list(range(len(prints))), near)
+    heads = [p[: simhash.CHECKED].tobytes() for p in prints]
+    least = {}
+    for k, g in group.items():
+        least[g] = min(least.get(g, heads[k]), heads[k])
+    want = {heads[k]: least[g] for k, g in group.items() if heads[k] != least[g]}
+    assert got == want and 12 <= len(set(group.values())) < 100
+
+
+def test_hot_fingerprint_buckets_lose_no_text(docs):
+    rng = random.Random(21)
+    base = ["b%d" % k for k in range(150)]
+    texts = [[w if rng.random() > 0.01 * (k % 3) else "e%d" % rng.randrange(999) for w in base] for k in range(50)]
+    texts += [["c%d_%d" % (k, j) for j in range(40)] for k in range(20)] + [[]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    tuples = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = brute_components(list(range(len(rows))), lambda a, b: bool(tuples[a]) and len(tuples[a] & tuples[b]) >= 0.8 * len(tuples[a] | tuples[b]))
+    sets = simhash.shingle_sets(docs(rows), 5, 42).cache()
+    ids = {r["doc_id"]: bytes(r["id"]) for r in sets.collect()}
+    for bucket in (10**6, 4):
+        root = {bytes(r["id"]): bytes(r["root"]) for r in simhash.similar_components(sets, 5, 0.8, 42, most=6, bucket=bucket).collect()}
+        got = [root.get(ids[k], ids[k]) for k in range(len(rows))]
+        same = lambda names: {frozenset(k for k, m in enumerate(names) if m == n) for n in names}
+        assert same(got) == same([want[k] for k in range(len(rows))])
+    sets.unpersist()
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=30))
 def test_components_against_brute_force(spark, links):
