@@ -1,6 +1,7 @@
 """Documents to bank identities: the text route, the barcode route and their dispatch.
 
-Stages are narrow: each computes a column or joins a small reference table, nothing is shuffled.
+Stages are narrow: each computes a column or joins a small reference table. Only signatures, which
+cost far more than moving a row, are dealt over the cluster.
 Costly readings run only on rows that cheaper ones left open.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import ddoc, holder, ident, text
 from quillspark.functions.cities import with_fixed_city
 from quillspark.operators.bank import with_bank
+from quillspark.operators.stage import spread
 from quillspark.sources.tools import pdf_route
 
 
@@ -41,6 +43,7 @@ def read_barcodes(rows: DataFrame, certificates: DataFrame | None = None, column
     if certificates is not None:
         keys = certificates.select(F.col("authority").alias("__a"), F.col("cert_id").alias("__c"), F.col("key").alias("__key"))
         found = found.join(keys, (F.col("__h.authority") == F.col("__a")) & (F.col("__h.cert_id") == F.col("__c")), "left")
+        found = spread(found)  # a signature takes a millisecond or more
     else:
         found = found.withColumn("__key", F.lit(None).cast("string"))
     found = found.withColumn("__s", ddoc.signature(F.when(F.col("__h").isNotNull(), F.col(column)), F.col("__key")))

@@ -25,3 +25,13 @@ def staged(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors and the driver share")
         context.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over the cluster's cores, for what computes much on few bytes.
+
+    Spark cuts tables by bytes, so a million short rows are one task, and small shuffles are put
+    together again by bytes; a stated number of partitions stays.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))

@@ -52,3 +52,33 @@ def test_dates(one):
     assert one(ddoc.hex_day(F.lit("FFFF"))) is None
     assert one(ddoc.hex_day(F.lit("12G4"))) is None
     assert one(ddoc.version(F.lit("DCx"))) is None
+
+
+def test_signatures_share_a_keys_multiples(monkeypatch):
+    """Once a key is known no document's check adds points one inverse at a time."""
+    assert ddoc.verify(V3, ddoc.TEST_KEY) == (True, None)
+    monkeypatch.setattr(ddoc, "_sum", None)
+    assert ddoc.verify(V3, ddoc.TEST_KEY) == (True, None)
+    assert ddoc.verify(V3.replace("NATACHA", "NATACHE"), ddoc.TEST_KEY) == (False, None)
+
+
+@pytest.mark.parametrize(("k", "m"), [(0, 0), (1, 0), (0, 1), (7, 7), (16, 1), (7, -7), (-1, 0), (5, 2**200 + 9)])
+def test_sums_of_multiples(k, m):
+    """Against repeated doubling and adding, also where both points are the same or cancel out."""
+
+    def times(k, point):
+        out = None
+        for bit in f"{k:b}":
+            out = ddoc._sum(out, out)
+            out = ddoc._sum(out, point) if bit == "1" else out
+        return out
+
+    k, m = k % ddoc._N, m % ddoc._N
+    for point in (ddoc._G, ddoc.public_point(ddoc.TEST_KEY)):
+        assert ddoc._combined(k, m, point) == ddoc._sum(times(k, ddoc._G), times(m, point))
+
+
+def test_signatures_are_dealt_over_cores(spark, keys):
+    rows = spark.createDataFrame([(k, V3) for k in range(40)], "id int, barcode_text string").coalesce(1)
+    sizes = [n for n in rib.read_barcodes(rows, keys).rdd.glom().map(len).collect() if n]
+    assert sum(sizes) == 40 and len(sizes) > 1
