@@ -1,10 +1,15 @@
-"""French bank identifiers as Column expressions: IBAN, RIB key, BIC. No UDF, no shuffle.
+"""French bank identifiers as Column expressions: IBAN, RIB key, BIC. No shuffle.
 
-Every function takes and returns Columns and gives null for null.
+Every function takes and returns Columns and gives null for null. Only the choice among the IBANs that
+a text may hold is an Arrow pass, over the few characters that expressions found.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,11 +57,14 @@ def check_rib_key(iban: Column) -> Column:
 def mod97(text: Column) -> Column:
     """A string of digits and capitals read as one number (A is 10, Z is 35), modulo 97.
 
-    A fold over the characters: the number itself has up to 68 digits, more than a decimal holds.
+    A fold over pieces of 16 digits: the number itself has up to 68 digits, more than a decimal holds.
     """
-    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-    step = lambda rest, c: ((rest * F.when(c.between("0", "9"), F.lit(10)).otherwise(F.lit(100)) + value(c)) % 97).cast("int")
-    return F.when(text.rlike("^[0-9A-Z]+$"), F.aggregate(F.split(text, "(?!^)(?!$)"), F.lit(0), step))
+    digits = text
+    for k in range(26):
+        digits = F.replace(digits, F.lit(chr(65 + k)), F.lit(str(10 + k)))
+    step = lambda d: lambda rest, k: F.concat(rest.cast("string"), F.substring(d, k * 16 + 1, F.lit(16))).cast("bigint") % 97
+    fold = lambda d: F.aggregate(F.sequence(F.lit(0), F.floor((F.length(d) - 1) / 16).cast("int")), F.lit(0).cast("bigint"), step(d))
+    return F.when(text.rlike("^[0-9A-Z]+$"), bound(F.when(text.rlike("[A-Z]"), digits).otherwise(text), fold)).cast("int")
 
 
 def iban_from_bban(bban: Column) -> Column:
@@ -75,48 +83,41 @@ def grouped_iban(iban: Column) -> Column:
     return F.rtrim(F.regexp_replace(iban, "(.{4})", "$1 "))
 
 
-def repaired_check_digits(iban: Column) -> Column:
-    """A letter O read for a zero in the two check digits."""
-    return F.concat(F.substring(iban, 1, 2), F.translate(F.substring(iban, 3, 2), "Oo", "00"), F.substring(iban, 5, 1000))
-
-
 def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _first_valid(text: Column) -> Column:
-    found = F.transform(_matches(text, STRICT_IBAN), lambda m: repaired_check_digits(F.regexp_replace(m, "[\\s\\x0B|,]", "")))
-    return F.get(F.filter(found, is_valid_iban), F.lit(0))
+_FRENCH = re.compile("FR[0-9]{12}[0-9A-Z]{11}[0-9]{2}")
+_LETTERS = {65 + k: str(10 + k) for k in range(26)}
+_ZEROS = str.maketrans("Oo", "00")
+_BETWEEN = "\x1f"
+
 
+def valid(iban: str) -> bool:
+    """``is_valid_iban`` of a string."""
+    return _FRENCH.fullmatch(iban) is not None and int((iban[4:] + iban[:4]).translate(_LETTERS)) % 97 == 1
 
-def recombined_iban(first: Column, second: Column) -> Column:
-    """The one valid mix of two damaged readings; null if none or several mixes are valid.
 
-    Readings may differ in ``MOST_DIFFERENCES`` places, so at most 1,024 mixes are tried, each
-    a number whose bits pick the reading in the places that differ.
+def recombined(first: str, second: str) -> str | None:
+    """The one valid mix of two damaged readings; None if none or several mixes are valid.
+
+    Readings may differ in ``MOST_DIFFERENCES`` places, so at most 1,024 mixes are tried.
     """
-    both = F.arrays_zip(F.split(first, "(?!^)(?!$)").alias("a"), F.split(second, "(?!^)(?!$)").alias("b"))
-    length = F.least(F.length(first), F.length(second))
-    rest = F.substring(first, length + 1, F.lit(1000))
-    place = lambda done, c: F.struct(
-        F.concat(done["bits"], F.array(F.when(c["a"] != c["b"], done["n"]).otherwise(F.lit(-1)))).alias("bits"),
-        (done["n"] + F.when(c["a"] != c["b"], 1).otherwise(0)).alias("n"),
-    )
-    start = F.struct(F.array().cast("array<int>").alias("bits"), F.lit(0).alias("n"))
+    choices = [a if a == b else a + b for a, b in zip(first, second, strict=False)]
+    if sum(len(c) == 2 for c in choices) > MOST_DIFFERENCES:
+        return None
+    rest = first[len(choices) :]
+    good = [mix for letters in product(*choices) if valid(mix := "".join(letters) + rest)]
+    return good[0] if len(good) == 1 else None
 
-    def mixes(args: Column) -> Column:
-        chars, own, tail = args["chars"], args["own"], args["tail"]
-        letter = lambda i: lambda c, k: F.when(
-            (F.get(own["bits"], k) >= 0) & (F.call_function("shiftright", i, F.greatest(F.get(own["bits"], k), F.lit(0))).bitwiseAND(F.lit(1)) == 1), c["b"]
-        ).otherwise(c["a"])
-        one = lambda i: F.concat(F.array_join(F.transform(chars, letter(i)), ""), tail)
-        numbers = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.least(own["n"], F.lit(MOST_DIFFERENCES))) - 1)
-        return F.when(own["n"] <= MOST_DIFFERENCES, F.filter(F.transform(numbers, one), is_valid_iban))
 
-    chars = F.slice(both, F.lit(1), length)
-    ready = bound(chars, lambda c: F.struct(c.alias("chars"), F.aggregate(c, start, place).alias("own"), rest.alias("tail")))
-    valid = bound(ready, mixes)
-    return bound(valid, lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
+def _chosen(printed: str | None, closed: str | None, lax: str | None) -> str | None:
+    for readings in (printed, closed):
+        for found in (readings or "").split(_BETWEEN):
+            if valid(iban := found[:2] + found[2:4].translate(_ZEROS) + found[4:]):
+                return iban
+    two = (lax or "").split(_BETWEEN)
+    return recombined(two[0], two[1]) if len(two) > 1 else None
 
 
 def extract_iban(text: Column) -> Column:
@@ -125,8 +126,13 @@ def extract_iban(text: Column) -> Column:
     In turn: the first valid printed IBAN; the same without spaces, for odd groups; a mix of the
     first two readings in a laxer form, if exactly one mix is valid.
     """
-    lax = lambda t: bound(F.transform(_matches(t, LAX_IBAN), lambda m: F.regexp_replace(m, "[\\s\\x0B|,]", "")), lambda m: F.when(F.size(m) >= 2, recombined_iban(F.get(m, F.lit(0)), F.get(m, F.lit(1)))))
-    return grouped_iban(F.coalesce(_first_valid(text), _first_valid(F.replace(text, F.lit(" "), F.lit(""))), lax(text)))
+
+    @F.pandas_udf("string")
+    def choose(printed: pd.Series, closed: pd.Series, lax: pd.Series) -> pd.Series:
+        return pd.Series([_chosen(*row) for row in zip(printed, closed, lax, strict=True)], dtype=object)
+
+    readings = lambda t, pattern: F.nullif(F.regexp_replace(F.array_join(_matches(t, pattern), _BETWEEN), "[\\s\\x0B|,]", ""), F.lit(""))
+    return grouped_iban(choose(readings(text, STRICT_IBAN), readings(F.replace(text, F.lit(" "), F.lit("")), STRICT_IBAN), readings(text, LAX_IBAN)))
 
 
 def join_cell_letters(text: Column) -> Column:

@@ -17,7 +17,7 @@ from quillspark.functions import ddoc, geometry, ident, image, text
 from quillspark.functions.cities import with_fixed_city
 from quillspark.functions.holder import account_holder, crop_holder
 from quillspark.operators import bank, certificates, image_route, layout, quantiles, rib, score, synth
-from quillspark.operators.stage import staged
+from quillspark.operators.stage import spread, staged
 from quillspark.sources import files, readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,10 +107,11 @@ def unreadable_guard(spark, sf_dir):
 
 
 def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An account per customer, dealt over the cores: few bytes, from which much is derived."""
     k = F.col("c_custkey")
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     tail = F.when(k % 5 == 0, F.char((k % 26 + 65).cast("int"))).otherwise((k % 10).cast("string"))
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).select(
         k.alias("id"), pad(F.col("c_nationkey") + 10000, 5).alias("bank"), pad(k % 100000, 5).alias("branch"), F.concat(pad(k * 7919 % 10000000000, 10), tail).alias("account")
     )
 

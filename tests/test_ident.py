@@ -3,6 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import ident as I
+from quillspark.plans import queries
 
 IBAN = "FR76 3000 1000 6449 1900 9562 088"
 L = F.lit
@@ -88,3 +89,20 @@ def test_generated_ibans_are_valid(spark, bodies):
     rows = rows.withColumn("iban", I.iban_from_bban(F.concat("bank", "branch", "account", key)))
     assert rows.where(I.is_valid_iban(F.col("iban")) & I.check_rib_key(F.col("iban"))).count() == len(bodies)
     assert rows.where(F.replace(I.extract_iban(I.grouped_iban(F.col("iban"))), L(" "), L("")) == F.col("iban")).count() == len(bodies)
+
+
+def test_iban_choice_is_no_fold_over_characters(spark):
+    """Mixes of readings are tried in Arrow batches, checked 16 digits at a time, and accounts are dealt over the cores."""
+    text = "FR16 3000 1000 6449 1900 9562 088\nFR76 3000 1000 6449 1900 9563 088"
+    rows = spark.createDataFrame([(text,)], "t string").select(I.extract_iban(F.col("t")).alias("iban"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and rows.first()["iban"] == IBAN
+    assert queries._accounts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
+
+
+def test_recombined():
+    one = IBAN.replace(" ", "")
+    assert I.recombined(one, one) == one and I.recombined(one, one[:-1] + "9") == one
+    assert I.recombined("FR16" + one[4:], one[:-1] + "9") == one
+    assert I.recombined(one[:4] + "99999999999" + one[15:], one) is None
+    assert I.recombined("FR16" + one[4:], "FR26" + one[4:]) is None
