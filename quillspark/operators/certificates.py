@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.ddoc import TEST_KEY, header
+from quillspark.functions.ddoc import TEST_KEY, named_certificate
 from quillspark.functions.x509 import public_key_of
 from quillspark.sources.fetch import fetched
 
@@ -29,7 +29,7 @@ def certificate_requests(barcodes: DataFrame, services: DataFrame, column: str =
 
     The specimens' authority needs none. An authority that no service names has an error and no url.
     """
-    h = header(F.col(column))
+    h = named_certificate(F.col(column))
     named = barcodes.select(h.alias("h")).where("h is not null").select("h.authority", "h.cert_id").distinct().where(F.col("authority") != TEST_AUTHORITY)
     joined = named.join(services.select(F.col("authority").alias("a"), "uri"), F.col("authority") == F.col("a"), "left")
     mark = F.when(F.contains("uri", F.lit("?")), "&").otherwise("?")
@@ -54,6 +54,6 @@ def fetched_keys(barcodes: DataFrame, services: DataFrame, column: str = "barcod
 
 def with_test_key(barcodes: DataFrame, keys: DataFrame, column: str = "barcode_text") -> DataFrame:
     """``keys`` with the published test key for every certificate of the specimens' authority that barcodes name."""
-    h = header(F.col(column))
+    h = named_certificate(F.col(column))
     specimens = barcodes.select(h.alias("h")).where(F.col("h.authority") == TEST_AUTHORITY).select("h.authority", "h.cert_id").distinct()
     return keys.where(F.col("key").isNotNull()).select("authority", "cert_id", "key").unionByName(specimens.withColumn("key", F.lit(TEST_KEY)))

@@ -164,3 +164,35 @@ def test_a_report(spark):
     lines = [r["value"] for r in sinks.report(read, readings=("e", "f")).collect()]
     assert lines[0] == "2 files, 0 known failures, 0 failures, 1 unreadable (0 of them right)"
     assert any(x.startswith("iban_verdict") and "1/2" in x for x in lines) and any("s1" in x for x in lines) and lines[-1].split() == ["B", "read", "as", "8", "2"]
+
+
+def test_certificates_named_without_python(spark):
+    """Requests need two parts of a header: an expression finds them wherever the whole header is read."""
+    head = "DC02FR01AB120AF00AF000"
+    texts = [head, head[:-1], "DC03" + head[4:], "DC03" + head[4:] + "01", "DC04" + head[4:] + "01FR", "DC04" + head[4:] + "01F", "DC05" + head[4:] + "0101", head.replace("0AF00AF0", "FFFF0AF0"), head.replace("0AF00AF0", "0AF0FFFF"), head.replace("0AF00AF0", "0AF0ffff"), head.replace("0AF00AF0", "0AG00AF0"), "x" + head, head + "\nmore", "\n" + head, "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", ddoc.header(F.col("t")).alias("h"), ddoc.named_certificate(F.col("t")).alias("n"))
+    got = rows.orderBy("k").collect()
+    assert [r["n"] and tuple(r["n"]) for r in got] == [r["h"] and (r["h"]["authority"], r["h"]["cert_id"]) for r in got]
+    assert [r["k"] for r in got if r["n"]] == [0, 3, 4, 7, 9, 12]
+    services = spark.createDataFrame([("FR01", "http://a.example", "x")], "authority string, uri string, certificate string")
+    asked = certificates.certificate_requests(rows.sparkSession.createDataFrame([(head,)], "barcode_text string"), services)
+    assert "ArrowEvalPython" not in asked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hocr_of_plain_pages_needs_no_parser(spark, monkeypatch):
+    """A plain page gives what the parser gives, without it; columns of the page go along."""
+
+    def parsed(html):
+        page = readers._Hocr()
+        page.feed(html)
+        page.close()
+        return page.words
+
+    word = "<span class='ocrx_word' title='bbox 1 2 30 40'>{}</span>"
+    odd = [HOCR.replace("<em>", "<!-- </span> --><em>"), word.format("a<br>b"), word.format("a<script>'<b>'</script>"), "<SPAN CLASS='ocrx_word' TITLE='bbox 1 2 3 4'/>", "<span class='ocrx_word' title='bbox 1 2 3 4'>a<span>b</span>c&amp", "<span title='a>b'>" + word.format("&lt;")]
+    assert [readers.hocr_words(h) for h in odd] == [parsed(h) for h in odd]
+    want = parsed(HOCR)
+    rows = spark.createDataFrame([(7, HOCR, ["p", "q"]), (8, None, [])], "doc_id long, hocr string, own array<string>")
+    assert {(r["doc_id"], tuple(r["own"])) for r in readers.words_of_hocr(rows, keep=("own",)).collect()} == {(7, ("p", "q"))}
+    monkeypatch.setattr(readers._Hocr, "feed", None)
+    assert readers.hocr_words(HOCR) == want
