@@ -875,9 +875,8 @@ def hocr_words(spark, sf_dir):
     pages = table(spark, sf_dir, "lineitem").groupBy(k.alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", word.alias("w")))).alias("ws"))
     angle = F.when(F.col("doc_id") % 3 == 0, F.format_string("; textangle %d", F.col("doc_id") % 50)).otherwise("")
     html = F.concat(F.lit("<div class='ocr_page'><span class='ocr_line' title='bbox 0 0 9 9"), angle, F.lit("'>"), F.array_join(F.transform("ws", lambda x: x["w"]), " "), F.lit("</span></div>"))
-    words = readers.words_of_hocr(pages.select("doc_id", html.alias("hocr")))
-    numbers = pages.select(F.col("doc_id").alias("d"), F.posexplode("ws").alias("n", "p")).select("d", "n", "p.l_linenumber")
-    return words.join(numbers, (F.col("doc_id") == F.col("d")) & (F.col("word_no") == F.col("n"))).select("doc_id", F.col("l_linenumber").alias("word_no"), "text", "x", "y", "w", "h", "angle")
+    words = readers.words_of_hocr(pages.select("doc_id", html.alias("hocr"), F.transform("ws", lambda x: x["l_linenumber"]).alias("numbers")), keep=("numbers",))
+    return words.select("doc_id", F.get("numbers", F.col("word_no")).alias("word_no"), "text", "x", "y", "w", "h", "angle")
 
 
 @query("""

@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ from quillspark.functions.text import split_digit_letter
 _BOX = re.compile(r"bbox (-?\d+) (-?\d+) (-?\d+) (-?\d+)")
 _ANGLE = re.compile(r"textangle (-?[\d.]+)")
 _LINES = ("ocr_line", "ocr_header", "ocr_caption", "ocr_textfloat")
-WORDS = "array<struct<line_no:int,word_no:int,text:string,x:int,y:int,w:int,h:int,angle:double>>"
+WORDS = "line_no int, word_no int, text string, x int, y int, w int, h int, angle double"
+#: Words that a task gives out at a time.
+MOST_WORDS = 50_000
 
 
 class _Hocr(HTMLParser):
@@ -60,24 +64,69 @@ class _Hocr(HTMLParser):
             self.held.append(data)
 
 
+# Plain markup: texts, tags with quoted attributes, a document type; nothing whose content isn't markup, no comments.
+_ATTRIBUTE = r"""[ \t\r\n\f]+([A-Za-z_:][A-Za-z0-9_:.-]*)=(?:'([^'<>&]*)'|"([^"<>&]*)")"""
+_PLAIN = re.compile(
+    rf"(?:[^<]++|<(?!(?i:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext|svg|math)\b)[A-Za-z][A-Za-z0-9]*+(?:{_ATTRIBUTE})*+[ \t\r\n\f]*+/?>|</[A-Za-z][A-Za-z0-9]*+>|<(?i:title)>[^<]*+</(?i:title)>|<!(?i:doctype) [^>]*+>)*+", re.ASCII
+)
+_SPANS = re.compile(r"<(/?)((?i:span))\b([^>]*)>([^<]*)|<[^>]*>([^<]*)", re.ASCII)
+_ATTRIBUTES = re.compile(_ATTRIBUTE, re.ASCII)
+
+
 def hocr_words(html: str | None) -> list[tuple] | None:
-    """(line_no, word_no, text, x, y, w, h, line's angle in degrees) of the words of an hOCR page."""
+    """(line_no, word_no, text, x, y, w, h, line's angle in degrees) of the words of an hOCR page.
+
+    Pages of plain markup, as engines print them, are cut by expressions, which takes a fraction of the
+    parser's time; the parser reads all others.
+    """
     if html is None:
         return None
     page = _Hocr()
-    page.feed(html)
-    page.close()
+    if not _PLAIN.fullmatch(html):
+        page.feed(html)
+        page.close()
+        return page.words
+    for end, span, attributes, inside, after in _SPANS.findall(html):
+        if end:
+            page.handle_endtag("span")
+        elif span:
+            page.handle_starttag("span", [(name.lower(), a or b) for name, a, b in _ATTRIBUTES.findall(attributes)])
+            if attributes.endswith("/"):
+                page.handle_endtag("span")
+        if page.box is not None and (data := inside or after):
+            page.held.append(unescape(data) if "&" in data else data)
     return page.words
 
 
-def words_of_hocr(pages: DataFrame, column: str = "hocr") -> DataFrame:
-    """doc_id, line_no, word_no, text, x, y, w, h and angle of rows (doc_id, hOCR text); pages without words have no row."""
+def words_of_hocr(pages: DataFrame, column: str = "hocr", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, line_no, word_no, text, x, y, w, h and angle of rows (doc_id, hOCR text), and columns of the page to keep.
 
-    @F.pandas_udf(WORDS)
-    def read(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("line_no", "word_no", "text", "x", "y", "w", "h", "angle"), w, strict=True)) for w in hocr_words(t)], na_action="ignore").astype(object)
+    Pages without words have no row.
+    """
+    own = ("doc_id", *keep)
+    names = [c.split()[0] for c in WORDS.split(", ")]
+    kinds = [pa.float64() if n == "angle" else pa.string() if n == "text" else pa.int32() for n in names]
 
-    return pages.select("doc_id", F.explode(read(F.col(column))).alias("word")).select("doc_id", "word.*")
+    def table(batch: pa.RecordBatch, rows: list[int], words: list[tuple]) -> pa.RecordBatch:
+        columns = [batch.column(c).take(pa.array(rows, pa.int64())) for c in own]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(v, t) for v, t in zip(zip(*words, strict=True), kinds, strict=True)], [*own, *names])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, words = [], []
+            for k, html in enumerate(batch.column("__hocr")):
+                found = hocr_words(html.as_py()) or ()
+                words.extend(found)
+                rows.extend([k] * len(found))
+                if len(words) >= MOST_WORDS:
+                    yield table(batch, rows, words)
+                    rows, words = [], []
+            if words:
+                yield table(batch, rows, words)
+
+    given = pages.select(*own, F.col(column).alias("__hocr"))
+    schema = ", ".join([f"`{n}` {given.schema[n].dataType.simpleString()}" for n in own] + [WORDS])
+    return given.mapInArrow(read, schema).select("doc_id", *names, *keep)
 
 
 def line_angles_of_hocr(words: DataFrame) -> DataFrame:
