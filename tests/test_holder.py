@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.functions import cities, holder, text
@@ -101,3 +102,13 @@ def test_normal_forms(one):
     assert one(text.holder_content(F.lit("M. Kahlo\n1 rue É"))) == "MKAHLO1RUEE"
     assert one(text.split_digit_letter(F.lit("222AVENUE"))) == ["222", "AVENUE"]
     assert one(text.split_digit_letter(F.lit("1er"))) == ["1er"]
+
+
+def test_stats_take_a_batch_in_portions():
+    """A batch becomes Python strings a portion at a time, whatever its size; its rows stay in their order."""
+    given = ["a" * 300_000, None, *["FR76 mot"] * 100_000, "", "é" * 200_000]
+    portions = list(text._portions(pa.array(given)))
+    assert [a for a, _ in portions] == [0, *[a + n for a, n in portions[:-1]]] and sum(n for _, n in portions) == len(given)
+    assert all(n == 1 or sum(len((t or "").encode()) for t in given[a : a + n]) <= text.CHUNK for a, n in portions)
+    assert list(text._portions(pa.array([], pa.string()))) == [] and len(text._profiles(pa.array([], pa.string()))) == 0
+    assert text._profiles(pa.array([None, "M é\n"])).to_pylist()[1]["lines"] == 1
